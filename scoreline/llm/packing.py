@@ -1,8 +1,9 @@
 """Operator 4: concatenate-and-cut packing into fixed token windows.
 
-Documents are range-partitioned by id and encoded once into a table of (shard, place, ids). Two
-passes give global offsets: the first sums the tokens of each shard, prefix sums over these totals
-are the shards' bases; the second adds running sums inside each shard. Sequence and offset of a
+Documents are range-partitioned by id and encoded once into a table of ids with each document's
+running token total inside its shard. Two passes give global offsets: the first sums the tokens of
+each shard, prefix sums over these totals are the shards' bases; the second adds base and running
+total. Sequence and offset of a
 token are the quotient and remainder of its global offset by the window, so a document becomes one
 piece for every window it meets, and a boundary record marks where a piece was cut. Only the last
 sequence isn't full.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import id_text, slices, written
 from .token_ids import encoder
 
-CODED = "shard int, place long, doc_id long, doc_tokens long, itemsize int, ids binary"
+CODED = "shard int, local long, doc_id long, doc_tokens long, itemsize int, ids binary"
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "cut_before boolean, cut_after boolean, ids binary"
@@ -35,20 +36,20 @@ def encode_shards(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
     """Rows of CODED, written to the shared folder: the documents in id order with their ids."""
 
     def run(batches):
-        shard, place, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
+        shard, before, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
         k = enc.dtype.itemsize
         for batch in slices(batches, "text"):
             coded = enc.encode(batch.column("text").to_pylist(), end_id)
-            m = len(coded)
+            m, lengths = len(coded), np.array([len(c) // k for c in coded], np.int64)
             yield pa.RecordBatch.from_pydict({
                 "shard": pa.array(np.full(m, shard, np.int32)),
-                "place": pa.array(np.arange(place, place + m)),
+                "local": pa.array(before + np.cumsum(lengths) - lengths),
                 "doc_id": batch.column("doc_id"),
-                "doc_tokens": pa.array([len(c) // k for c in coded], pa.int64()),
+                "doc_tokens": pa.array(lengths),
                 "itemsize": pa.array(np.full(m, k, np.int32)),
                 "ids": pa.array(coded, pa.binary()),
             })
-            place += m
+            before += int(lengths.sum())
 
     rows = id_text(df, id_col, text_col)
     tie = F.xxhash64("text")
@@ -64,10 +65,8 @@ def offsets(coded: DataFrame) -> DataFrame:
 def pack(df: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Rows of PIECES: every token of every document in exactly one piece, `ids` null unless with_ids."""
     coded = encode_shards(df, tokenizer_path, end_id, id_col, text_col)
-    # running sums need (shard, place, length) only; the ids join by their unique place
-    inside = Window.partitionBy("shard").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    local = coded.select("shard", "place", F.coalesce(F.sum("doc_tokens").over(inside), F.lit(0)).alias("local"))
-    placed = local.join(offsets(coded), "shard").select("shard", "place", (F.col("base") + F.col("local")).alias("at"))
+    # one row per shard, so never more than the partitions of the encoding stage: small enough to broadcast
+    placed = coded.join(F.broadcast(offsets(coded)), "shard").withColumn("at", F.col("base") + F.col("local"))
 
     def run(batches):
         for batch in batches:
@@ -83,4 +82,4 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = 4096
             types = [pa.int64()] * 7 + [pa.bool_()] * 2 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols.values(), types, strict=True)], names=list(cols))
 
-    return coded.join(placed, ["shard", "place"]).drop("shard", "place").mapInArrow(run, PIECES)
+    return placed.select("doc_id", "doc_tokens", "itemsize", "ids", "at").mapInArrow(run, PIECES)
