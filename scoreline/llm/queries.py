@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flat_ids, language_id, mixing, packing, transport_stream, url_reputation, warc
+from . import flat_ids, language_id, mips, mixing, ngram_join, packing, substring_dedup, transport_stream, url_reputation, warc
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -25,6 +25,15 @@ def op1_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.digests(transport_stream.store_payloads(table(spark, sf_dir, "documents")))
 
 
+def op2_mips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return mips.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), end_id=2, with_ids=False)
     return pieces.drop("ids")
@@ -35,6 +44,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve(warc.read_records(spark, folder))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed(table(spark, sf_dir, "documents"))
+
+
 def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("long")
@@ -57,7 +70,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_transport_stream, op4_packing, op5_warc, op7_url_reputation, op8_flat_ids, op9_language_id, op10_mixing)
+    f.__name__: f for f in (op1_transport_stream, op2_mips, op3_ngram_join, op4_packing, op5_warc, op6_substring_dedup, op7_url_reputation, op8_flat_ids, op9_language_id, op10_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
