@@ -1,6 +1,8 @@
-"""Queries over the driver's tables and their SQL twins, gathered from scoreline.plans."""
+"""All queries of the library and their SQL twins."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import q_features, q_sources  # noqa: F401
+from .plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
