@@ -8,12 +8,13 @@ dictionary and sends only new ones through the tokenizers library, many in one c
 from __future__ import annotations
 
 import os
+from array import array
 from functools import cache
 
 import numpy as np
 
 #: Words kept by a worker; beyond that the dictionary starts anew, so memory stays bounded.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 700_000
 #: Stands between words in a call; it is one token by itself, and words that hold it go alone.
 MARK = "\x01"
 SPECIAL = "<|"
@@ -31,43 +32,62 @@ class Encoder:
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.kind = "H" if self.dtype.itemsize == 2 else "I"
         mark = self._plain(MARK)
         probe = self._plain(f"a {MARK} b.\tA\nb .")
         #: Whether words can be encoded apart: white space leaves no trace and the mark is one id.
         self.apart = len(mark) == 1 and probe.tolist() == [*self._plain("a"), *mark, *self._plain("b."), *self._plain("A"), *self._plain("b"), *self._plain(".")]
-        #: Whether a word of ASCII letters can go straight to the model, in lower case.
-        self.direct = all([t.id for t in self.tokenizer.model.tokenize(w.lower())] == self._plain(w).tolist() for w in ("a", "The", "zyxwvutsrqponmlkjihgfedcba", "QuIcKlY"))
+        #: Latin letters as the model sees them: normalised and mapped to the alphabet of bytes. A word
+        #: of these alone is one piece to the pre-tokenizer and can go straight to the model.
+        self.letters = {}
+        for c in map(chr, range(256)):
+            pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(c)) if c.isalpha() else ()
+            if len(pieces) == 1:
+                self.letters[ord(c)] = pieces[0][0]
+        self.direct = all([t.id for t in self.tokenizer.model.tokenize(w.translate(self.letters))] == self._plain(w).tolist() for w in ("a", "The", "zyxwvutsrqponmlkjihgfedcba", "QuIcKlY", "\xc9t\xe9", "Stra\xdfen\xe4\xd1"))
         self.mark = int(mark[0]) if len(mark) else -1
+        self._ends()
+
+    def _ends(self) -> None:
+        self.cores.update((c, self._plain(c).tobytes()) for c in ",.")
 
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
     def _learn(self, new: set[str]) -> None:
-        split = {}
+        words, pieces, cores, letters, model = self.words, self.pieces, self.cores, self.letters, self.tokenizer.model.tokenize
+        later, kind = [], self.kind
         for w in new:
-            core = w[:-1]
-            if w[-1] in ",." and core.isalpha():
-                split[w] = core, w[-1]
+            end = w[-1]
+            if end == "." or end == ",":
+                core, stop = w[:-1], cores.get(end, b"")
             else:
-                split[w] = w, ""
-        todo = {c for c, _ in split.values()}.union(p for _, p in split.values() if p).difference(self.cores)
-        plain = []
-        for c in todo:
-            if self.direct and c.isalpha() and c.isascii():
-                self.cores[c] = np.array([t.id for t in self.tokenizer.model.tokenize(c.lower())], self.dtype).tobytes()
-            elif MARK in c or SPECIAL in c:
-                self.cores[c] = self._plain(c).tobytes()
+                core, stop = w, b""
+            if self.direct and core.isalpha() and (core.isascii() or max(core) < "\u0100"):
+                # kept by what the model sees, so capitals don't count twice
+                piece = core.translate(letters)
+                found = pieces.get(piece)
+                if found is None:
+                    found = pieces[piece] = array(kind, [t.id for t in model(piece)]).tobytes()
+                words[w] = found + stop if stop else found
+            elif MARK in w or SPECIAL in w:
+                words[w] = self._plain(w).tobytes()
             else:
-                plain.append(c)
+                later.append(w)
+        if not later:
+            return
+        cut = [w[:-1] if w[-1] in ",." and w[:-1].isalpha() else w for w in later]
+        plain = [*{c for c in cut if c not in cores}]
         runs = [plain[i : i + 200] for i in range(0, len(plain), 200)]
         for run, found in zip(runs, self.tokenizer.encode_batch_fast([f" {MARK} ".join(r) for r in runs], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, self.dtype)
             cuts = np.flatnonzero(ids == self.mark).tolist()
             raw, k = ids.tobytes(), self.dtype.itemsize
             for c, s, e in zip(run, [0, *(x + 1 for x in cuts)], [*cuts, len(ids)], strict=True):
-                self.cores[c] = raw[s * k : e * k]
-        cores = self.cores
-        self.words.update((w, cores[c] + cores[p] if p else cores[c]) for w, (c, p) in split.items())
+                cores[c] = raw[s * k : e * k]
+        for w, c in zip(later, cut, strict=True):
+            words[w] = cores[c] if w is c or w == c else cores[c] + cores[w[-1]]
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """For each text (null: empty) its ids and then the id `end`, as bytes of self.dtype."""
@@ -81,6 +101,9 @@ class Encoder:
             self.words.clear()
         if len(self.cores) > KEPT_WORDS:
             self.cores.clear()
+            self._ends()
+        if len(self.pieces) > KEPT_WORDS:
+            self.pieces.clear()
         if new := set().union(*split).difference(self.words):
             self._learn(new)
         get = self.words.__getitem__
