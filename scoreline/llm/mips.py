@@ -6,13 +6,14 @@ minimise the anisotropic loss: error parallel to the vector, which shifts inner
 queries, costs eta times the orthogonal error. The parallel error couples the blocks, so codes come
 from coordinate descent over blocks and codebooks from the weighted least squares of that loss.
 
-A query looks up its `searched` best leaves. Leaves are dealt in groups of bounded size (codes and
-queries of a large leaf are salted), each group scans two four-bit codes at a time through tables
-of partial inner products and keeps its best; the best of all groups are scored exactly in double
-precision from the original vectors.
-
-Only the models are fitted on a sample (`sample` rows, those with the smallest hash of id); every
-row is coded. Vectors that are null, zero, hold null or non-finite components or have another
+A query looks up its best leaves: as many as the sample's own nearest neighbours need to be found
+in `coverage` of cases, so clustered vectors are searched in a few leaves and unstructured ones in
+all. Leaves are dealt into groups of bounded size (a large leaf is salted, queries go in parts), each
+group scans two four-bit codes at a time through tables of partial inner products and keeps the
+best; the best of all groups are scored exactly in double precision from the original vectors.
+
+Only the models and the number of leaves are fitted on a sample (`sample` rows, those with the
+smallest hash of id); every row is coded. Vectors that are null, zero, hold null or non-finite components or have another
 length than most take no part. Candidates are all rows but those with the query's own id; repeated
 rows count one by one. Ties go to the smaller id. Null ids take no part. An empty table gives none.
 """
@@ -28,7 +29,7 @@ from .common import batch_of, written
 
 BLOCK, CODES, THRESHOLD = 2, 16, 0.2
 #: Rows of a leaf aimed at, most leaves, and most rows and queries of one scan.
-LEAF_ROWS, MOST_LEAVES, SCAN_ROWS, SCAN_QUERIES = 2048, 4096, 8192, 1024
+LEAF_ROWS, MOST_LEAVES, SCAN_ROWS, SCAN_QUERIES = 2048, 4096, 65_536, 256
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -130,7 +131,20 @@ def _matrix(column: pa.Array, dtype=np.float32) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(dtype) if len(column) else np.zeros((0, 0), dtype)
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = 20, searched: int = 24, kept: int = 120, sample: int = 40_960, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def leaves_needed(model: Quantiser, sample: np.ndarray, k: int, coverage: float, queries: int = 256) -> int:
+    """The least number of best leaves that hold `coverage` of the sample's own k nearest."""
+    rng = np.random.default_rng(11)
+    at = rng.choice(len(sample), min(queries, len(sample)), replace=False)
+    near = sample[at] @ sample.T
+    near[np.arange(len(at)), at] = -np.inf
+    best = np.argpartition(-near, min(k, near.shape[1] - 1), axis=1)[:, :k]
+    leaf = nearest(sample, model.centres)
+    rank = np.argsort(np.argsort(-(sample[at] @ model.centres.T), axis=1, kind="stable"), axis=1)
+    ranks = np.sort(np.take_along_axis(rank, leaf[best], 1).ravel())
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(coverage * len(ranks))) - 1)]) + 1
+
+
+def search(df: DataFrame, queries: DataFrame, k: int = 20, kept: int = 200, coverage: float = 0.98, sample: int = 40_960, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products found for each row of queries.
 
     queries has the columns of df. kept candidates a query are scored exactly.
@@ -144,66 +158,85 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, searched: int = 24, k
     asked = usable(queries, id_col, vec_col).where(F.size("vec") == dim).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query"))
     share = min(1.0, sample / total)
     got = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share * (1 << 20)).orderBy("vec_id").select("vec").limit(2 * sample).toPandas()["vec"]  # bounded by sample
-    fitted = np.stack(got.to_list()) if len(got) else np.asarray(rows.select("vec").first()[0], np.float32)[None]
-    model = spark.sparkContext.broadcast(Quantiser(fitted.astype(np.float32), int(np.clip(round(total / LEAF_ROWS), 1, MOST_LEAVES))))
-    leaves = len(model.value.centres)
+    fitted = (np.stack(got.to_list()) if len(got) else np.asarray(rows.select("vec").first()[0])[None]).astype(np.float32)
+    quantiser = Quantiser(fitted, int(np.clip(round(total / LEAF_ROWS), 1, MOST_LEAVES)))
+    leaves, width = len(quantiser.centres), quantiser.blocks // 2
+    searched = leaves_needed(quantiser, fitted, k, coverage)
+    model = spark.sparkContext.broadcast(quantiser)  # centres and codebooks of fixed size
 
     code_schema = pa.schema([("vec_id", pa.int64()), ("leaf", pa.int32()), ("code", pa.binary())])
 
     def encode(batches):
         for batch in batches:
             leaf, packed = model.value.encode(_matrix(batch.column("vec")))
-            yield batch_of(code_schema, vec_id=batch.column("vec_id").to_numpy(), leaf=leaf.astype(np.int32), code=[c.tobytes() for c in packed])
+            yield batch_of(code_schema, vec_id=batch.column("vec_id").to_numpy(), leaf=leaf.astype(np.int32), code=[c.tobytes() for c in packed])  # width bytes each
 
     coded = written(rows.mapInArrow(encode, "vec_id long, leaf int, code binary"))
 
+    # at most MOST_LEAVES rows: leaves fill groups of up to SCAN_ROWS rows in order, a larger leaf gets parts
+    sizes = {r["leaf"]: r["n"] for r in coded.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    group, parts, filled = np.zeros(leaves, np.int32), np.ones(leaves, np.int32), [0]
+    for leaf in range(leaves):
+        n = sizes.get(leaf, 0)
+        if filled[-1] and filled[-1] + n > SCAN_ROWS:
+            filled.append(0)
+        group[leaf], parts[leaf] = len(filled) - 1, max(1, -(-n // SCAN_ROWS))
+        filled[-1] += n
+    # a part of a large leaf is its own group; query parts follow from the number of queries
+    offsets = np.concatenate(([0], np.cumsum(np.maximum.reduceat(parts, np.searchsorted(group, np.arange(group[-1] + 1)))))).astype(np.int32)
+    asked = written(asked)
+    query_parts = max(1, -(-asked.count() // SCAN_QUERIES))
+    table = F.broadcast(spark.createDataFrame([(i, int(offsets[group[i]]), int(parts[i])) for i in range(leaves)], "leaf int, base int, parts int"))
+    salted = coded.join(table, "leaf").select((F.col("base") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("g"), "leaf", "vec_id", "code")
+    left = salted.select("g", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("q"), "leaf", "vec_id", "code")
+
     def route(batches):
         for batch in batches:
-            q = _matrix(batch.column("query"))
-            score = q @ model.value.centres.T
+            score = _matrix(batch.column("query")) @ model.value.centres.T
             best = np.argsort(-score, axis=1, kind="stable")[:, :searched]
-            n = best.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("query_id").to_numpy(), n)), batch.column("query").take(pa.array(np.repeat(np.arange(len(q)), n))), pa.array(best.ravel().astype(np.int32)), pa.array(np.take_along_axis(score, best, 1).ravel().astype(np.float32))], names=["query_id", "query", "leaf", "base"])
-
-    routed = written(asked.mapInArrow(route, "query_id long, query array<float>, leaf int, base float"))
-
-    # at most MOST_LEAVES rows: into how many parts each leaf's codes and queries are dealt
-    parts = coded.groupBy("leaf").agg(F.ceil(F.count("*") / SCAN_ROWS).cast("int").alias("code_parts")).join(routed.groupBy("leaf").agg(F.ceil(F.count("*") / SCAN_QUERIES).cast("int").alias("query_parts")), "leaf")
-    parts = F.broadcast(written(parts))
-    salt = lambda c, n: F.pmod(F.xxhash64(c, F.lit(1)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = coded.join(parts, "leaf").select("leaf", salt("vec_id", "code_parts").alias("c"), every("query_parts").alias("q"), "vec_id", "code")
-    right = routed.join(parts, "leaf").select("leaf", every("code_parts").alias("c"), salt("query_id", "query_parts").alias("q"), "query_id", "query", "base")
+            out_row, out_group = [], []
+            for i, chosen in enumerate(best):
+                met = sorted({int(offsets[group[x]]) + j for x in chosen.tolist() for j in range(parts[x])})
+                out_row += [i] * len(met)
+                out_group += met
+            at = pa.array(np.array(out_row, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(at), batch.column("query").take(at), pa.array(out_group, pa.int32())], names=["query_id", "query", "g"])
+
+    right = asked.mapInArrow(route, "query_id long, query array<float>, g int").withColumn("q", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(query_parts)).cast("int"))
     found_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("near", pa.float32())])
 
     def scan(codes: pa.Table, queries: pa.Table) -> pa.Table:
         out = [[], [], []]
         if codes.num_rows and queries.num_rows:
-            ids = codes.column("vec_id").to_numpy()
+            ids, leaf = codes.column("vec_id").to_numpy(), codes.column("leaf").to_numpy()
             order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            packed = np.ascontiguousarray(np.frombuffer(b"".join(codes.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order].T)
-            query_ids, base, q = queries.column("query_id").to_numpy(), queries.column("base").to_numpy(), _matrix(queries.column("query").combine_chunks())
+            ids, leaf = ids[order], leaf[order]
+            packed = np.frombuffer(b"".join(codes.column("code").to_pylist()), np.uint8).reshape(len(ids), width)
+            packed = np.ascontiguousarray(packed[order].T)
+            query_ids, q = queries.column("query_id").to_numpy(), _matrix(queries.column("query").combine_chunks())
+            base = q @ model.value.centres.T
+            if searched < leaves:
+                # leaves that a query doesn't search are out of its reach
+                np.put_along_axis(base, np.argsort(-base, axis=1, kind="stable")[:, searched:], -np.inf, 1)
             for i in range(0, len(q), 64):
-                for j, table in enumerate(model.value.tables(q[i : i + 64]), i):
-                    near = table[0][packed[0]]
-                    for b in range(1, len(packed)):
-                        near += table[b][packed[b]]
+                for j, tables in enumerate(model.value.tables(q[i : i + 64]), i):
+                    near = base[j][leaf]
+                    for b in range(width):
+                        near += tables[b][packed[b]]
                     near[ids == query_ids[j]] = -np.inf
+                    at = np.arange(len(near))
                     if len(near) > kept:
                         # in id order, so that equal scores leave the smaller ids
                         least = np.partition(near, len(near) - kept)[len(near) - kept]
                         above, level = np.flatnonzero(near > least), np.flatnonzero(near == least)
                         at = np.concatenate((above, level[: kept - len(above)]))
-                    else:
-                        at = np.arange(len(near))
                     at = at[np.isfinite(near[at])]
                     out[0].append(np.full(len(at), query_ids[j]))
                     out[1].append(ids[at])
-                    out[2].append(near[at] + base[j])
+                    out[2].append(near[at])
         return pa.Table.from_arrays([pa.array(np.concatenate(o) if o else np.zeros(0), f.type) for o, f in zip(out, found_schema, strict=True)], schema=found_schema)
 
-    found = left.groupBy("leaf", "c", "q").cogroup(right.groupBy("leaf", "c", "q")).applyInArrow(scan, "query_id long, vec_id long, near float")
+    found = left.groupBy("g", "q").cogroup(right.groupBy("g", "q")).applyInArrow(scan, "query_id long, vec_id long, near float")
     best = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
     short = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= kept).select("query_id", "vec_id").distinct()
     pairs = short.join(rows, "vec_id").join(asked, "query_id")
