@@ -92,7 +92,7 @@ def text_scores(rows: DataFrame, model: tuple[list[str], np.ndarray], text_weigh
             cell, owner, letters = cells_of(batch.column("text"))
             n = np.bincount(owner, minlength=batch.num_rows)
             score = np.stack([np.bincount(owner, weights=row[cell], minlength=batch.num_rows) for row in logp]) if len(logp) else np.zeros((0, batch.num_rows))
-            score *= np.minimum(1.0, text_weight / np.maximum(n, 1))
+            score = score * np.minimum(1.0, text_weight / np.maximum(n, 1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(logp)), pa.array(np.ascontiguousarray(score.T).ravel(), pa.float64()))
             kept = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(letters, pa.int64()), lists], names=[*kept, "letters", "scores"])
