@@ -102,22 +102,24 @@ def label_weights(labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> Dat
     return mean.select("doc_id", (F.lit(bad) + (good - bad) * F.col("mean")).alias("quality_weight"))
 
 
-def mixed(docs: DataFrame, plan: DataFrame) -> DataFrame:
+def mixed(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The mix itself with docs' columns: a row for each complete epoch, and one cut to its first `part` words.
 
-    `plan` is what take() returns for these docs (ids and texts in columns doc_id and text).
+    `plan` is what take() returns for these docs.
     """
-    again = plan.where("epochs > 0 or part > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "epochs", "part", F.col("size").alias("_size"))
+    own = docs.columns
+    source = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)))
+    id_, text = (F.col(f"c{own.index(c)}") for c in (id_col, text_col))
     # equal rows on a boundary: each takes what the one that takes most takes
-    again = again.groupBy("_id", "_key").agg(F.max("epochs").alias("epochs"), F.max("part").alias("part"), F.max("_size").alias("_size"))
-    joined = docs.join(again, docs.doc_id.cast("long").eqNullSafe(again["_id"]) & ((F.xxhash64(docs.text) == again["_key"])))
+    again = plan.where("epochs > 0 or part > 0").groupBy("doc_id", "text_key").agg(F.max("epochs").alias("epochs"), F.max("part").alias("part"), F.max("size").alias("size"))
+    joined = source.join(again, id_.cast("long").eqNullSafe(again.doc_id) & F.xxhash64(text).eqNullSafe(again.text_key))
     # what each row repeats is part of the row, so no partition grows beyond max_ratio times
-    counts = F.concat(F.array_repeat(F.col("_size"), F.col("epochs").cast("int")), F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.array().cast("array<long>")))
-    rows = joined.withColumn("_take", F.explode(counts))
-    text = F.when(F.col("_take") >= F.col("_size"), F.col("text")).otherwise(cut_words("text", "_take"))
-    return rows.withColumn("text", text).select(*(F.col(f"`{c}`") for c in docs.columns))
+    counts = F.concat(F.array_repeat(F.col("size"), F.col("epochs").cast("int")), F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.array().cast("array<long>")))
+    rows = joined.withColumn("take", F.explode(counts))
+    new = F.when(F.col("take") >= F.col("size"), text).otherwise(cut_words(text, F.col("take")))
+    return rows.select(*(new if c == text_col else F.col(f"c{i}") for i, c in enumerate(own))).toDF(*own)
 
 
-def cut_words(text: str, n: str) -> Column:
+def cut_words(text: Column, n: Column) -> Column:
     """The text's first n words joined by one space."""
-    return F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col(n).cast("int")), " ")
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.lit(1), n.cast("int")), " ")
