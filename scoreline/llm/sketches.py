@@ -18,13 +18,11 @@ SEGMENTS = 64
 
 
 def add_up(df: DataFrame, cells: Callable[[pa.RecordBatch], np.ndarray], size: int, bits: bool = False) -> np.ndarray:
-    """Counts by cell (as int32; with bits, booleans) over all rows; cells(batch) gives cell numbers.
+    """Counts by cell (as int32; with bits, whether there are any, as packed bits) over all rows; cells(batch) gives cell numbers.
 
     Each task fills one table (counts stop at 65,535 a task), packs it and sends its segments; they
     are added up by segment, one array of fixed size each.
     """
-    width = size // SEGMENTS
-
     def fill(batches):
         import zstandard
 
@@ -59,11 +57,11 @@ def add_up(df: DataFrame, cells: Callable[[pa.RecordBatch], np.ndarray], size: i
             yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int64()), "table": pa.array([t.tobytes()], pa.binary())})
 
     schema = "segment long, table binary"
-    rows = df.mapInArrow(fill, schema).repartition(16, "segment").mapInArrow(merge, schema).collect()  # SEGMENTS rows, size bytes in all
-    out = np.zeros(size, bool if bits else np.int32)
+    rows = df.mapInArrow(fill, schema).repartition(16, "segment").mapInArrow(merge, schema).collect()  # SEGMENTS rows of a fixed size
+    out = np.zeros(size // 8 if bits else size, np.uint8 if bits else np.int32)
+    width = len(out) // SEGMENTS
     for r in rows:
-        part = np.unpackbits(np.frombuffer(r["table"], np.uint8)).astype(bool) if bits else np.frombuffer(r["table"], np.int32)
-        out[r["segment"] * width : (r["segment"] + 1) * width] = part
+        out[r["segment"] * width : (r["segment"] + 1) * width] = np.frombuffer(r["table"], out.dtype)
     return out
 
 
@@ -76,8 +74,8 @@ def probes(keys: np.ndarray, size: int, k: int = 3) -> np.ndarray:
 class BitFilter:
     """A Bloom filter over unsigned 64-bit keys, held as packed bits."""
 
-    def __init__(self, table: np.ndarray, k: int = 3):
-        self.size, self.k, self.packed = len(table), k, np.packbits(table)
+    def __init__(self, packed: np.ndarray, k: int = 3):
+        self.size, self.k, self.packed = 8 * len(packed), k, packed
 
     def may_hold(self, keys: np.ndarray) -> np.ndarray:
         at = probes(keys, self.size, self.k)
