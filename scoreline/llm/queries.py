@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import flat_ids, language_id, mips, mixing, ngram_join, packing, substring_dedup, transport_stream, url_reputation, warc
 from .common import table
+from .oracles import ORACLE_SQL
 
 VOCABULARY = "word_bpe_49k.json"
 RULES = [
@@ -51,7 +52,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("long")
-    return url_reputation.judge(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), RULES)
+    return url_reputation.judge(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op8_flat_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,11 +67,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     quality = mixing.label_weights(table(spark, sf_dir, "labels"))
-    return mixing.take(table(spark, sf_dir, "documents"), quality=quality).drop("text_key")
+    taken = mixing.take(table(spark, sf_dir, "documents"), quality=quality).drop("text_key")
+    return taken.withColumn("target", F.round("target", 6) + F.lit(0.0))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_transport_stream, op2_mips, op3_ngram_join, op4_packing, op5_warc, op6_substring_dedup, op7_url_reputation, op8_flat_ids, op9_language_id, op10_mixing)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
