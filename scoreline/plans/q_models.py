@@ -120,7 +120,7 @@ def t4(spark, sf):
     return jobs.drain(jobs.rate_stream(_events(spark, sf).select("ts", F.col("value").alias("latency"))), store.shared_path(spark))
 
 
-@query("t5_form_stream", """WITH e AS (SELECT event_id, user_id, ts, value - 50 AS v FROM events) SELECT event_id AS id, round(avg(v) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 3) + 0.0 AS roll_mean FROM e""")
+@query("t5_form_stream", """WITH e AS (SELECT event_id, user_id, ts, value - 50 AS v FROM events) SELECT event_id AS id, round(avg(v) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 8) + 0.0 AS roll_mean FROM e""")
 def t5(spark, sf):
     e = _events(spark, sf).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", (F.col("value") - 50).alias("value"))
-    return jobs.drain(jobs.form_stream(e), store.shared_path(spark)).select("id", (F.round("roll_mean", 3) + F.lit(0.0)).alias("roll_mean"))
+    return jobs.drain(jobs.form_stream(e), store.shared_path(spark)).select("id", (F.round("roll_mean", 8) + F.lit(0.0)).alias("roll_mean"))
