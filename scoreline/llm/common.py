@@ -113,7 +113,7 @@ def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, up to exponent n."""
-    size = 2 * SLICE_BYTES
+    size = SLICE_BYTES + (SLICE_BYTES >> 4)
     if n <= size:
         up, down = _power_tables(size)
         return up[: n + 1], down[: n + 1]

@@ -6,7 +6,7 @@ table only tells fewer rows apart; it is never the last word, exact steps follow
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +17,8 @@ from .common import mix
 SEGMENTS = 64
 
 
-def add_up(df: DataFrame, cells: Callable[[pa.RecordBatch], np.ndarray], size: int, bits: bool = False) -> np.ndarray:
-    """Counts by cell (as int32; with bits, whether there are any, as packed bits) over all rows; cells(batch) gives cell numbers.
+def add_up(df: DataFrame, cells: Callable[[pa.RecordBatch], Iterable[np.ndarray]], size: int, bits: bool = False) -> np.ndarray:
+    """Counts by cell (as int32; with bits, whether there are any, as packed bits) over all rows; cells(batch) gives arrays of cell numbers.
 
     Each task fills one table (counts stop at 65,535 a task), packs it and sends its segments; they
     are added up by segment, one array of fixed size each.
@@ -26,16 +26,14 @@ def add_up(df: DataFrame, cells: Callable[[pa.RecordBatch], np.ndarray], size: i
     def fill(batches):
         import zstandard
 
-        own = np.zeros(size, bool if bits else np.uint32)
+        own = np.zeros(size >> 3, np.uint8) if bits else np.zeros(size, np.uint32)
         for batch in batches:
-            at = cells(batch)
-            if bits:
-                own[at] = True
-            elif len(at):
-                own += np.bincount(at, minlength=size).astype(np.uint32) if len(at) > size >> 3 else 0
-                if len(at) <= size >> 3:
+            for at in cells(batch):
+                if bits:
+                    np.bitwise_or.at(own, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+                else:
                     np.add.at(own, at, 1)
-        own = np.packbits(own) if bits else np.minimum(own, 65_535).astype("<u2")
+        own = own if bits else np.minimum(own, 65_535).astype("<u2")
         pack = zstandard.ZstdCompressor(level=1)
         parts = own.reshape(SEGMENTS, -1)
         yield pa.RecordBatch.from_pydict({"segment": pa.array(np.arange(SEGMENTS), pa.int64()), "table": pa.array([pack.compress(p.tobytes()) for p in parts], pa.binary())})
@@ -82,6 +80,6 @@ class BitFilter:
         return ((self.packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0) if len(keys) else np.zeros(0, bool)
 
 
-def bit_filter(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], size: int, k: int = 3) -> BitFilter:
-    """The filter of the keys that keys(batch) gives over all rows of df."""
-    return BitFilter(add_up(df, lambda b: probes(keys(b), size, k).ravel(), size, bits=True), k)
+def bit_filter(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterable[np.ndarray]], size: int, k: int = 3) -> BitFilter:
+    """The filter of the keys in the arrays that keys(batch) gives, over all rows of df."""
+    return BitFilter(add_up(df, lambda b: (probes(x, size, k).ravel() for x in keys(b)), size, bits=True), k)

@@ -49,11 +49,9 @@ def _anchors(rows: DataFrame, block: int) -> DataFrame:
     """(text_key, block_hash): the blocks of each text that also stand in another text, one of them at an index place."""
 
     def indexed(batch):
-        found = []
         for b in slices([batch], "text"):
             rolling, _, aligned = _blocks(Words(b.column("text")), block)
-            found.append(rolling[aligned])
-        return np.concatenate(found) if found else np.zeros(0, np.uint64)
+            yield rolling[aligned]
 
     index = rows.sparkSession.sparkContext.broadcast(bit_filter(rows.select("text"), indexed, BLOCK_BITS))  # a fixed number of bits
     schema = pa.schema([("text_key", pa.int64()), ("block_hash", pa.int64()), ("aligned", pa.bool_())])
@@ -75,7 +73,7 @@ def _anchors(rows: DataFrame, block: int) -> DataFrame:
 def _candidates(rows: DataFrame, anchors: DataFrame, window: int, block: int) -> DataFrame:
     """(doc_id, text_key, place, window_hash): all windows around anchors, of the first document of each text."""
     hits = written(anchors.groupBy("text_key").agg(F.collect_list("block_hash").alias("hits")))
-    wanted = rows.sparkSession.sparkContext.broadcast(bit_filter(hits.select("text_key"), lambda b: mix(_numbers(b, "text_key").view(np.uint64)), DOCUMENT_BITS))
+    wanted = rows.sparkSession.sparkContext.broadcast(bit_filter(hits.select("text_key"), lambda b: [mix(_numbers(b, "text_key").view(np.uint64))], DOCUMENT_BITS))
 
     def pick(batches):
         for batch in batches:
