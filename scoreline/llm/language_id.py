@@ -4,19 +4,24 @@ Four kinds of evidence make a posterior over languages for each document:
 - text: mean log-likelihood of the text's byte trigrams (hashed to `CELLS` cells) under each
   language's multinomial, times at most `text_weight` trigrams, since neighbours aren't independent;
 - the declared markup language and the address suffix: how often each occurs with each language;
-- the host: a prior smoothed along host, registered domain and all documents.
+- the host: a prior smoothed along host, registered domain (where there is a url) and all documents.
 The last three are counted over all documents by grouped aggregation of the text's own best
 language. The text model is fitted on at most `sample` labelled documents for each language, those
 with the smallest hash of id (the bound is a parameter; everything else covers all documents).
 
-A document is rejected where its text has no letters or the posterior of its best language is
-below `least`. Null and empty texts have no letters. Null declarations, suffixes and hosts are no
+A document is rejected where its text has no letters, where the posterior of its best language is
+below `least`, or where its text is of none of the languages: the mean log-likelihood of its
+trigrams under the best of them is below that of a background in which all cells are equally likely.
+`markup` makes the text and the declared language of raw pages. Null and empty texts have no letters. Null declarations, suffixes and hosts are no
 evidence. Repeated and null ids keep a row each. Without any labelled document there is no model
 and every document is rejected with a null language. Ties go to the first language in order.
 """
 
 from __future__ import annotations
 
+import html
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,6 +35,34 @@ _SQUEEZE[65:91] += 32
 # digits, punctuation and white space are one class: they say little about a language
 _SQUEEZE[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
+#: Mean log-likelihood of a trigram where all cells are equally likely.
+BACKGROUND = -float(np.log(CELLS))
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_TAG = re.compile(r"</?[A-Za-z!?][^<>]*>")
+_DECLARED = re.compile(r"<html\b[^<>]*?\s(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]+)", re.I)
+
+
+def visible(page: str | None) -> tuple[str | None, str | None]:
+    """A page's text without tags, scripts, styles and comments, and the language its html tag declares."""
+    if page is None:
+        return None, None
+    shown = _HIDDEN.sub(" ", page)
+    declared = _DECLARED.search(shown)
+    return html.unescape(_TAG.sub(" ", shown)), declared and declared[1]
+
+
+def markup(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(page_id, url, text, declared) for each page."""
+
+    def run(batches):
+        for batch in slices(batches, "html"):
+            found = [visible(h) for h in batch.column("html").to_pylist()]
+            text, declared = (pa.array([f[k] for f in found], pa.string()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), text, declared], names=["page_id", "url", "text", "declared"])
+
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    return rows.mapInArrow(run, "page_id long, url string, text string, declared string")
+
 
 def cells_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cells of all byte trigrams of the texts, the text number of each, and the letters of each text."""
@@ -83,7 +116,7 @@ def fit(labelled: DataFrame, sample: int = 2_000, alpha: float = 0.5) -> tuple[l
 
 
 def text_scores(rows: DataFrame, model: tuple[list[str], np.ndarray], text_weight: float = 60.0) -> DataFrame:
-    """rows (doc_id, key, declared, suffix, domain, host, text) without the text, with letters and log-likelihoods."""
+    """rows (doc_id, key, declared, suffix, domain, host, text) without the text, with letters, log-likelihoods and the best's mean for a trigram (null: no trigrams)."""
     shared = rows.sparkSession.sparkContext.broadcast(model[1])  # languages x CELLS floats
 
     def run(batches):
@@ -92,12 +125,13 @@ def text_scores(rows: DataFrame, model: tuple[list[str], np.ndarray], text_weigh
             cell, owner, letters = cells_of(batch.column("text"))
             n = np.bincount(owner, minlength=batch.num_rows)
             score = np.stack([np.bincount(owner, weights=row[cell], minlength=batch.num_rows) for row in logp]) if len(logp) else np.zeros((0, batch.num_rows))
+            mean = pa.array(score.astype(float).max(axis=0, initial=-np.inf) / np.maximum(n, 1), pa.float64(), mask=n == 0)
             score = score * np.minimum(1.0, text_weight / np.maximum(n, 1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(logp)), pa.array(np.ascontiguousarray(score.T).ravel(), pa.float64()))
             kept = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(letters, pa.int64()), lists], names=[*kept, "letters", "scores"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(letters, pa.int64()), mean, lists], names=[*kept, "letters", "mean", "scores"])
 
-    return rows.mapInArrow(run, "doc_id long, key long, declared string, suffix string, domain string, host string, letters long, scores array<double>")
+    return rows.mapInArrow(run, "doc_id long, key long, declared string, suffix string, domain string, host string, letters long, mean double, scores array<double>")
 
 
 def _best(values: Column) -> Column:
@@ -117,7 +151,7 @@ def _shares(counts: DataFrame, by: str, size: int, smooth: float) -> DataFrame:
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", url_col: str | None = None, host_col: str | None = "source",
-             text_weight: float = 60.0, smooth: float = 1.0, strength: float = 20.0, least: float = 0.5) -> DataFrame:
+             text_weight: float = 60.0, smooth: float = 1.0, strength: float = 20.0, least: float = 0.5, background: float = BACKGROUND) -> DataFrame:
     """(doc_id, key, declared, language, confidence, text_language, letters, keep) for each document.
 
     key is the text's hash; host_col is used where there is no url. language and text_language are
@@ -134,7 +168,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
         host = F.nullif(found, F.lit(""))
         domain, suffix = registered(host)
     declared = F.nullif(F.lower(F.regexp_extract(F.col(declared_col).cast("string"), "^[A-Za-z]+", 0)), F.lit("")) if declared_col else null
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), declared.alias("declared"), suffix.alias("suffix"), F.coalesce(domain, host).alias("domain"), host.alias("host"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), declared.alias("declared"), suffix.alias("suffix"), domain.alias("domain"), host.alias("host"), F.col(text_col).cast("string").alias("text"))
     if not size:
         return rows.select("doc_id", "key", "declared", null.alias("language"), F.lit(0.0).alias("confidence"), null.alias("text_language"), F.lit(0).cast("long").alias("letters"), F.lit(False).alias("keep"))
     scored = written(text_scores(rows, model, text_weight).withColumn("best", F.when(F.col("letters") > 0, _best(F.col("scores")))))
@@ -147,7 +181,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     total = lambda key: sum((F.col(f"{key}{i}") for i in range(size)), F.lit(0.0))
     shrunk = lambda key, prior: F.array(*(((F.col(f"{key}{i}") + strength * F.col(prior)[i]) / (total(key) + strength)) for i in range(size)))
     domains = counts.where("domain is not null").groupBy("domain").agg(*wide("d")).crossJoin(F.broadcast(top)).select("domain", shrunk("d", "all_prior").alias("domain_prior"))
-    hosts = counts.where("host is not null").groupBy("host", "domain").agg(*wide("h")).join(domains, "domain").select("host", shrunk("h", "domain_prior").alias("host_prior"))
+    # a host without a domain is shrunk to all documents, so nothing is counted twice
+    hosts = counts.where("host is not null").groupBy("host", "domain").agg(*wide("h")).join(domains, "domain", "left").crossJoin(F.broadcast(top))
+    hosts = hosts.withColumn("above", F.coalesce("domain_prior", "all_prior")).select("host", shrunk("h", "above").alias("host_prior"))
     hosts, by_declared, by_suffix = written(hosts), written(_shares(counts, "declared", size, smooth)), written(_shares(counts, "suffix", size, smooth))
 
     flat = F.array_repeat(F.lit(0.0), size)
@@ -158,4 +194,4 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     out = out.withColumn("log", log).withColumn("top", F.array_max("log"))
     out = out.withColumn("confidence", 1 / F.aggregate("log", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))).withColumn("at", _best(F.col("log")))
     names = F.array(*map(F.lit, languages))
-    return out.select("doc_id", "key", "declared", F.element_at(names, F.col("at")).alias("language"), "confidence", F.element_at(names, F.col("best")).alias("text_language"), "letters", ((F.col("letters") > 0) & (F.col("confidence") >= least)).alias("keep"))
+    return out.select("doc_id", "key", "declared", F.element_at(names, F.col("at")).alias("language"), "confidence", F.element_at(names, F.col("best")).alias("text_language"), "letters", ((F.col("letters") > 0) & (F.col("confidence") >= least) & F.coalesce(F.col("mean") >= background, F.lit(True))).alias("keep"))

@@ -61,8 +61,13 @@ def op8_flat_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return language_id.identify(docs, language_id.fit(docs.select("doc_id", "text", F.col("lang").alias("label")))).drop("key")
+    """A row for each document (text and source) and each page (text, html tag, suffix and host)."""
+    docs, pages = table(spark, sf_dir, "documents"), language_id.markup(table(spark, sf_dir, "pages"))
+    model = language_id.fit(docs.select("doc_id", "text", F.col("lang").alias("label")))
+    # lang is the label that the model is fitted on, so it is no declaration
+    of_docs = language_id.identify(docs, model, declared_col=None).withColumn("page_id", F.lit(None).cast("long"))
+    of_pages = language_id.identify(pages, model, id_col="page_id", declared_col="declared", url_col="url", host_col=None).withColumnRenamed("doc_id", "page_id").withColumn("doc_id", F.lit(None).cast("long"))
+    return of_docs.unionByName(of_pages).select("doc_id", "page_id", "declared", "language", "confidence", "text_language", "letters", "keep")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

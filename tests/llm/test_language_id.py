@@ -65,3 +65,46 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert li.identify(no_docs, model).count() == 0
     none = fit(no_docs)
     assert none[0] == [] and all(not r.keep and r.language is None for r in li.identify(docs, none).collect())
+
+
+def test_visible_text_and_declaration_of_markup():
+    page = "<!-- <html lang='xx'> --><HTML class=a xml:lang=\"de-AT\"><script>var t='</p>';</script><style>p{}</style><p>Stra&szlig;e 1 < 2</p><script>open"
+    assert [" ".join(x.split()) for x in li.visible(page)] == ["Straße 1 < 2", "de"]
+    assert li.visible(None) == (None, None) and li.visible("<p lang='fr'>a</p>")[1] is None
+
+
+def test_query_covers_documents_and_pages_with_their_own_evidence(spark):
+    from scoreline.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs, pages = (queries.table(spark, sf, t) for t in ("documents", "pages"))
+    rows = queries.op9_language_id(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows if r.page_id is None) == sorted(r.doc_id for r in docs.collect())
+    declared = {r.page_id: li.visible(r.html)[1] for r in pages.collect()}
+    assert {r.page_id: r.declared for r in rows if r.doc_id is None} == declared and None not in declared.values()
+    # the training label declares nothing
+    assert all(r.declared is None for r in rows if r.page_id is None)
+
+
+def test_suffix_decides_what_the_text_leaves_open(spark):
+    df = corpus(spark).withColumn("url", F.concat(F.lit("http://"), "source", F.lit("/x")))
+    new = spark.createDataFrame([(5000, "xx", "http://other.fr/"), (5001, "xx", "http://other.de/")], "doc_id long, text string, url string")
+    got = li.identify(df.select("doc_id", "text", "url").unionByName(new), fit(df), declared_col=None, url_col="url", host_col=None).where("doc_id >= 5000").collect()
+    assert {r.doc_id: r.language for r in got} == {5000: "fr", 5001: "de"}
+
+
+def test_host_without_url_is_counted_once(spark):
+    df = corpus(spark, 3).select("doc_id", "text", F.lit("one").alias("source"))
+    model = fit(corpus(spark))
+    new = spark.createDataFrame([(9, "", "one"), (10, "", None)], "doc_id long, text string, source string")
+    rows = li.identify(df.where("doc_id = 0").unionByName(new), model, declared_col=None, smooth=1.0, strength=20.0).where("doc_id >= 9").collect()
+    got = {r.doc_id: r for r in rows}
+    # one English text: all documents give 2/4, the host (1 + 20 * 2/4) / 21
+    assert abs(got[10].confidence - 0.5) < 1e-9 and abs(got[9].confidence - 11 / 21) < 1e-9
+
+
+def test_text_of_no_known_language_is_rejected(spark):
+    df = corpus(spark)
+    new = spark.createDataFrame([(5000, "Съешь же ещё этих мягких французских булок да выпей чаю " * 3, "en", "enhost1.com")], "doc_id long, text string, lang string, source string")
+    rows = li.identify(df.select("doc_id", "text", "lang", "source").unionByName(new), fit(df)).collect()
+    assert [r.doc_id for r in rows if not r.keep] == [5000]
