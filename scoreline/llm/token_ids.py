@@ -33,6 +33,7 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.last: dict[str, bool] = {}
         self.kind = "H" if self.dtype.itemsize == 2 else "I"
         mark = self._plain(MARK)
         probe = self._plain(f"a {MARK} b.\tA\nb .")
@@ -55,6 +56,14 @@ class Encoder:
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
+    def _ends_in_letter(self, c: str) -> bool:
+        """Whether the letter c still ends in a letter when normalised: some become one with a combining
+        mark (U+0130, Hebrew and Indic presentation forms), which a stop after it joins in one piece."""
+        found = self.last.get(c)
+        if found is None:
+            found = self.last[c] = self.tokenizer.normalizer.normalize_str(c)[-1:].isalpha()
+        return found
+
     def _learn(self, new: set[str]) -> None:
         words, pieces, cores, letters, model = self.words, self.pieces, self.cores, self.letters, self.tokenizer.model.tokenize
         later, kind = [], self.kind
@@ -77,7 +86,7 @@ class Encoder:
                 later.append(w)
         if not later:
             return
-        cut = [w[:-1] if w[-1] in ",." and w[:-1].isalpha() else w for w in later]
+        cut = [w[:-1] if w[-1] in ",." and w[:-1].isalpha() and self._ends_in_letter(w[-2]) else w for w in later]
         plain = [*{c for c in cut if c not in cores}]
         runs = [plain[i : i + 200] for i in range(0, len(plain), 200)]
         for run, found in zip(runs, self.tokenizer.encode_batch_fast([f" {MARK} ".join(r) for r in runs], add_special_tokens=False), strict=True):

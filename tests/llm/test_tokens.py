@@ -1,3 +1,4 @@
+import unicodedata
 import zlib
 
 import numpy as np
@@ -33,6 +34,15 @@ def test_encoder_equals_the_tokenizer(spark, plain, monkeypatch):
                 assert np.frombuffer(ids, enc.dtype).tolist() == plain(t, 1), t
 
 
+def test_encoder_keeps_stops_with_marks_that_normalising_makes(plain):
+    ends = [c for c in map(chr, [*range(0xAA, 0xD800), *range(0xE000, 0x20000)]) if c.isalpha() and len(unicodedata.normalize("NFC", c).lower()) > 1]
+    assert "\u0130" in ends and "\u0958" in ends
+    texts = ["BELED\u0130YES\u0130. \u0130, x", *(f"BA{c}{stop} {c}{stop}" for c in ends for stop in ".,")]
+    enc = token_ids.Encoder(PATH)
+    for t, ids in zip(texts, enc.encode(texts, 1), strict=True):
+        assert np.frombuffer(ids, enc.dtype).tolist() == plain(t, 1), t
+
+
 def test_flat_files_round_trip(spark, plain, odd_docs, no_docs):
     folder, manifest = flat_ids.write_ids(odd_docs.repartition(3), PATH, 1)
     rows = flat_ids.read_ids(spark, folder).collect()
