@@ -193,3 +193,20 @@ def test_training_and_backtest(spark):
     b = backtest.run(g, ["x", "total_line"], 3, settings=s)
     assert b.status == "ok" and b.folds.count() == 2
     assert backtest.run(g.limit(50), ["x"], 3, settings=s).status == "insufficient_data"
+
+
+def test_scores_are_calibrated_on_validation(spark):
+    import numpy as np
+
+    # x says little, so the blend of few rounds keeps near 1/2 while 9 of 10 validation games go over
+    rows = [(i, float(i % 2), int(i % 10 != 0) if i >= 600 else i % 2, i >= 600) for i in range(900)]
+    df = store.stored(spark.createDataFrame(rows, "game_id long, x double, result_over int, late boolean"))
+    s = training.Settings(small_rounds=(1, 1), small_depths=(1, 1))
+    late = df.where("late")
+    model = training.fit(df.where("NOT late"), late, ["x"], 900, s)
+    got = training.score(model, late, ["x"], s)
+    mean = got.agg(F.avg("prob")).first()[0]
+    assert mean == pytest.approx(0.9, abs=1e-6)  # an isotonic fit keeps the mean of its labels
+    half = F.abs(F.col("prob_a") - F.col("prob_b")) / 2
+    gap = got.select(F.col("low") - F.greatest(F.lit(0.0), F.col("prob") - half)).collect()
+    assert np.abs([g[0] for g in gap]).max() < 1e-4
