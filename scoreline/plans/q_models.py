@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import rolling, training
@@ -11,25 +13,39 @@ from . import backtest
 from .base import P, query, rounded, s6
 
 FEATURES = ["home_score_roll5_mean", "away_score_roll5_mean", "home_score_roll10_mean", "away_score_roll10_mean", "total_line"]
-#: Few shallow trees: these queries show the jobs, not the best model.
+SETTINGS = training.Settings()
+#: Few shallow trees, for tests of the jobs.
 QUICK = training.Settings(rounds=(5, 5), depths=(3, 3), small_rounds=(3, 3), small_depths=(2, 2))
 
 
-def model_games(spark, sf, sport: str):
-    g = rolling.rolling(adapt.games(spark, sf).where(F.col("sport") == sport), ["score"], (5, 10), ())
+def model_games(spark, sf):
+    """Games of all sports with features."""
+    g = rolling.rolling(adapt.games(spark, sf), ["score"], (5, 10), ())
     return store.stored(g.select("sport", "game_id", "game_date", "season", "total_line", "result_over", *FEATURES[:4]))
 
 
-def _holdout(spark, sf, sport="nba"):
-    g = model_games(spark, sf, sport)
-    done = training.train(g, FEATURES, QUICK)
-    split = rolling.time_split(g, ["sport"])
-    return done, (None if done is None else training.score(done.model, split.where("part = 'holdout'"), FEATURES, QUICK))
+def _sports(g):
+    """(sport, its games) of each of the few sports."""
+    return [(r["sport"], g.where(F.col("sport") == r["sport"])) for r in g.select("sport").distinct().orderBy("sport").collect()]
+
+
+def _trained(g):
+    """(sport, games, trained) of each sport with games enough for a model."""
+    found = [(sport, games, training.train(games, FEATURES, SETTINGS)) for sport, games in _sports(g)]
+    found = [f for f in found if f[2] is not None]
+    if not found:
+        raise ValueError(f"no sport has {training.LEAST} labelled games")
+    return found
+
+
+def _united(parts):
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("m1_ensemble")
 def m1(spark, sf):
-    return _holdout(spark, sf)[1].select("game_id", "prob_a", "prob_b")
+    held = lambda games: rolling.time_split(games, ["sport"]).where("part = 'holdout'")
+    return _united(training.score(done.model, held(games), FEATURES, SETTINGS) for _, games, done in _trained(model_games(spark, sf))).select("game_id", "prob_a", "prob_b")
 
 
 _AB = P + ", ab AS (SELECT prediction_id, prob_over AS a, CAST(game_id * 104729 % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS b FROM predictions), bl AS (SELECT *, 0.6::DOUBLE * a + 0.4::DOUBLE * b AS p, abs(a - b) / 2 AS h FROM ab)\n"
@@ -60,12 +76,12 @@ def m4(spark, sf):
 
 @query("m5_importance")
 def m5(spark, sf):
-    return training.importance(_holdout(spark, sf)[0].model, FEATURES, QUICK)
+    return _united(training.importance(done.model, FEATURES, SETTINGS).withColumn("sport", F.lit(sport)) for sport, _, done in _trained(model_games(spark, sf)))
 
 
 @query("m6_train")
 def m6(spark, sf):
-    return _holdout(spark, sf)[0].metrics
+    return _united(done.metrics for _, _, done in _trained(model_games(spark, sf)))
 
 
 @query("m7_registry", P + ", r AS (SELECT sport, model_version AS version, max(game_date) AS trained_at FROM predictions GROUP BY sport, model_version), l AS (SELECT sport, max_by(version, (trained_at, version)) AS v FROM r GROUP BY sport) SELECT sport, version, trained_at, version = v AS active FROM r JOIN l USING (sport)")
@@ -76,15 +92,19 @@ def m7(spark, sf):
 
 @query("m8_batch_scoring")
 def m8(spark, sf):
-    done, _ = _holdout(spark, sf)
-    asked = adapt.games(spark, sf).where("sport = 'nba'").select("sport", "game_id", "total_line")
-    filled = training.impute(asked, done.medians, FEATURES)
-    return training.score(done.model, filled, FEATURES, QUICK).select("game_id", "prob", "low", "high")
+    """A row for each game; null values where its sport has too few games for a model."""
+    asked = store.stored(adapt.games(spark, sf).select("sport", "game_id", "total_line"))
+    trained = _trained(model_games(spark, sf))
+    parts = [training.score(done.model, training.impute(asked.where(F.col("sport") == sport), done.medians, FEATURES), FEATURES, SETTINGS) for sport, _, done in trained]
+    null = F.lit(None).cast("double")
+    rest = asked.where(~F.col("sport").isin([sport for sport, _, _ in trained])).select("game_id", null.alias("prob"), null.alias("low"), null.alias("high"))
+    return _united([*(p.select("game_id", "prob", "low", "high") for p in parts), rest])
 
 
 @query("m9_backtest")
 def m9(spark, sf):
-    return backtest.run(model_games(spark, sf, "nba"), FEATURES, folds=3, settings=QUICK).folds
+    done = [(sport, backtest.run(games, FEATURES, settings=SETTINGS)) for sport, games in _sports(model_games(spark, sf))]
+    return _united(b.folds.withColumn("sport", F.lit(sport)) for sport, b in done if b.status == "ok")
 
 
 # ------------------------------------------------------------------ streams over the events
