@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
-from functools import cache
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +21,12 @@ SLICE_BYTES = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which the driver and all executors share.
 
-    Where the session has no such setting (tests, local runs), a temporary folder is set.
+    Where a local session has no such setting (tests), a temporary folder is set; elsewhere that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -35,6 +39,38 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that `written` gave and nothing reads any more; each must be a bare one."""
+    for df in tables:
+        spark = df.sparkSession
+        base = spark.conf.get("spark.checkpoint.dir").rstrip("/").removeprefix("file://")
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if base in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@functools.cache
+def _trim() -> Callable[[], object]:
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda: None
+    return lambda: trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A map over batches that hands a worker's unused memory back when it ends."""
+
+    @functools.wraps(run)
+    def inner(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        _trim()()
+
+    return inner
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -81,7 +117,6 @@ _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_M, _M_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -95,37 +130,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_STEP, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+_BELOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes from which a word's hash is a keyed digest of its own.
+LONG_WORD = 256
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    if n > 1:
-        out[1:] = np.uint64(base)
-        np.multiply.accumulate(out, out=out)
-    return out
-
-
-@cache
-def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(_M, size + 1), _powers(_M_INV, size + 1)
-
+def word_hashes(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of buf[begin:end] for every pair; buf has 8 bytes to spare at its end.
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, up to exponent n."""
-    size = SLICE_BYTES + (SLICE_BYTES >> 4)
-    if n <= size:
-        up, down = _power_tables(size)
-        return up[: n + 1], down[: n + 1]
-    return _powers(_M, n + 1), _powers(_M_INV, n + 1)
+    Words are taken in chunks of 8 bytes, each followed by the splitmix64 finaliser, so words of up to
+    8 bytes and equal length never share a hash and no algebra links longer ones; a word of over
+    LONG_WORD bytes gets a keyed BLAKE2b digest.
+    """
+    size = end - begin
+    out = mix(size.astype(np.uint64) * _TURN)
+    if not len(size):
+        return out
+    loads = np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
+    out = mix((out ^ (loads[begin] & _BELOW[np.minimum(size, 8)])) + _STEP)
+    at, k = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 1
+    while len(at):
+        left = np.minimum(size[at] - 8 * k, 8)
+        out[at] = mix((out[at] ^ (loads[begin[at] + 8 * k] & _BELOW[left])) + np.uint64((int(_STEP) * (k + 1)) & ((1 << 64) - 1)))
+        k += 1
+        at = at[size[at] > 8 * k]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[begin[i] : end[i]].tobytes(), digest_size=8, key=b"long word").digest(), "little")
+    return out
 
 
-def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A polynomial hash modulo 2**64 of values[start:end], for every pair."""
-    up, down = powers(len(values))
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=total[1:])
-    return (total[ends] - total[starts]) * down[starts]
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * _STEP + right * _TURN)
 
 
 class Words:
@@ -139,7 +175,8 @@ class Words:
         sizes = ends - starts
         # one separator after each text keeps words of neighbours apart
         at = np.concatenate(([0], np.cumsum(sizes + 1)))
-        buf = np.full(int(at[-1]), 0x0A, np.uint8)
+        whole = np.full(int(at[-1]) + 8, 0x0A, np.uint8)
+        buf = whole[:-8]
         if len(starts) and np.array_equal(starts[1:], ends[:-1]):
             keep = np.ones(len(buf), bool)
             keep[at[1:] - 1] = False
@@ -149,23 +186,37 @@ class Words:
                 buf[t : t + e - s] = raw[s:e]
         self.buf = buf
         if lower:
-            buf = _LOWER[buf]
+            whole = _LOWER[whole]
+            buf = whole[:-8]
         word = ~_SEP[buf]
         edge = np.diff(np.concatenate(([0], word.view(np.int8), [0])))
         self.begin, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         self.first = np.searchsorted(self.begin, at)
         self.counts = np.diff(self.first)
-        self.hash = mix(spans(_BYTE[buf], self.begin, self.end)) if len(self.begin) else np.zeros(0, np.uint64)
+        self.hash = word_hashes(whole, self.begin, self.end)
 
     def windows(self, size: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the window of `size` words that starts at each word, and whether it lies in one text."""
+        """Hash of the window of `size` words that starts at each word, and whether it lies in one text.
+
+        Halves are hashed together, pair by pair, each time through the finaliser. Another salt
+        gives another hash of the same words.
+        """
         n = len(self.hash)
-        good = np.zeros(n, bool)
-        out = np.zeros(n, np.uint64)
+        good, out = np.zeros(n, bool), np.zeros(n, np.uint64)
         if n >= size:
+            # part: hashes of `width` words; done: of the first `taken` words of the window
+            part = mix(self.hash ^ np.uint64(salt)) if salt else self.hash
+            done, taken, width = None, 0, 1
+            while True:
+                if size & width:
+                    done = part if done is None else _joined(done[: len(part) - taken], part[taken : taken + len(done)])
+                    taken += width
+                if taken == size:
+                    break
+                part = _joined(part[:-width], part[width:])
+                width *= 2
             start = np.arange(n - size + 1)
-            values = mix(self.hash ^ np.uint64(salt)) if salt else self.hash
-            out[: n - size + 1] = mix(spans(values, start, start + size))
+            out[: n - size + 1] = mix(done[: n - size + 1] + np.uint64(size))
             last = np.repeat(self.first[1:], self.counts)
             good[: n - size + 1] = start + size <= last[: n - size + 1]
         return out, good

@@ -11,18 +11,22 @@ from collections.abc import Callable, Iterable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import mix
+from .common import mix, tidy
 
-SEGMENTS = 64
+#: Pieces of a table, and groups of tasks whose tables are added up first.
+SEGMENTS, GROUPS = 64, 64
 
 
 def add_up(df: DataFrame, cells: Callable[[pa.RecordBatch], Iterable[np.ndarray]], size: int, bits: bool = False) -> np.ndarray:
     """Counts by cell (as int32; with bits, whether there are any, as packed bits) over all rows; cells(batch) gives arrays of cell numbers.
 
     Each task fills one table (counts stop at 65,535 a task), packs it and sends its segments; they
-    are added up by segment, one array of fixed size each.
+    are added up by segment in two steps: first those of each of `GROUPS` groups of tasks, then the groups'.
     """
+
+    @tidy
     def fill(batches):
         import zstandard
 
@@ -38,28 +42,37 @@ def add_up(df: DataFrame, cells: Callable[[pa.RecordBatch], Iterable[np.ndarray]
         parts = own.reshape(SEGMENTS, -1)
         yield pa.RecordBatch.from_pydict({"segment": pa.array(np.arange(SEGMENTS), pa.int64()), "table": pa.array([pack.compress(p.tobytes()) for p in parts], pa.binary())})
 
-    def merge(batches):
+    def merger(narrow):
+        return tidy(lambda batches: merge(batches, narrow))
+
+    def merge(batches, narrow):
         import zstandard
 
         unpack, sums = zstandard.ZstdDecompressor(), {}
         for batch in batches:
             for s, t in zip(batch.column("segment").to_pylist(), batch.column("table").to_pylist(), strict=True):
-                part = np.frombuffer(unpack.decompress(t), np.uint8 if bits else "<u2")
+                part = np.frombuffer(unpack.decompress(t), np.uint8 if bits else "<u2" if narrow else "<i4")
                 if s not in sums:
                     sums[s] = part.copy() if bits else part.astype(np.int32)
                 elif bits:
                     sums[s] |= part
                 else:
                     sums[s] += part
+        pack = zstandard.ZstdCompressor(level=1)
         for s, t in sums.items():
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int64()), "table": pa.array([t.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int64()), "table": pa.array([pack.compress(t.tobytes())], pa.binary())})
 
     schema = "segment long, table binary"
-    rows = df.mapInArrow(fill, schema).repartition(16, "segment").mapInArrow(merge, schema).collect()  # SEGMENTS rows of a fixed size
+    tables = df.mapInArrow(fill, schema).withColumn("group", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
+    tables = tables.repartition("segment", "group").select("segment", "table").mapInArrow(merger(True), schema)
+    rows = tables.repartition("segment").mapInArrow(merger(False), schema).collect()  # SEGMENTS rows of a fixed size
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
     out = np.zeros(size // 8 if bits else size, np.uint8 if bits else np.int32)
     width = len(out) // SEGMENTS
     for r in rows:
-        out[r["segment"] * width : (r["segment"] + 1) * width] = np.frombuffer(r["table"], out.dtype)
+        out[r["segment"] * width : (r["segment"] + 1) * width] = np.frombuffer(unpack.decompress(r["table"]), out.dtype)
     return out
 
 
