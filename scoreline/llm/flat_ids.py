@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, shared_dir, slices
+from .common import id_text, shared_dir, slices, tidy
 from .token_ids import encoder
 
 MANIFEST = "shard int, name string, itemsize int, docs long, tokens long"
@@ -42,6 +42,7 @@ def write_ids(df: DataFrame, tokenizer_path: str, end_id: int, folder: str | Non
     spark = df.sparkSession
     folder = folder or shared_dir(spark)
 
+    @tidy
     def run(batches):
         shard, size, n, ids = TaskContext.get().partitionId(), [0], [], []
         enc, name = encoder(tokenizer_path), f"{shard:06d}"
@@ -97,6 +98,7 @@ def read_ids(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFra
     """Rows of ROWS from the files, plus ids_crc32 over 32-bit little-endian ids; ids null unless with_ids."""
     manifest = bases(spark.read.schema(MANIFEST).parquet(f"{folder}/manifest"))
 
+    @tidy
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():

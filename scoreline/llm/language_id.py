@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts, slices, written
+from .common import raw_texts, slices, tidy, written
 
 CELLS = 1 << 15
 _SQUEEZE = np.arange(256, dtype=np.uint32)
@@ -54,6 +54,7 @@ def visible(page: str | None) -> tuple[str | None, str | None]:
 def markup(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, declared) for each page."""
 
+    @tidy
     def run(batches):
         for batch in slices(batches, "html"):
             found = [visible(h) for h in batch.column("html").to_pylist()]
@@ -95,6 +96,7 @@ def fit(labelled: DataFrame, sample: int = 2_000, alpha: float = 0.5) -> tuple[l
     share = F.least(F.lit(1.0), F.lit(1.2 * sample) / F.col("n"))
     picked = rows.join(F.broadcast(edge), "label").where(F.pmod("key", F.lit(1 << 20)) < share * (1 << 20)).select("label", "text")
 
+    @tidy
     def count(batches):
         totals: dict[str, np.ndarray] = {}
         for batch in slices(batches, "text"):
@@ -119,6 +121,7 @@ def text_scores(rows: DataFrame, model: tuple[list[str], np.ndarray], text_weigh
     """rows (doc_id, key, declared, suffix, domain, host, text) without the text, with letters, log-likelihoods and the best's mean for a trigram (null: no trigrams)."""
     shared = rows.sparkSession.sparkContext.broadcast(model[1])  # languages x CELLS floats
 
+    @tidy
     def run(batches):
         logp = shared.value
         for batch in slices(batches, "text", 1 << 19):

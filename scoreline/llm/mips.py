@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, written
+from .common import batch_of, tidy, written
 
 BLOCK, CODES, THRESHOLD = 2, 16, 0.2
 #: Rows of a leaf aimed at, most leaves, and most rows and queries of one scan.
@@ -166,6 +166,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, kept: int = 200, cove
 
     code_schema = pa.schema([("vec_id", pa.int64()), ("leaf", pa.int32()), ("code", pa.binary())])
 
+    @tidy
     def encode(batches):
         for batch in batches:
             leaf, packed = model.value.encode(_matrix(batch.column("vec")))
@@ -190,6 +191,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, kept: int = 200, cove
     salted = coded.join(table, "leaf").select((F.col("base") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("g"), "leaf", "vec_id", "code")
     left = salted.select("g", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("q"), "leaf", "vec_id", "code")
 
+    @tidy
     def route(batches):
         for batch in batches:
             score = _matrix(batch.column("query")) @ model.value.centres.T
@@ -242,6 +244,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, kept: int = 200, cove
     pairs = short.join(rows, "vec_id").join(asked, "query_id")
     score_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
+    @tidy
     def exact(batches):
         for batch in batches:
             yield batch_of(score_schema, query_id=batch.column("query_id").to_numpy(), vec_id=batch.column("vec_id").to_numpy(), score=np.einsum("nd,nd->n", _matrix(batch.column("query"), np.float64), _matrix(batch.column("vec"), np.float64)))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, slices, written
+from .common import id_text, slices, tidy, written
 from .token_ids import encoder
 
 CODED = "shard int, local long, doc_id long, doc_tokens long, itemsize int, ids binary"
@@ -35,6 +35,7 @@ PIECES = (
 def encode_shards(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of CODED, written to the shared folder: the documents in id order with their ids."""
 
+    @tidy
     def run(batches):
         shard, before, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
         k = enc.dtype.itemsize
@@ -68,6 +69,7 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = 4096
     # one row per shard, so never more than the partitions of the encoding stage: small enough to broadcast
     placed = coded.join(F.broadcast(offsets(coded)), "shard").withColumn("at", F.col("base") + F.col("local"))
 
+    @tidy
     def run(batches):
         for batch in batches:
             cols: dict[str, list] = {n.strip().split(" ")[0]: [] for n in PIECES.split(",")}

@@ -4,18 +4,25 @@ A word goes if a window of `window` words that covers it also starts in a docume
 id. Each such window holds a whole block of window // 2 words that lies at a multiple of that in
 the other document:
 - the index holds each document's non-overlapping blocks at those multiples;
-- every rolling window of block length of every document probes it. A bit filter of fixed size over
-  the index lets most probes drop before they are sent; the rest are counted exactly by hash, and
-  an anchor is a block that different texts hold;
+- every rolling window of block length of every document probes it. A bit filter over the index,
+  with `BITS_A_BLOCK` bits for each block (counted from the texts' bytes), lets most probes drop before they are sent; the rest
+  are counted exactly by hash, and an anchor is a block that different texts hold;
 - hits are extended: around each anchor, all windows of full length are hashed, the smallest
   document id of each hash is found by grouped aggregation, and runs of windows that a smaller
   document has make the maximal repeats. No pairs of documents are formed.
 
+The filter's share of false hits is the same at every size up to `MOST_BITS` bits (about 20 GB of text);
+past that it rises, and results stay whole. Hashes that stand in more than 1 of `HOT_SHARE` rows, so at
+most HOT_SHARE of them, are joined by broadcast, all others by shuffle: no task gathers a hot passage.
+
 Equal texts take part once, as the one with the smallest id; the others are whole repeats if they
-have `window` words. Everything is judged on the input. Hashes have 64 bits.
+have `window` words. Everything is judged on the input. Windows are compared by two independent
+hashes of 64 bits, whole texts by one.
 
 Null and empty texts have no words. Rows with a null id are kept whole and remove nothing; a
-repeated id isn't smaller than itself. Repeated rows keep a row each. Extra columns are dropped.
+repeated id isn't smaller than itself. Repeated rows keep a row each. An empty table gives no rows.
+Extra columns are dropped, or kept as they are with `texts`, whatever their names. Texts of any length
+are taken whole; one longer than a slice is hashed alone.
 """
 
 from __future__ import annotations
@@ -27,11 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batch_of, mix, signed, slices, written
+from .common import Words, batch_of, dropped, mix, signed, slices, tidy, written
 from .sketches import bit_filter
 
-#: Bits of the filters over index blocks and over documents with anchors.
-BLOCK_BITS, DOCUMENT_BITS = 1 << 27, 1 << 26
+#: Bits of the filter for each block of the index, and the fewest and most bits of a filter.
+BITS_A_BLOCK, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 30
+#: Salt of the second hash of a window.
+SECOND = 0x2545F4914F6CDD1D
+#: A hash is hot where it stands in more than 1 of so many rows.
+HOT_SHARE = 4096
 
 
 def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -45,17 +56,38 @@ def _blocks(words: Words, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return rolling, inside, inside & (place % block == 0)
 
 
-def _anchors(rows: DataFrame, block: int) -> DataFrame:
-    """(text_key, block_hash): the blocks of each text that also stand in another text, one of them at an index place."""
+def _bits(keys: int) -> int:
+    """Bits of a filter over so many keys: a power of two."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (max(1, BITS_A_BLOCK * keys) - 1).bit_length()))
+
+
+def _hot_join(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows joined with the written keys (on, n rows each): the hot keys by broadcast, the others by shuffle."""
+    hot = F.col("n") * HOT_SHARE > total  # fewer than HOT_SHARE keys
+    few, many = F.broadcast(keys.where(hot).drop("n")), keys.where(~hot).drop("n")
+    if keys.where(hot).isEmpty():
+        return rows.join(many, on)
+    return rows.join(few, on).unionByName(rows.join(few.select(*on), on, "left_anti").join(many, on))
+
+
+def block_count(rows: DataFrame, block: int) -> int:
+    """About how many blocks the index has, from the bytes of all texts; a word is taken to have 4, its separator included."""
+    return (rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // (4 * block)  # one row
+
+
+def probes_sent(rows: DataFrame, block: int) -> DataFrame:
+    """(text_key, block_hash, aligned): the rolling blocks that the filter over the index lets through. Written."""
 
     def indexed(batch):
         for b in slices([batch], "text"):
             rolling, _, aligned = _blocks(Words(b.column("text")), block)
             yield rolling[aligned]
 
-    index = rows.sparkSession.sparkContext.broadcast(bit_filter(rows.select("text"), indexed, BLOCK_BITS))  # a fixed number of bits
+    bits = bit_filter(rows.select("text"), indexed, _bits(block_count(rows, block)))
+    index = rows.sparkSession.sparkContext.broadcast(bits)  # at most MOST_BITS bits
     schema = pa.schema([("text_key", pa.int64()), ("block_hash", pa.int64()), ("aligned", pa.bool_())])
 
+    @tidy
     def probe(batches):
         for batch in slices(batches, "text"):
             words = Words(batch.column("text"))
@@ -66,15 +98,27 @@ def _anchors(rows: DataFrame, block: int) -> DataFrame:
             yield batch_of(schema, text_key=keys, block_hash=signed(rolling[at]), aligned=aligned[at])
 
     probes = written(rows.select("text_key", "text").mapInArrow(probe, "text_key long, block_hash long, aligned boolean"))
-    shared = probes.groupBy("block_hash").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.max("aligned").alias("aligned")).where("low <> high and aligned").select("block_hash")
-    return probes.select("text_key", "block_hash").join(shared, "block_hash").distinct()
+    index.destroy()
+    return probes
 
 
-def _candidates(rows: DataFrame, anchors: DataFrame, window: int, block: int) -> DataFrame:
-    """(doc_id, text_key, place, window_hash): all windows around anchors, of the first document of each text."""
-    hits = written(anchors.groupBy("text_key").agg(F.collect_list("block_hash").alias("hits")))
-    wanted = rows.sparkSession.sparkContext.broadcast(bit_filter(hits.select("text_key"), lambda b: [mix(_numbers(b, "text_key").view(np.uint64))], DOCUMENT_BITS))
-
+def _anchors(rows: DataFrame, block: int) -> DataFrame:
+    """(text_key, hits): the blocks of each text that also stand in another text, one of them at an index place. Written."""
+    probes = probes_sent(rows, block)
+    shared = probes.groupBy("block_hash").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.max("aligned").alias("aligned"), F.count("*").alias("n")).where("low <> high and aligned")
+    shared = written(shared.select("block_hash", "n"))
+    found = _hot_join(probes.select("text_key", "block_hash"), shared, ["block_hash"], probes.count()).distinct()
+    hits = written(found.groupBy("text_key").agg(F.collect_list("block_hash").alias("hits")))
+    dropped(probes, shared)
+    return hits
+
+
+def _candidates(rows: DataFrame, hits: DataFrame, window: int, block: int) -> DataFrame:
+    """(doc_id, text_key, place, window_hash, second): all windows around anchors, of the first document of each text. Written."""
+    bits = bit_filter(hits.select("text_key"), lambda b: [mix(_numbers(b, "text_key").view(np.uint64))], _bits(hits.count()))
+    wanted = rows.sparkSession.sparkContext.broadcast(bits)  # at most MOST_BITS bits
+
+    @tidy
     def pick(batches):
         for batch in batches:
             yield batch.filter(pa.array(wanted.value.may_hold(mix(_numbers(batch, "text_key").view(np.uint64)))))
@@ -82,13 +126,15 @@ def _candidates(rows: DataFrame, anchors: DataFrame, window: int, block: int) ->
     # only texts with anchors move; those let through wrongly find no hits
     texts = rows.select("text_key", "text").mapInArrow(pick, "text_key long, text string").groupBy("text_key").agg(F.first("text").alias("text"))
     first = rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("place", pa.int32()), ("window_hash", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("place", pa.int32()), ("window_hash", pa.int64()), ("second", pa.int64())])
 
+    @tidy
     def extend(batches):
         for batch in slices(batches, "text"):
             words = Words(batch.column("text"))
             rolling, inside, _ = _blocks(words, block)
             full, whole = words.windows(window)
+            again, _ = words.windows(window, SECOND)
             near = np.zeros(len(rolling) + 1, np.int32)
             hits = batch.column("hits")
             for i, (s, e) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
@@ -101,10 +147,13 @@ def _candidates(rows: DataFrame, anchors: DataFrame, window: int, block: int) ->
                 np.add.at(near, hit + 1, -1)
             at = np.flatnonzero((np.cumsum(near)[:-1] > 0) & whole)
             owner = np.repeat(np.arange(batch.num_rows), words.counts)[at]
-            yield batch_of(schema, doc_id=_numbers(batch, "doc_id")[owner], text_key=_numbers(batch, "text_key")[owner], place=(at - words.first[owner]).astype(np.int32), window_hash=signed(full[at]))
+            yield batch_of(schema, doc_id=_numbers(batch, "doc_id")[owner], text_key=_numbers(batch, "text_key")[owner], place=(at - words.first[owner]).astype(np.int32), window_hash=signed(full[at]), second=signed(again[at]))
 
     joined = texts.join(hits, "text_key").join(first, "text_key").select("doc_id", "text_key", "hits", "text")
-    return written(joined.mapInArrow(extend, "doc_id long, text_key long, place int, window_hash long"))
+    out = written(joined.mapInArrow(extend, "doc_id long, text_key long, place int, window_hash long, second long"))
+    wanted.destroy()
+    dropped(hits)
+    return out
 
 
 def repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,13 +166,17 @@ def repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).where("doc_id is not null")
     windows = _candidates(rows, _anchors(rows, block), window, block)
-    lowest = windows.groupBy("window_hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    later = windows.join(lowest, "window_hash").where("doc_id > low")
+    same = ["window_hash", "second"]
+    lowest = windows.groupBy(*same).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").drop("high")
+    lowest = written(lowest)
+    later = _hot_join(windows, lowest, same, windows.count()).where("doc_id > low")
     places = later.groupBy("doc_id", "text_key").agg(F.collect_list("place").alias("places")).withColumn("whole", F.lit(False))
     keys = rows.select("doc_id", "text_key").distinct()
     first = rows.groupBy("text_key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
     copies = keys.join(first, "text_key").where("doc_id > low").select("doc_id", "text_key", F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("whole"))
-    return written(places.select("doc_id", "text_key", "places", "whole").unionByName(copies).select("doc_id", "text_key", "whole", "places"))
+    out = written(places.select("doc_id", "text_key", "places", "whole").unionByName(copies).select("doc_id", "text_key", "whole", "places"))
+    dropped(windows, lowest)
+    return out
 
 
 def _kept(words: Words, i: int, whole: bool, places: np.ndarray | None, window: int) -> np.ndarray | None:
@@ -166,6 +219,7 @@ def removed(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
         stay = [_kept(words, i, bool(whole[i]), places[i].values.to_numpy().astype(np.int64) if places[i].is_valid else None, window) for i in range(batch.num_rows)]
         return words, stay
 
+    @tidy
     def digest(batches):
         for batch in slices(batches, text_at):
             words, stay = judge(batch)
@@ -173,6 +227,7 @@ def removed(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
             sha = [hashlib.sha256(_kept_text(words, i, k)).hexdigest() for i, k in enumerate(stay)]
             yield pa.RecordBatch.from_arrays([batch.column("c0"), pa.array(words.counts.astype(np.int64)), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
+    @tidy
     def cut(batches):
         for batch in slices(batches, text_at):
             words, stay = judge(batch)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts, shared_dir, slices
+from .common import raw_texts, shared_dir, slices, tidy
 
 # Fixed values of the standard and of this layout.
 PACKET, SYNC, PAT_PID, PMT_PID, ES_PID, NULL_PID = 188, 0x47, 0x0000, 0x0100, 0x0101, 0x1FFF
@@ -175,6 +175,7 @@ def mux(df: DataFrame, id_col: str = "doc_id", payload_col: str = "payload", siz
     n_bytes is size_col, or else the payload's length.
     """
 
+    @tidy
     def run(batches):
         for batch in slices(batches, "payload"):
             buf, starts, ends = raw_texts(batch.column("payload"))
@@ -193,6 +194,7 @@ def demux(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> Da
     """
     names = [f.strip().split(" ")[0] for f in REPORT.split(",")][1:]
 
+    @tidy
     def run(batches):
         for batch in slices(batches, "media"):
             buf, starts, ends = raw_texts(batch.column("media"))
@@ -223,6 +225,7 @@ def digests(media: DataFrame) -> DataFrame:
     """Per stored stream: size and digests of the payload read back and of the stream, and a feature line."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
+    @tidy
     def run(batches):
         for batch in slices(batches, "media"):
             buf, starts, ends = raw_texts(batch.column("media"))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, written
+from .common import shared_dir, slices, tidy, written
 from .flat_ids import _file_system
 
 #: Content bytes after which a frame is closed: small enough to seek, large enough to pack well.
@@ -104,6 +104,7 @@ def write_archives(decided: DataFrame, folder: str | None = None, frame_bytes: i
     spark = decided.sparkSession
     folder = folder or shared_dir(spark)
 
+    @tidy
     def run(batches):
         import zstandard
 
@@ -147,6 +148,7 @@ def read_records(spark: SparkSession, folder: str, index: DataFrame | None = Non
     """Rows of RECORDS for the index's rows (all, or any selection); each frame is unpacked once a task."""
     index = spark.read.schema(INDEX).parquet(f"{folder}/index") if index is None else index
 
+    @tidy
     def run(batches):
         import zstandard
 

@@ -67,3 +67,33 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert len(rows) == odd_docs.count() and all(r.n_removed == 0 for r in rows)
     assert sorted(r.n_words for r in rows) == sorted(len(words(r.text)) for r in odd_docs.collect())
     assert substring_dedup.removed(no_docs).count() == 0
+
+
+def test_hot_hashes_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT_SHARE", 50)
+    docs = passages(random.Random(4)) + [(200 + i, " ".join(prose(random.Random(9), 70, 10**6))) for i in range(30)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.removed(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
+
+
+def test_filter_lets_the_same_share_through_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "LEAST_BITS", 64)
+    shares = []
+    for n in (10, 10_000):  # a thousand times the words
+        df = spark.range(n).selectExpr("id AS text_key", "array_join(transform(sequence(1, 300), i -> concat('w', id * 1000 + i)), ' ') AS text")
+        shares.append(substring_dedup.probes_sent(df, 25).count() / (300 * n))
+    # each text's own 12 blocks pass the filter of their index
+    assert all(0.04 <= s <= 0.08 for s in shares)
+
+
+def test_long_texts_and_long_words(spark):
+    rng = random.Random(6)
+    passage = prose(rng, 60, 10**6)
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    twin = word.translate(str.maketrans("ab", "ba"))
+    docs = [(1, " ".join(prose(rng, 200_000, 10**6) + passage)), (2, " ".join(passage + prose(rng, 10, 10**6))), (3, " ".join([word] * 60)), (4, " ".join([twin] * 60)), (5, " ".join([twin] * 55))]
+    assert len(docs[0][1]) > 1 << 20
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.removed(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
