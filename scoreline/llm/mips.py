@@ -8,14 +8,19 @@ from coordinate descent over blocks and codebooks from the weighted least square
 
 A query looks up its best leaves: as many as the sample's own nearest neighbours need to be found
 in `coverage` of cases, so clustered vectors are searched in a few leaves and unstructured ones in
-all. Leaves are dealt into groups of bounded size (a large leaf is salted, queries go in parts), each
-group scans two four-bit codes at a time through tables of partial inner products and keeps the
-best; the best of all groups are scored exactly in double precision from the original vectors.
+all. Leaves are dealt into groups of bounded size (a large leaf is cut). Each row's code is sent once, to
+its group; each query is sent once to every group that holds a leaf it searches. A group's codes are
+held in memory, its queries stream past them: each scans two four-bit codes at a time through tables
+of partial inner products and keeps the best. The best of all groups are scored exactly in double
+precision from the original vectors. So for clustered vectors the shuffle grows with the rows; where
+all leaves must be searched, it grows with queries x groups.
 
 Only the models and the number of leaves are fitted on a sample (`sample` rows, those with the
 smallest hash of id); every row is coded. Vectors that are null, zero, hold null or non-finite components or have another
 length than most take no part. Candidates are all rows but those with the query's own id; repeated
-rows count one by one. Ties go to the smaller id. Null ids take no part. An empty table gives none.
+rows count one by one. Each row of queries gets its own k neighbours, a repeated one again as many.
+Ties go to the smaller id. Null ids take no part. An empty table or one without queries gives no rows.
+Extra columns, whatever their names, are dropped.
 """
 
 from __future__ import annotations
@@ -28,13 +33,15 @@ from pyspark.sql import functions as F
 from .common import batch_of, tidy, written
 
 BLOCK, CODES, THRESHOLD = 2, 16, 0.2
-#: Rows of a leaf aimed at, most leaves, and most rows and queries of one scan.
-LEAF_ROWS, MOST_LEAVES, SCAN_ROWS, SCAN_QUERIES = 2048, 4096, 65_536, 256
+#: Rows of a leaf aimed at, most leaves, the fewest and most rows of a group, and groups aimed at between.
+LEAF_ROWS, MOST_LEAVES, FEWEST_ROWS, MOST_ROWS, AIM = 2048, 4096, 4096, 1 << 18, 64
+#: Vectors that the quantiser works on at once.
+CHUNK = 2048
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, vec) of the rows that take part."""
-    vec = F.col(vec_col).cast("array<float>")
+    vec = F.col(vec_col).cast("array<double>")
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec")).where("vec_id is not null and vec is not null")
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = rows.where(finite & F.exists("vec", lambda x: x != 0))
@@ -74,14 +81,17 @@ class Quantiser:
         left, whole = self._cut(sample - self.centres[leaf]), self._cut(sample)
         self.books = np.stack([kmeans(left[:, b], CODES, rounds, rng) for b in range(self.blocks)])
         for _ in range(3):
-            codes = self._assign(left, whole)
-            self._refit(left, whole, codes)
+            self._refit(left, whole, self._codes(left, whole))
 
     def _cut(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), self.blocks * BLOCK), np.float32)
         out[:, : self.dim] = x
         return out.reshape(len(x), self.blocks, BLOCK)
 
+    def _codes(self, left: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        parts = [self._assign(left[i : i + CHUNK], whole[i : i + CHUNK]) for i in range(0, len(left), CHUNK)]
+        return np.concatenate(parts) if parts else np.zeros((0, self.blocks), np.int64)
+
     def _assign(self, left: np.ndarray, whole: np.ndarray, sweeps: int = 2) -> np.ndarray:
         """Codes by coordinate descent: |r|^2 + (eta - 1) <r, x>^2 / |x|^2 over the blocks in turn."""
         weight = (self.eta - 1) / np.maximum((whole**2).sum(axis=(1, 2)), 1e-30)
@@ -116,8 +126,7 @@ class Quantiser:
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Leaf of each vector, and its codes, two in a byte."""
         leaf = nearest(x, self.centres)
-        parts = [self._assign(self._cut(x[i : i + 2048] - self.centres[leaf[i : i + 2048]]), self._cut(x[i : i + 2048])) for i in range(0, len(x), 2048)]
-        codes = np.concatenate(parts).astype(np.uint8) if parts else np.zeros((0, self.blocks), np.uint8)
+        codes = self._codes(self._cut(x - self.centres[leaf]), self._cut(x)).astype(np.uint8)
         return leaf, codes[:, 0::2] << 4 | codes[:, 1::2]
 
     def tables(self, q: np.ndarray) -> np.ndarray:
@@ -126,9 +135,9 @@ class Quantiser:
         return (single[:, 0::2, :, None] + single[:, 1::2, None, :]).reshape(len(q), self.blocks // 2, 256).astype(np.float32)
 
 
-def _matrix(column: pa.Array, dtype=np.float32) -> np.ndarray:
+def _matrix(column: pa.Array, dtype=np.float32, scale: float = 1.0) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1).astype(dtype) if len(column) else np.zeros((0, 0), dtype)
+    return (flat.reshape(len(column), -1) * scale).astype(dtype) if len(column) else np.zeros((0, 0), dtype)
 
 
 def leaves_needed(model: Quantiser, sample: np.ndarray, k: int, coverage: float, queries: int = 256) -> int:
@@ -144,6 +153,44 @@ def leaves_needed(model: Quantiser, sample: np.ndarray, k: int, coverage: float,
     return int(ranks[min(len(ranks) - 1, int(np.ceil(coverage * len(ranks))) - 1)]) + 1
 
 
+def _dealt(sizes: dict[int, int], leaves: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First group of each leaf and how many groups it takes: leaves fill groups of up to `most` rows in order, a larger leaf has groups of its own."""
+    base, parts = np.zeros(leaves, np.int32), np.ones(leaves, np.int32)
+    at, filled = 0, 0
+    for leaf in range(leaves):
+        n = sizes.get(leaf, 0)
+        parts[leaf] = max(1, -(-n // most))
+        if filled and filled + n > most:
+            at, filled = at + 1, 0
+        base[leaf] = at
+        filled += n
+        if parts[leaf] > 1:
+            at, filled = at + int(parts[leaf]), 0
+    return base, parts
+
+
+def _scan(model: Quantiser, searched: int, kept: int, ids: np.ndarray, leaf: np.ndarray, packed: np.ndarray, query_ids: np.ndarray, keys: np.ndarray, q: np.ndarray):
+    """For each query the key, ids and approximate scores of the kept best of a group's rows, which are in id order."""
+    base = q @ model.centres.T
+    if searched < base.shape[1]:
+        # leaves that a query doesn't search are out of its reach
+        np.put_along_axis(base, np.argsort(-base, axis=1, kind="stable")[:, searched:], -np.inf, 1)
+    for i in range(0, len(q), 64):
+        for j, tables in enumerate(model.tables(q[i : i + 64]), i):
+            near = base[j][leaf]
+            for b in range(len(packed)):
+                near += tables[b][packed[b]]
+            near[ids == query_ids[j]] = -np.inf
+            at = np.arange(len(near))
+            if len(near) > kept:
+                # equal scores leave the smaller ids
+                least = np.partition(near, len(near) - kept)[len(near) - kept]
+                above, level = np.flatnonzero(near > least), np.flatnonzero(near == least)
+                at = np.concatenate((above, level[: kept - len(above)]))
+            at = at[np.isfinite(near[at])]
+            yield keys[j], ids[at], near[at]
+
+
 def search(df: DataFrame, queries: DataFrame, k: int = 20, kept: int = 200, coverage: float = 0.98, sample: int = 40_960, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products found for each row of queries.
 
@@ -154,101 +201,97 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, kept: int = 200, cove
     total = rows.count()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = rows.select(F.size("vec")).first()[0]
-    asked = usable(queries, id_col, vec_col).where(F.size("vec") == dim).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query"))
+    size = lambda c: F.array_max(F.transform(c, F.abs))
+    dim, largest = rows.agg(F.first(F.size("vec")), F.max(size("vec"))).first()  # one row
+    scale = 1 / largest  # codes are of vectors in reach of single precision; order stays
+    asked = usable(queries, id_col, vec_col).where(F.size("vec") == dim).groupBy(F.col("vec_id").alias("query_id"), F.col("vec").alias("query")).agg(F.count("*").alias("repeats"))
+    asked = written(asked.withColumn("key", F.xxhash64("query_id", "query")))
     share = min(1.0, sample / total)
-    got = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share * (1 << 20)).orderBy("vec_id").select("vec").limit(2 * sample).toPandas()["vec"]  # bounded by sample
-    fitted = (np.stack(got.to_list()) if len(got) else np.asarray(rows.select("vec").first()[0])[None]).astype(np.float32)
+    got = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share * (1 << 20)).orderBy("vec_id").select("vec").limit(2 * sample).toArrow().column("vec").combine_chunks()  # bounded by sample
+    fitted = _matrix(got, scale=scale) if len(got) else (np.asarray(rows.select("vec").first()[0]) * scale).astype(np.float32)[None]
     quantiser = Quantiser(fitted, int(np.clip(round(total / LEAF_ROWS), 1, MOST_LEAVES)))
     leaves, width = len(quantiser.centres), quantiser.blocks // 2
     searched = leaves_needed(quantiser, fitted, k, coverage)
     model = spark.sparkContext.broadcast(quantiser)  # centres and codebooks of fixed size
 
-    code_schema = pa.schema([("vec_id", pa.int64()), ("leaf", pa.int32()), ("code", pa.binary())])
+    code_schema = pa.schema([("vec_id", pa.int64()), ("leaf", pa.int32()), ("salt", pa.int32()), ("code", pa.binary())])
 
     @tidy
     def encode(batches):
+        seen = 0
         for batch in batches:
-            leaf, packed = model.value.encode(_matrix(batch.column("vec")))
-            yield batch_of(code_schema, vec_id=batch.column("vec_id").to_numpy(), leaf=leaf.astype(np.int32), code=[c.tobytes() for c in packed])  # width bytes each
+            leaf, packed = model.value.encode(_matrix(batch.column("vec"), scale=scale))
+            # salts deal a large leaf's rows, also those with one id
+            salt = (seen + np.arange(batch.num_rows)) % (1 << 30)
+            seen += batch.num_rows
+            yield batch_of(code_schema, vec_id=batch.column("vec_id").to_numpy(), leaf=leaf.astype(np.int32), salt=salt.astype(np.int32), code=[c.tobytes() for c in packed])  # width bytes each
 
-    coded = written(rows.mapInArrow(encode, "vec_id long, leaf int, code binary"))
+    coded = written(rows.mapInArrow(encode, "vec_id long, leaf int, salt int, code binary"))
 
-    # at most MOST_LEAVES rows: leaves fill groups of up to SCAN_ROWS rows in order, a larger leaf gets parts
+    # at most MOST_LEAVES rows
     sizes = {r["leaf"]: r["n"] for r in coded.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    group, parts, filled = np.zeros(leaves, np.int32), np.ones(leaves, np.int32), [0]
-    for leaf in range(leaves):
-        n = sizes.get(leaf, 0)
-        if filled[-1] and filled[-1] + n > SCAN_ROWS:
-            filled.append(0)
-        group[leaf], parts[leaf] = len(filled) - 1, max(1, -(-n // SCAN_ROWS))
-        filled[-1] += n
-    # a part of a large leaf is its own group; query parts follow from the number of queries
-    offsets = np.concatenate(([0], np.cumsum(np.maximum.reduceat(parts, np.searchsorted(group, np.arange(group[-1] + 1)))))).astype(np.int32)
-    asked = written(asked)
-    query_parts = max(1, -(-asked.count() // SCAN_QUERIES))
-    table = F.broadcast(spark.createDataFrame([(i, int(offsets[group[i]]), int(parts[i])) for i in range(leaves)], "leaf int, base int, parts int"))
-    salted = coded.join(table, "leaf").select((F.col("base") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("g"), "leaf", "vec_id", "code")
-    left = salted.select("g", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("q"), "leaf", "vec_id", "code")
+    base, parts = _dealt(sizes, leaves, int(np.clip(total // AIM, FEWEST_ROWS, MOST_ROWS)))
+    groups = int((base + parts).max())
+    table = F.broadcast(spark.createDataFrame([(i, int(base[i]), int(parts[i])) for i in range(leaves)], "leaf int, base int, parts int"))
+    null = lambda t: F.lit(None).cast(t)
+    left = coded.join(table, "leaf").select((F.col("base") + F.pmod("salt", F.col("parts"))).cast("int").alias("g"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), null("long").alias("key"), "leaf", "code", null("array<float>").alias("query"))
 
     @tidy
     def route(batches):
         for batch in batches:
             score = _matrix(batch.column("query")) @ model.value.centres.T
             best = np.argsort(-score, axis=1, kind="stable")[:, :searched]
-            out_row, out_group = [], []
-            for i, chosen in enumerate(best):
-                met = sorted({int(offsets[group[x]]) + j for x in chosen.tolist() for j in range(parts[x])})
-                out_row += [i] * len(met)
-                out_group += met
-            at = pa.array(np.array(out_row, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(at), batch.column("query").take(at), pa.array(out_group, pa.int32())], names=["query_id", "query", "g"])
-
-    right = asked.mapInArrow(route, "query_id long, query array<float>, g int").withColumn("q", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(query_parts)).cast("int"))
-    found_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("near", pa.float32())])
-
-    def scan(codes: pa.Table, queries: pa.Table) -> pa.Table:
-        out = [[], [], []]
-        if codes.num_rows and queries.num_rows:
-            ids, leaf = codes.column("vec_id").to_numpy(), codes.column("leaf").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, leaf = ids[order], leaf[order]
-            packed = np.frombuffer(b"".join(codes.column("code").to_pylist()), np.uint8).reshape(len(ids), width)
-            packed = np.ascontiguousarray(packed[order].T)
-            query_ids, q = queries.column("query_id").to_numpy(), _matrix(queries.column("query").combine_chunks())
-            base = q @ model.value.centres.T
-            if searched < leaves:
-                # leaves that a query doesn't search are out of its reach
-                np.put_along_axis(base, np.argsort(-base, axis=1, kind="stable")[:, searched:], -np.inf, 1)
-            for i in range(0, len(q), 64):
-                for j, tables in enumerate(model.value.tables(q[i : i + 64]), i):
-                    near = base[j][leaf]
-                    for b in range(width):
-                        near += tables[b][packed[b]]
-                    near[ids == query_ids[j]] = -np.inf
-                    at = np.arange(len(near))
-                    if len(near) > kept:
-                        # in id order, so that equal scores leave the smaller ids
-                        least = np.partition(near, len(near) - kept)[len(near) - kept]
-                        above, level = np.flatnonzero(near > least), np.flatnonzero(near == least)
-                        at = np.concatenate((above, level[: kept - len(above)]))
-                    at = at[np.isfinite(near[at])]
-                    out[0].append(np.full(len(at), query_ids[j]))
-                    out[1].append(ids[at])
-                    out[2].append(near[at])
-        return pa.Table.from_arrays([pa.array(np.concatenate(o) if o else np.zeros(0), f.type) for o, f in zip(out, found_schema, strict=True)], schema=found_schema)
-
-    found = left.groupBy("g", "q").cogroup(right.groupBy("g", "q")).applyInArrow(scan, "query_id long, vec_id long, near float")
-    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    short = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= kept).select("query_id", "vec_id").distinct()
-    pairs = short.join(rows, "vec_id").join(asked, "query_id")
-    score_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+            met = np.zeros((len(best), groups), bool)
+            for extra in range(int(parts.max())):
+                row, at = np.nonzero(parts[best] > extra)
+                met[row, base[best[row, at]] + extra] = True
+            at, g = np.nonzero(met)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in ("query_id", "key", "query")), pa.array(g.astype(np.int32))], names=["query_id", "key", "query", "g"])
+
+    directed = asked.select("query_id", "key", F.transform("query", lambda x: (x / size("query")).cast("float")).alias("query"))
+    routed = directed.mapInArrow(route, "query_id long, key long, query array<float>, g int")
+    right = routed.select("g", F.lit(1).alias("kind"), F.col("query_id").alias("id"), "key", null("int").alias("leaf"), null("binary").alias("code"), "query")
+    found_schema = pa.schema([("key", pa.int64()), ("vec_id", pa.int64()), ("near", pa.float32())])
+
+    @tidy
+    def scan(batches):
+        """Batches come by group, codes before queries: only a group's codes are held."""
+        group, held, ready = None, [], None
+        for batch in batches:
+            g, kind = batch.column("g").to_numpy(), batch.column("kind").to_numpy()
+            edges = np.flatnonzero((np.diff(g) != 0) | (np.diff(kind) != 0)) + 1
+            for s, e in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+                if e == s:
+                    continue
+                part = batch.slice(s, e - s)
+                if g[s] != group:
+                    group, held, ready = g[s], [], None
+                ids = part.column("id").to_numpy()
+                if not kind[s]:
+                    held.append((ids, part.column("leaf").to_numpy(), np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(ids), width)))
+                    continue
+                if ready is None and held:
+                    own, leaf, code = (np.concatenate(x) for x in zip(*held, strict=True))
+                    order = np.argsort(own, kind="stable")
+                    ready, held = (own[order], leaf[order], np.ascontiguousarray(code[order].T)), []
+                if ready is not None:
+                    best = list(_scan(model.value, searched, kept, *ready, ids, part.column("key").to_numpy(), _matrix(part.column("query"))))
+                    key = np.repeat(np.array([b[0] for b in best], np.int64), [len(b[1]) for b in best])
+                    yield batch_of(found_schema, key=key, vec_id=np.concatenate([b[1] for b in best]), near=np.concatenate([b[2] for b in best]))
+
+    found = left.unionByName(right).repartition(groups, "g").sortWithinPartitions("g", "kind").mapInArrow(scan, "key long, vec_id long, near float")
+    best = Window.partitionBy("key").orderBy(F.desc("near"), "vec_id")
+    short = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= kept).select("key", "vec_id").distinct()
+    pairs = short.join(rows, "vec_id").join(asked, "key")
+    score_schema = pa.schema([("key", pa.int64()), ("query_id", pa.int64()), ("repeats", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     @tidy
     def exact(batches):
         for batch in batches:
-            yield batch_of(score_schema, query_id=batch.column("query_id").to_numpy(), vec_id=batch.column("vec_id").to_numpy(), score=np.einsum("nd,nd->n", _matrix(batch.column("query"), np.float64), _matrix(batch.column("vec"), np.float64)))
+            same = {c: batch.column(c).to_numpy() for c in ("key", "query_id", "repeats", "vec_id")}
+            yield batch_of(score_schema, **same, score=np.einsum("nd,nd->n", _matrix(batch.column("query"), np.float64), _matrix(batch.column("vec"), np.float64)))
 
-    scored = pairs.select("query_id", "vec_id", "query", "vec").mapInArrow(exact, "query_id long, vec_id long, score double")
-    nearest_ = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(nearest_)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    scored = pairs.select("key", "query_id", "repeats", "vec_id", "query", "vec").mapInArrow(exact, "key long, query_id long, repeats long, vec_id long, score double")
+    nearest_ = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
+    top = scored.withColumn("rank", F.row_number().over(nearest_)).where(F.col("rank") <= k)
+    return top.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("query_id", "rank", "vec_id", "score")

@@ -28,11 +28,10 @@ def recall(rows, x, k=20):
     return hits / total
 
 
-@pytest.mark.parametrize("scan", [65_536, 300])
-def test_recall_and_exact_scores(spark, monkeypatch, scan):
-    monkeypatch.setattr(mips, "SCAN_ROWS", scan)
-    monkeypatch.setattr(mips, "LEAF_ROWS", 200)
-    monkeypatch.setattr(mips, "SCAN_QUERIES", 20)
+@pytest.mark.parametrize(("fewest", "most", "leaf"), [(4096, 65_536, 200), (60, 300, 200), (60, 70, 700)])
+def test_recall_and_exact_scores(spark, monkeypatch, fewest, most, leaf):
+    for name, value in (("FEWEST_ROWS", fewest), ("MOST_ROWS", most), ("LEAF_ROWS", leaf)):
+        monkeypatch.setattr(mips, name, value)
     rng = np.random.default_rng(0)
     x = (rng.normal(size=(1500, 24)) * rng.uniform(0.5, 2, (1500, 1))).astype(np.float32)
     df = table(spark, x).repartition(3)
@@ -75,3 +74,27 @@ def test_unusable_rows(spark):
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in mips.search(df, df).collect()]
     assert sorted(got) == [(0, 1, 1, 4.0), (1, 1, 0, 4.0)]
     assert mips.search(df.where("false"), df.where("false")).count() == 0
+
+
+def test_leaves_fill_groups_in_order():
+    base, parts = mips._dealt({0: 50, 1: 60, 2: 250, 3: 10, 4: 10}, 6, 100)
+    assert base.tolist() == [0, 1, 2, 5, 5, 5] and parts.tolist() == [1, 1, 3, 1, 1, 1]
+
+
+def test_repeated_queries_each_get_all_their_neighbours(spark):
+    x = np.random.default_rng(3).normal(size=(50, 8)).astype(np.float32)
+    df = table(spark, x)
+    twice = df.where("vec_id in (3, 7)").unionByName(df.where("vec_id = 7"))
+    rows = [(r.query_id, r["rank"], r.vec_id) for r in mips.search(df, twice).collect()]
+    once = [(r.query_id, r["rank"], r.vec_id) for r in mips.search(df, df.where("vec_id in (3, 7)")).collect()]
+    assert sorted(rows) == sorted(once + [r for r in once if r[0] == 7]) and len(once) == 40
+    assert len({v for q, _, v in once if q == 7}) == 20
+
+
+def test_double_columns_keep_their_precision(spark):
+    rows = [(i, [0.17 + i * 1e-12, 1e-300]) for i in range(30)] + [(100, [1.0, 0.0]), (101, [1e200, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.vec_id, r.score) for r in mips.search(df, df.where("vec_id = 100")).collect()]
+    want = sorted(((-v[0], i) for i, v in rows if i != 100))[:20]
+    assert sorted(got)[0] == (1, 101, 1e200)
+    assert [(v, s) for _, v, s in sorted(got)] == [(i, -s) for s, i in want]
