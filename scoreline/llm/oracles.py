@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import WORD
+from .url_reputation import TWO_LABELS
 
 OP3 = rf"""WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'), []) AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
@@ -30,14 +31,17 @@ OP7 = (
     """WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 o AS (SELECT doc_id AS page_id, count(*) AS n, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id),
-hn AS (SELECT host, regexp_extract(host, '([^.]*\\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, coalesce(sum(n), 0) AS n, coalesce(sum(bad), 0) AS bad FROM h LEFT JOIN o USING (page_id) GROUP BY host),
+hn AS (SELECT host, CASE WHEN two THEN regexp_extract(host, '([^.]*\\.)?[^.]*\\.[^.]*$') ELSE regexp_extract(host, '([^.]*\\.)?[^.]*$') END AS domain, CASE WHEN two THEN regexp_extract(host, '[^.]*\\.[^.]*$') ELSE regexp_extract(host, '[^.]*$') END AS suffix, n, bad, pages
+FROM (SELECT host, regexp_extract(host, '[^.]*\\.[^.]*$') IN (""" + ", ".join(f"'{x}'" for x in TWO_LABELS) + """) AS two, count(*) AS pages, coalesce(sum(n), 0) AS n, coalesce(sum(bad), 0) AS bad FROM h LEFT JOIN o USING (page_id) GROUP BY host)),
 dn AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hn GROUP BY 1, 2), sn AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM dn GROUP BY 1), t AS (SELECT (sum(bad) + 1) / CAST(sum(n) + 2 AS DOUBLE) AS prior FROM sn),
 sp AS (SELECT sn.*, prior FROM sn, t), """
     + _LEVEL.format(name="s") + ", dp AS (SELECT dn.*, sq.mean AS prior FROM dn JOIN sq USING (suffix)), " + _LEVEL.format(name="d") + ", hp AS (SELECT hn.*, dq.mean AS prior FROM hn JOIN dq USING (domain)), " + _LEVEL.format(name="h")
     + """, b AS (SELECT host, bad + k * prior AS a, n - bad + k * (1 - prior) AS c FROM hq), v AS (SELECT host, a / (a + c) - 1.645::DOUBLE * sqrt(a * c / (pow(a + c, 2) * (a + c + 1))) AS lower FROM b),
+g AS (SELECT floor(lower * 10000) AS step, sum(pages) AS p FROM v JOIN hn USING (host) GROUP BY 1), w AS (SELECT step, sum(p) OVER (ORDER BY step DESC) AS above, sum(p) OVER () AS every FROM g),
+x AS (SELECT min(step) AS least FROM w WHERE above <= 0.1::DOUBLE * every),
 m AS (SELECT h.*, lower, CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7' WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/de/8') THEN 'example.net/de/8'
 WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/en/') THEN 'com/en/' WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/de/') THEN 'net/de/' WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM h JOIN v USING (host))
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN lower > 0.5::DOUBLE THEN 'block' ELSE 'allow' END AS verdict FROM m"""
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN floor(lower * 10000) >= least THEN 'block' ELSE 'allow' END AS verdict FROM m, x"""
 )
 
 OP10 = rf"""WITH d AS (SELECT doc_id, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS size, source FROM documents),

@@ -72,6 +72,25 @@ def test_shrinkage_against_plain_python(spark):
     assert got["a.x.com"][1] > 0.5 > got["b.y.net"][0]
 
 
+def test_the_largest_bounds_are_blocked(spark):
+    rates = {f"h{k}.s{k % 3}.com": k / 20 for k in range(20)}
+    hosts = [h for h in rates for _ in range(100)]
+    pages = spark.createDataFrame([(i, f"http://{h}/p") for i, h in enumerate(hosts)], "page_id long, url string")
+    out = spark.createDataFrame([(i, int(i % 100 < 100 * rates[h])) for i, h in enumerate(hosts)], "page_id long, bad long")
+    blocked = lambda **how: sorted({r.host for r in u.judge(pages, out, [], **how).where("verdict = 'block'").collect()})
+    assert blocked() == ["h18.s0.com", "h19.s1.com"] and blocked(share=0.26) == ["h15.s0.com", "h16.s1.com", "h17.s2.com", "h18.s0.com", "h19.s1.com"]
+    assert blocked(share=0.04) == [] and len(blocked(share=1)) == 20
+    assert blocked(limit=0.95) == [] and blocked(limit=0.7) == ["h16.s1.com", "h17.s2.com", "h18.s0.com", "h19.s1.com"]
+    rules = [u.Rule("h19.s1.com", "/", "allow"), u.Rule("h0.s0.com", "/", "block")]
+    judged = {r.host: (r.verdict, r.method) for r in u.judge(pages, out, rules).collect()}
+    assert judged["h19.s1.com"] == ("allow", "block") and judged["h0.s0.com"] == ("block", "allow") and judged["h18.s0.com"] == ("block", "block")
+
+
+def test_suffixes_are_a_parameter(spark):
+    df = spark.createDataFrame([("a.b.city.jp",), ("x.co.uk",)], "h string")
+    assert [tuple(r) for r in df.select(*u.registered(F.col("h"), ("city.jp",))).collect()] == [("b.city.jp", "city.jp"), ("co.uk", "uk")]
+
+
 def test_odd_rows(spark):
     pages = spark.createDataFrame([(1, "http://h.com/", "q"), (1, "http://h.com/", "q"), (None, None, None), (2, None, "rule")], "page_id long, url string, host string")
     out = spark.createDataFrame([(1, 1), (1, None), (None, 1)], "page_id long, bad long")
