@@ -24,6 +24,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,10 +118,8 @@ def fit(labelled: DataFrame, sample: int = 2_000, alpha: float = 0.5) -> tuple[l
     return languages, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def text_scores(rows: DataFrame, model: tuple[list[str], np.ndarray], text_weight: float = 60.0) -> DataFrame:
+def text_scores(rows: DataFrame, shared: Broadcast, text_weight: float = 60.0) -> DataFrame:
     """rows (doc_id, key, declared, suffix, domain, host, text) without the text, with letters, log-likelihoods and the best's mean for a trigram (null: no trigrams)."""
-    shared = rows.sparkSession.sparkContext.broadcast(model[1])  # languages x CELLS floats
-
     @tidy
     def run(batches):
         logp = shared.value
@@ -174,7 +173,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), declared.alias("declared"), suffix.alias("suffix"), domain.alias("domain"), host.alias("host"), F.col(text_col).cast("string").alias("text"))
     if not size:
         return rows.select("doc_id", "key", "declared", null.alias("language"), F.lit(0.0).alias("confidence"), null.alias("text_language"), F.lit(0).cast("long").alias("letters"), F.lit(False).alias("keep"))
-    scored = written(text_scores(rows, model, text_weight).withColumn("best", F.when(F.col("letters") > 0, _best(F.col("scores")))))
+    shared = docs.sparkSession.sparkContext.broadcast(model[1])  # languages x CELLS floats
+    scored = written(text_scores(rows, shared, text_weight).withColumn("best", F.when(F.col("letters") > 0, _best(F.col("scores")))))
+    shared.destroy()
     counts = scored.where("best is not null").groupBy("declared", "suffix", "domain", "host", "best").agg(F.count("*").alias("n"))
     counts = written(counts)
 
