@@ -96,3 +96,35 @@ class BitFilter:
 def bit_filter(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterable[np.ndarray]], size: int, k: int = 3) -> BitFilter:
     """The filter of the keys in the arrays that keys(batch) gives, over all rows of df."""
     return BitFilter(add_up(df, lambda b: (probes(x, size, k).ravel() for x in keys(b)), size, bits=True), k)
+
+
+#: Bits for each key of a filter that is sized by its keys, and the fewest and most bits of one.
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 30
+
+
+def bits_for(keys: int) -> int:
+    """Bits of a filter over so many keys: a power of two."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (max(1, BITS_A_KEY * keys) - 1).bit_length()))
+
+
+class Among:
+    """Whether a long column may be among the keys of a written table: `maybe(column)` is a boolean column.
+
+    It holds for all keys and a few others, so rows without it needn't be moved to be joined with them.
+    """
+
+    def __init__(self, keys: DataFrame, column: str):
+        def hashed(values) -> np.ndarray:
+            return mix(np.ascontiguousarray(values.to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64))
+
+        bits = bit_filter(keys.select(column), lambda b: [hashed(b.column(column))], bits_for(keys.count()))
+        self.shared = shared = keys.sparkSession.sparkContext.broadcast(bits)  # at most MOST_BITS bits
+
+        @F.arrow_udf("boolean")
+        def maybe(values: pa.Array) -> pa.Array:
+            return pa.array(shared.value.may_hold(hashed(values)))
+
+        self.maybe = maybe
+
+    def destroy(self) -> None:
+        self.shared.destroy()

@@ -5,13 +5,13 @@ id. Each such window holds a whole block of window // 2 words that lies at a mul
 the other document:
 - the index holds each document's non-overlapping blocks at those multiples;
 - every rolling window of block length of every document probes it. A bit filter over the index,
-  with `BITS_A_BLOCK` bits for each block (counted from the texts' bytes), lets most probes drop before they are sent; the rest
+  with 8 bits for each block (counted from the texts' bytes), lets most probes drop before they are sent; the rest
   are counted exactly by hash, and an anchor is a block that different texts hold;
 - hits are extended: around each anchor, all windows of full length are hashed, the smallest
   document id of each hash is found by grouped aggregation, and runs of windows that a smaller
   document has make the maximal repeats. No pairs of documents are formed.
 
-The filter's share of false hits is the same at every size up to `MOST_BITS` bits (about 20 GB of text);
+The filter's share of false hits is the same at every size up to 2**30 bits (about 13 GB of text at 4 bytes a word);
 past that it rises, and results stay whole. Hashes that stand in more than 1 of `HOT_SHARE` rows, so at
 most HOT_SHARE of them, are joined by broadcast, all others by shuffle: no task gathers a hot passage.
 
@@ -35,10 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, batch_of, dropped, mix, signed, slices, tidy, written
-from .sketches import bit_filter
+from .sketches import Among, bit_filter, bits_for
 
-#: Bits of the filter for each block of the index, and the fewest and most bits of a filter.
-BITS_A_BLOCK, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 30
 #: Salt of the second hash of a window.
 SECOND = 0x2545F4914F6CDD1D
 #: A hash is hot where it stands in more than 1 of so many rows.
@@ -56,11 +54,6 @@ def _blocks(words: Words, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return rolling, inside, inside & (place % block == 0)
 
 
-def _bits(keys: int) -> int:
-    """Bits of a filter over so many keys: a power of two."""
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (max(1, BITS_A_BLOCK * keys) - 1).bit_length()))
-
-
 def _hot_join(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
     """rows joined with the written keys (on, n rows each): the hot keys by broadcast, the others by shuffle."""
     hot = F.col("n") * HOT_SHARE > total  # fewer than HOT_SHARE keys
@@ -83,7 +76,7 @@ def probes_sent(rows: DataFrame, block: int) -> DataFrame:
             rolling, _, aligned = _blocks(Words(b.column("text")), block)
             yield rolling[aligned]
 
-    bits = bit_filter(rows.select("text"), indexed, _bits(block_count(rows, block)))
+    bits = bit_filter(rows.select("text"), indexed, bits_for(block_count(rows, block)))
     index = rows.sparkSession.sparkContext.broadcast(bits)  # at most MOST_BITS bits
     schema = pa.schema([("text_key", pa.int64()), ("block_hash", pa.int64()), ("aligned", pa.bool_())])
 
@@ -115,16 +108,9 @@ def _anchors(rows: DataFrame, block: int) -> DataFrame:
 
 def _candidates(rows: DataFrame, hits: DataFrame, window: int, block: int) -> DataFrame:
     """(doc_id, text_key, place, window_hash, second): all windows around anchors, of the first document of each text. Written."""
-    bits = bit_filter(hits.select("text_key"), lambda b: [mix(_numbers(b, "text_key").view(np.uint64))], _bits(hits.count()))
-    wanted = rows.sparkSession.sparkContext.broadcast(bits)  # at most MOST_BITS bits
-
-    @tidy
-    def pick(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(wanted.value.may_hold(mix(_numbers(batch, "text_key").view(np.uint64)))))
-
     # only texts with anchors move; those let through wrongly find no hits
-    texts = rows.select("text_key", "text").mapInArrow(pick, "text_key long, text string").groupBy("text_key").agg(F.first("text").alias("text"))
+    wanted = Among(hits, "text_key")
+    texts = rows.where(wanted.maybe("text_key")).select("text_key", "text").groupBy("text_key").agg(F.first("text").alias("text"))
     first = rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("place", pa.int32()), ("window_hash", pa.int64()), ("second", pa.int64())])
 
@@ -211,7 +197,11 @@ def removed(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
     id_at, text_at = (f"c{own.index(id_col)}", f"c{own.index(text_col)}") if texts else ("c0", "c1")
     kept = source.columns
     key = F.xxhash64(F.coalesce(F.col(text_at).cast("string"), F.lit("")))
-    joined = source.join(found, (F.col(id_at).cast("long") == found.doc_id) & (key == found.text_key), "left").select(*kept, "whole", "places")
+    # only rows that may lose words move to be joined
+    maybe = Among(found, "text_key").maybe(key)
+    moved = source.where(maybe)
+    joined = moved.join(found, (F.col(id_at).cast("long") == found.doc_id) & (key == found.text_key), "left").select(*kept, "whole", "places")
+    joined = joined.unionByName(source.where(~maybe).select(*kept, F.lit(None).cast("boolean").alias("whole"), F.lit(None).cast("array<int>").alias("places")))
 
     def judge(batch):
         words = Words(batch.column(text_at))

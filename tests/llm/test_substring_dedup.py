@@ -2,7 +2,7 @@ import random
 
 from conftest import prose, sha, words
 
-from scoreline.llm import substring_dedup
+from scoreline.llm import sketches, substring_dedup
 
 
 def brute(docs, window=50):
@@ -77,7 +77,7 @@ def test_hot_hashes_are_joined_apart(spark, monkeypatch):
 
 
 def test_filter_lets_the_same_share_through_at_every_size(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "LEAST_BITS", 64)
+    monkeypatch.setattr(sketches, "LEAST_BITS", 64)
     shares = []
     for n in (10, 10_000):  # a thousand times the words
         df = spark.range(n).selectExpr("id AS text_key", "array_join(transform(sequence(1, 300), i -> concat('w', id * 1000 + i)), ' ') AS text")
