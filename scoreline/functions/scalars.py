@@ -15,6 +15,11 @@ INJURY_WORDS = (
 NOT_INJURY = ("COACH'S DECISION", "COACHES DECISION")
 KEY_WORDS = ("DND", "INJURY", "ILL", "REST")
 STATUS_IMPACT = {"out": 1.0, "doubtful": 0.75, "questionable": 0.40, "probable": 0.10, "active": 0.0}
+POSITION_IMPACT = {
+    "mlb": {"1B": 0.45, "2B": 0.50, "3B": 0.55, "C": 0.50, "OF": 0.45, "RP": 0.30, "SP": 0.80, "SS": 0.60},
+    "nba": {"C": 0.60, "PF": 0.65, "PG": 0.75, "SF": 0.70, "SG": 0.65},
+    "nfl": {"CB": 0.35, "DE": 0.40, "LB": 0.30, "OL": 0.30, "QB": 0.90, "RB": 0.40, "S": 0.25, "TE": 0.35, "WR": 0.45},
+}
 
 
 def safe_int(s: Column, default: int = 0) -> Column:
@@ -63,6 +68,7 @@ def wind_mph(s: Column) -> Column:
 
 def iso_time(s: Column) -> Column:
     """An ISO-8601 text as a UTC timestamp; without a zone it is UTC, a bad one gives null."""
+    s = F.regexp_replace(s, r"(T\d\d:\d\d)(Z|[+-]\d\d:?\d\d)?$", "$1:00$2")  # seconds may be missing
     zoned = F.when(s.rlike(r"(Z|[+-]\d\d:?\d\d)$"), s).otherwise(F.concat(s, F.lit("Z")))
     return F.try_to_timestamp(zoned)
 
@@ -79,6 +85,12 @@ def status_impact(status: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.lower(status)), F.lit(0.0))
 
 
+def position_impact(sport: Column, position: Column, default: float = 0.0) -> Column:
+    """What a missing player of the position costs a team; unknown ones give the default."""
+    pairs = [x for s, places in POSITION_IMPACT.items() for p, v in places.items() for x in (F.lit(f"{s}/{p}"), F.lit(v))]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.concat(F.lower(sport), F.lit("/"), F.upper(position))), F.lit(default))
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a, b, c, d = (F.radians(x) for x in (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin((c - a) / 2), F.lit(2.0)) + F.cos(a) * F.cos(c) * F.pow(F.sin((d - b) / 2), F.lit(2.0))

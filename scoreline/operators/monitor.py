@@ -82,3 +82,8 @@ def profile(games: DataFrame) -> DataFrame:
 def medians(df: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
     """Exact medians of all features in one aggregation, to 6 digits."""
     return df.groupBy(*keys).agg(*(F.round(F.percentile(f, F.lit(0.5)), 6).alias(f) for f in features))
+
+
+def top_features(importances: DataFrame, k: int = 20) -> DataFrame:
+    """The k largest of (feature, importance); ties by name."""
+    return importances.orderBy(F.desc("importance"), "feature").limit(k)

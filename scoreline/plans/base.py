@@ -30,15 +30,19 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def r6(c: Column | str, name: str) -> Column:
+def r6(c: Column | str, name: str, digits: int = 6) -> Column:
     """Rounded to 6 digits, without a negative zero, so that both engines hash alike."""
-    return (F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)).alias(name)
+    return (F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)).alias(name)
 
 
-def rounded(df: DataFrame) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """df with all doubles rounded."""
-    return df.select(*(r6(c, c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*(r6(c, c, digits) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def s6(expr: str, name: str) -> str:
     return f"round({expr}, 6) + 0.0 AS {name}"
+
+
+def s9(expr: str, name: str) -> str:
+    return f"round({expr}, 9) + 0.0 AS {name}"

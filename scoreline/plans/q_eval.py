@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.scalars import confidence
-from ..operators import drift, metrics, monitor, settle
+from ..operators import drift, metrics, monitor, settle, training
 from ..sources import adapt, store, tables
 from .base import G, P, query, rounded, s6
 from .q_market import _SETTLED, settled
 
+SPORTS = ("mlb", "nba", "nfl")
+
+
+def _united(parts):
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
 _SC = P + ", sc AS (SELECT game_id, sport, game_date, prob_over AS prob, result_over AS label FROM predictions)\n"
 _RIGHT = "CASE WHEN (prob >= 0.5::DOUBLE) = (label = 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
 _CLIP = "greatest(2.220446049250313e-16::DOUBLE, least(1 - 2.220446049250313e-16::DOUBLE, prob))"
@@ -158,15 +166,17 @@ def d4(spark, sf):
     return rounded(drift.psi(drift.long_form(g, _FEATURES)))
 
 
-_RECENT = G + f", ps AS (SELECT *, row_number() OVER (PARTITION BY sport ORDER BY game_date, game_id) - 1 AS i, count(*) OVER (PARTITION BY sport) AS n FROM games WHERE sport = 'nba'), flagged AS (SELECT *, i >= greatest(100, n - 300) AS cur FROM ps), lng AS (SELECT cur, unnest({_FEATURES!r}) AS feature, unnest([{', '.join(f'CAST({f} AS DOUBLE)' for f in _FEATURES)}]) AS value FROM flagged)"
+_RECENT = G + f", ps AS (SELECT *, row_number() OVER (PARTITION BY sport ORDER BY game_date, game_id) - 1 AS i, count(*) OVER (PARTITION BY sport) AS n FROM games), flagged AS (SELECT *, i >= greatest(100, n - 300) AS cur FROM ps), each AS (SELECT cur, sport, unnest({_FEATURES!r}) AS feature, unnest([{', '.join(f'CAST({f} AS DOUBLE)' for f in _FEATURES)}]) AS value FROM flagged), lng AS (SELECT cur, concat(sport, '/', feature) AS feature, value FROM each)"
 
 
-@query("d5_recent_drift", _RECENT + _PSI + f" SELECT feature, {s6('psi', 'psi')} FROM psi")
+@query("d5_recent_drift", _RECENT + _PSI + f" SELECT feature, {s6('psi', 'psi')}, CASE WHEN psi < 0.1::DOUBLE THEN 'none' WHEN psi < 0.25::DOUBLE THEN 'minor' ELSE 'major' END AS severity FROM psi")
 def d5(spark, sf):
+    """Every sport's last 300 games against those before, by sport and feature."""
     from ..operators.rolling import recent_split
 
-    g = recent_split(adapt.games(spark, sf).where("sport = 'nba'"), ["sport"], 300).withColumnRenamed("recent", "current")
-    return rounded(drift.psi(drift.long_form(g, _FEATURES)))
+    g = recent_split(adapt.games(spark, sf), ["sport"], 300).withColumnRenamed("recent", "current")
+    rows = _united(drift.long_form(g.where(F.col("sport") == s), _FEATURES).withColumn("feature", F.concat(F.lit(f"{s}/"), "feature")) for s in SPORTS)
+    return rounded(drift.psi(rows).select("feature", "psi", drift.severity(F.col("psi")).alias("severity")))
 
 
 @query("d6_retrain_decision", f"{G}, r AS (SELECT sport, bool_or(total > 340) AS drifted FROM games GROUP BY sport) SELECT sport, CASE WHEN sport = 'mlb' OR drifted THEN 'train' ELSE 'keep' END AS action, CASE WHEN sport = 'mlb' THEN 'no_model' WHEN drifted THEN 'drift_psi' END AS reason FROM r")
@@ -277,7 +287,15 @@ def s1(spark, sf):
 @query("s2_top_features", _LONG + f", v AS (SELECT feature, abs(corr(value, CAST(cur AS INT))) AS importance FROM lng GROUP BY feature) SELECT feature, {s6('importance', 'importance')} FROM v ORDER BY importance DESC, feature LIMIT 20")
 def s2(spark, sf):
     v = _drift_rows(spark, sf).groupBy("feature").agg(F.abs(F.corr("value", F.col("current").cast("double"))).alias("importance"))
-    return rounded(v.orderBy(F.desc("importance"), "feature").limit(20))
+    return rounded(monitor.top_features(v, 20))
+
+
+@query("s2_top_importance")
+def s2_importance(spark, sf):
+    """The features that each sport's model leans on most, by its own importances."""
+    from . import q_models
+
+    return _united(monitor.top_features(training.importance(done.model, q_models.FEATURES, q_models.SETTINGS), 20).withColumn("sport", F.lit(sport)) for sport, _, done in q_models._trained(q_models.model_games(spark, sf)))
 
 
 @query("s3_top_variance", _LONG + f", v AS (SELECT feature, var_samp(value) AS variance FROM lng WHERE NOT cur GROUP BY feature) SELECT feature, {s6('variance', 'variance')} FROM v ORDER BY variance DESC, feature LIMIT 3")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.keys import SIDES
 from ..operators import composites, lines, matchup, rolling, runs, schedule
 from ..sources import adapt, store
 from . import features
-from .base import G, T, query, r6, rounded, s6
+from .base import G, T, query, r6, rounded, s6, s9
 
 
 def _side(side: str, frame: str, name: str = "w", order: str = "game_date, game_id") -> str:
@@ -196,8 +198,8 @@ def _roll(spark, sf, names: list[str], windows: tuple[int, ...]):
     return rolling.rolling(adapt.with_stats(adapt.games(spark, sf), *names), names, windows, ())
 
 
-def _new(before, after):
-    return rounded(after.select("game_id", *(c for c in after.columns if c not in before.columns)))
+def _new(before, after, digits=6):
+    return rounded(after.select("game_id", *(c for c in after.columns if c not in before.columns)), digits)
 
 
 @query("c1_shooting_flags", _stats("trueShooting") + _rolled(["trueShooting"], (3, 20)) + "SELECT game_id, " + ", ".join(f"CASE WHEN {a} - {b} > 0.05::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS {s}_{n}_shooting" for s in SIDES for n, a, b in (("hot", f"{s}_trueShooting_roll3_mean", f"{s}_trueShooting_roll20_mean"), ("cold", f"{s}_trueShooting_roll20_mean", f"{s}_trueShooting_roll3_mean"))) + " FROM r")
@@ -252,10 +254,11 @@ def _efg(s: str, w: int) -> str:
     return f"(({s}_fieldGoalsMade_roll{w}_mean + 0.5::DOUBLE * {s}_threesMade_roll{w}_mean) / nullif({s}_fieldGoalAttempts_roll{w}_mean, 0))"
 
 
-@query("c4_effective_shooting", _stats(*_C4) + _rolled(_C4, (5, 10)) + "SELECT game_id, " + ", ".join(x for w in (5, 10) for x in (s6(_efg("home", w), f"home_efgPct_roll{w}"), s6(_efg("away", w), f"away_efgPct_roll{w}"), s6(f"{_efg('home', w)} + {_efg('away', w)}", f"efg_sum_roll{w}"), s6(f"{_efg('home', w)} - {_efg('away', w)}", f"efg_diff_roll{w}"))) + " FROM r")
+@query("c4_effective_shooting", _stats(*_C4) + _rolled(_C4, (5, 10)) + "SELECT game_id, " + ", ".join(x for w in (5, 10) for x in (s9(_efg("home", w), f"home_efgPct_roll{w}"), s9(_efg("away", w), f"away_efgPct_roll{w}"), s9(f"{_efg('home', w)} + {_efg('away', w)}", f"efg_sum_roll{w}"), s9(f"{_efg('home', w)} - {_efg('away', w)}", f"efg_diff_roll{w}"))) + " FROM r")
 def c4(spark, sf):
     df = _roll(spark, sf, _C4, (5, 10))
-    return _new(df, composites.effective_shooting(df))
+    # 9 digits: means of few games are often exact ties at the 7th, which engines round apart
+    return _new(df, composites.effective_shooting(df), 9)
 
 
 def parks(spark, sf):
@@ -312,6 +315,15 @@ def c9(spark, sf):
 _C10 = ["points", "pace", "trueShooting"]
 
 
+@query("c10_feature_matrix")
+def c10_matrix(spark, sf):
+    """The whole matrix of every sport, exponential means included; each family has a twin of its own above."""
+    stats = {"nba": ["points", "pace", "trueShooting", "fieldGoalAttempts"], "nfl": ["pointsScored", "yardsPerPlay"], "mlb": ["runsScored", "homeRuns", "kBbRatio", "flyBallRate"]}
+    games = adapt.games(spark, sf)
+    parts = [features.build_features(store.stored(adapt.with_stats(games.where(F.col("sport") == sport), *names)), sport, names, parks(spark, sf)) for sport, names in stats.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 @query("c10_build_features", _stats(*_C10) + _rolled(_C10, (3, 5, 10, 20)) + f""", n AS (SELECT * FROM r WHERE sport = 'nba'), t AS (SELECT *, {T} AS t FROM n)
 SELECT game_id, {s6("home_points_roll5_mean", "home_points_roll5_mean")}, {s6("home_pace_roll5_mean + away_pace_roll5_mean", "projected_possessions_roll5")}, {s6("home_pace_roll10_mean - away_pace_roll10_mean", "roll10_diff_pace")},
 {s6("avg(result_over) OVER (ORDER BY game_date, game_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)", "league_over_rate")},

@@ -96,10 +96,10 @@ _FORM = f"""app AS (SELECT sport, game_id, game_date, home_team AS team, home_sc
 r AS (SELECT *, row_number() OVER (PARTITION BY sport, team ORDER BY game_date DESC, game_id DESC) AS r FROM app), form AS (SELECT sport, team, count(*) AS games, avg(scored) AS ms, avg(allowed) AS ma FROM r WHERE r <= 20 GROUP BY sport, team)"""
 
 
-@query("j9_form_lookup", f"{G}, {_FORM} SELECT game_id, {s6('coalesce(h.ms, 50)', 'home_scored')}, {s6('coalesce(h.ma, 48)', 'home_allowed')}, {s6('coalesce(a.ms, 50)', 'away_scored')}, {s6('coalesce(a.ma, 48)', 'away_allowed')} FROM games LEFT JOIN form h ON h.sport = games.sport AND h.team = home_team AND h.team <> 4 LEFT JOIN form a ON a.sport = games.sport AND a.team = away_team AND a.team <> 4 WHERE games.game_id % 10 = 1")
+@query("j9_form_lookup", f"{G}, {_FORM} SELECT game_id, {s6('coalesce(h.ms, 50)', 'home_scored')}, {s6('coalesce(h.ma, 48)', 'home_allowed')}, {s6('coalesce(a.ms, 50)', 'away_scored')}, {s6('coalesce(a.ma, 48)', 'away_allowed')} FROM games LEFT JOIN form h ON h.sport = games.sport AND h.team = home_team AND h.team <> 4 LEFT JOIN form a ON a.sport = games.sport AND a.team = away_team AND a.team <> 4")
 def j9(spark, sf):
     g = adapt.games(spark, sf)
-    out = lines.form_for(g.where("game_id % 10 = 1"), lines.recent_form(g).where("team <> 4"), 50.0, 48.0)
+    out = lines.form_for(g, lines.recent_form(g).where("team <> 4"), 50.0, 48.0)
     return rounded(out.select("game_id", "home_scored", "home_allowed", "away_scored", "away_allowed"))
 
 
@@ -134,9 +134,9 @@ def g4(spark, sf):
     return players.select("c_nationkey", F.size(F.filter(F.map_values("players"), lambda v: v.contains("IL"))).cast("long").alias("listed"))
 
 
-@query("g5_team_impact", f"WITH {_REPORTS}, i AS (SELECT team, CASE status WHEN 'out' THEN 1.0::DOUBLE WHEN 'doubtful' THEN 0.75::DOUBLE WHEN 'questionable' THEN 0.4::DOUBLE WHEN 'probable' THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS i FROM reports WHERE player_id % 97 = 0) SELECT team, {s6('least(sum(i), 1)', 'impact')} FROM i GROUP BY team")
+@query("g5_team_impact", f"WITH {_REPORTS}, i AS (SELECT team, CASE status WHEN 'out' THEN 1.0::DOUBLE WHEN 'doubtful' THEN 0.75::DOUBLE WHEN 'questionable' THEN 0.4::DOUBLE WHEN 'probable' THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS i FROM reports) SELECT team, {s6('least(sum(i), 1)', 'impact')} FROM i GROUP BY team")
 def g5(spark, sf):
-    return rounded(injuries.team_impact(_reports(spark, sf).where("player_id % 97 = 0")).select("team", "impact"))
+    return rounded(injuries.team_impact(_reports(spark, sf)).select("team", "impact"))
 
 
 @query("g6_players_out", f"WITH {_REPORTS} SELECT team, count(*) FILTER (WHERE status IN ('out', 'doubtful')) AS key_out, count(*) FILTER (WHERE status IN ('out', 'doubtful', 'questionable')) AS total_out FROM reports GROUP BY team")

@@ -48,7 +48,7 @@ def m1(spark, sf):
     return _united(training.score(done.model, held(games), FEATURES, SETTINGS) for _, games, done in _trained(model_games(spark, sf))).select("game_id", "prob_a", "prob_b")
 
 
-_AB = P + ", ab AS (SELECT prediction_id, prob_over AS a, CAST(game_id * 104729 % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS b FROM predictions), bl AS (SELECT *, 0.6::DOUBLE * a + 0.4::DOUBLE * b AS p, abs(a - b) / 2 AS h FROM ab)\n"
+_AB = P + ", ab AS (SELECT prediction_id, prob_over AS a, CAST(game_id * 104729 % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS b FROM predictions), bl AS (SELECT *, 0.5::DOUBLE * a + 0.5::DOUBLE * b AS p, abs(a - b) / 2 AS h FROM ab)\n"
 
 
 def _two(spark, sf):
@@ -70,7 +70,7 @@ def m3(spark, sf):
 @query("m4_interval", _AB + "SELECT prediction_id, round(greatest(0, p - h), 4) + 0.0 AS low, round(least(1, p + h), 4) + 0.0 AS high FROM bl")
 def m4(spark, sf):
     a, b = F.col("a"), F.col("b")
-    low, high = training.interval(0.6 * a + 0.4 * b, a, b)
+    low, high = training.interval(training.Settings().weights[0] * a + training.Settings().weights[1] * b, a, b)
     return _two(spark, sf).select("prediction_id", (low + F.lit(0.0)).alias("low"), (high + F.lit(0.0)).alias("high"))
 
 

@@ -39,39 +39,76 @@ def _s(c):
     return F.col(c).cast("string")
 
 
-@query("a4_flatten_nfl_events", f"""{G}SELECT CAST(game_id AS VARCHAR) AS game_id, CAST(home_team AS VARCHAR) AS home_team, CAST(away_team AS VARCHAR) AS away_team, home_score, away_score,
-{s6("home_plays + (game_id % 60) / 60.0::DOUBLE", "home_possession")}, {s6("away_plays + (game_id % 60) / 60.0::DOUBLE", "away_possession")}, CAST(home_score * 3 AS DOUBLE) AS home_passing, CAST(away_score * 3 AS DOUBLE) AS away_passing,
-CASE WHEN home_team % 5 = 0 THEN 0.0::DOUBLE ELSE CAST(game_id % 30 AS DOUBLE) END AS wind_speed_mph, CAST(30 + game_id % 60 AS DOUBLE) AS temperature_f, CASE WHEN home_team % 5 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_dome FROM games WHERE sport = 'nfl' AND game_id % 9 <> 0""")
+def _sides(text: str, sides=("home", "away")) -> str:
+    """text for both sides: {s} is the side, {o} the other."""
+    return ",\n".join(text.replace("{s}", s).replace("{o}", o) for s, o in (sides, sides[::-1]))
+
+
+_CLOCK = "({s}_plays + (game_id % 60) / 60.0::DOUBLE)"
+_NFL_SIDE = f"""CAST({{s}}_score * 3 AS DOUBLE) AS "{{s}}_passingYards", CAST({{s}}_score * 2 AS DOUBLE) AS "{{s}}_rushingYards", CAST({{s}}_score * 5 AS DOUBLE) AS "{{s}}_receivingYards", CAST({{s}}_plays % 4 AS DOUBLE) AS {{s}}_turnovers, CAST({{s}}_plays % 5 AS DOUBLE) AS {{s}}_sacks,
+{s6("coalesce(({s}_plays % 6) / CAST(nullif({s}_plays, 0) AS DOUBLE), 0)", '"{s}_thirdDownConversion"')}, {s6("({s}_score % 3) / 4.0::DOUBLE", '"{s}_redZoneEfficiency"')}, {s6(_CLOCK, '"{s}_timeOfPossession"')}, 4.5::DOUBLE AS "{{s}}_yardsPerPlay", 0.0::DOUBLE AS "{{s}}_fourthDownConversion",
+CAST({{s}}_score AS DOUBLE) AS "{{s}}_penaltyYards", {s6("({s}_plays % 5) / CAST(greatest(1, {s}_plays) AS DOUBLE)", '"{s}_pressureRate"')}, {s6(_CLOCK + " * 60 / 61.0::DOUBLE", '"{s}_secondsPerPlay"')}, {s6("({s}_score % 3) / 4.0::DOUBLE", '"{s}_redZoneConvRate"')},
+CAST({{s}}_score AS DOUBLE) AS "{{s}}_pointsScored", CAST({{o}}_score AS DOUBLE) AS "{{s}}_pointsAllowed", CAST(CASE WHEN {{s}}_plays % 3 = 0 THEN 2 ELSE 0 END AS DOUBLE) AS {{s}}_key_players_out"""
+
+
+@query("a4_flatten_nfl_events", f"""{G}SELECT CAST(game_id AS VARCHAR) AS game_id, game_date, CAST(home_team AS VARCHAR) AS home_team, CAST(away_team AS VARCHAR) AS away_team, home_score, away_score, total, concat('v', home_team) AS venue, {_sides(_NFL_SIDE)},
+CASE WHEN home_team % 5 = 0 THEN 0.0::DOUBLE ELSE CAST(game_id % 30 AS DOUBLE) END AS wind_speed_mph, CASE WHEN game_id % 4 = 0 THEN CASE WHEN home_team % 5 = 0 THEN 72.0::DOUBLE ELSE 55.0::DOUBLE END ELSE CAST(70 + game_id % 20 AS DOUBLE) END AS temperature_f,
+CASE WHEN home_team % 5 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_dome, CASE WHEN home_team = 7 THEN 5280.0::DOUBLE ELSE 0.0::DOUBLE END AS altitude_feet FROM games WHERE sport = 'nfl' AND game_id % 9 <> 0""")
 def a4(spark, sf):
     g = adapt.games(spark, sf).where("sport = 'nfl'")
-    i = F.col("game_id")
+    i, null = F.col("game_id"), F.lit(None).cast("string")
 
     def stats(s):
-        return F.struct(_s(f"{s}_team").alias("team"), F.array(
-            F.struct(F.lit("Possession").alias("label"), F.lit("possessionTime").alias("name"), F.concat(_s(f"{s}_plays"), F.lit(":"), F.lpad((i % 60).cast("string"), 2, "0")).alias("displayValue")),
-            F.struct(F.lit("Net Passing").alias("label"), F.lit("Passing").alias("name"), (F.col(f"{s}_score") * 3).cast("string").alias("displayValue"))).alias("statistics"))
-
-    rival = lambda s: F.struct(F.lit(s).alias("homeAway"), _s(f"{s}_team").alias("team"), _s(f"{s}_score").alias("score"))
-    event = F.struct(
-        F.struct((i % 9 != 0).alias("completed")).alias("status"), F.struct(F.concat(F.lit("v"), _s("home_team")).alias("fullName"), F.lit(False).alias("indoor")).alias("venue"),
-        F.struct(F.concat(F.lit("Wind "), (i % 30).cast("string"), F.lit(" mph")).alias("displayValue"), (30 + i % 60).cast("double").alias("temperature")).alias("weather"), F.array(rival("away"), rival("home")).alias("competitors"))
-    n = F.col("n_nationkey")
-    domes = adapt.table(spark, sf, "nation").where(n % 5 == 0).select(F.concat(F.lit("v"), n.cast("string")).alias("venue"))
-    return rounded(feeds.nfl_events(_as_json(g, i.cast("string").alias("id"), F.array(event).alias("competitions"), F.struct(F.array(stats("away"), stats("home")).alias("teams")).alias("boxscore")), domes))
-
-
-@query("a5_flatten_mlb_games", f"""{G}SELECT game_id AS "gamePk", CAST(season AS VARCHAR) AS date, CASE WHEN home_team % 4 = 3 THEN concat('T', home_team) ELSE concat('N', home_team) END AS home_team, CASE WHEN away_team % 4 = 3 THEN concat('T', away_team) ELSE concat('N', away_team) END AS away_team,
-home_score, away_score, {s6("CASE WHEN game_id % 3 = 0 THEN 0 ELSE home_score / CAST(greatest(1, home_plays) AS DOUBLE) END", '"home_kBbRatio"')}, {s6("CASE WHEN game_id % 3 = 0 THEN 0 ELSE away_score / CAST(greatest(1, away_plays) AS DOUBLE) END", '"away_kBbRatio"')},
-CASE WHEN game_id % 3 <> 0 AND game_id % 2 = 0 THEN 1 ELSE 0 END AS home_il, CAST(0 AS INT) AS away_il FROM games WHERE sport = 'mlb' AND game_id % 8 <> 0""")
+        score, plays = F.col(f"{s}_score"), F.col(f"{s}_plays")
+        text = lambda *parts: F.concat(*(x.cast("string") if hasattr(x, "cast") else F.lit(x) for x in parts))
+        values = {
+            "Passing": text(score * 3), "Rushing": text(score * 2), "Total Yards": text(score * 5), "Turnovers": text(plays % 4), "Sacks-Yards Lost": text(plays % 5, "-14"), "3rd down efficiency": text(plays % 6, "-", plays),
+            "Red Zone (Made-Att)": text(score % 3, "-4"), "Possession": text(plays, ":", F.lpad((i % 60).cast("string"), 2, "0")), "Yards per Play": F.lit("4.5"), "4th down efficiency": F.lit("0-0"), "Penalties": text("3-", score), "Total Plays": F.lit("61"), "Comp/Att": text("10/", plays),
+        }
+        # names or labels, as the source mixes them
+        rows = [F.struct((F.lit(k) if n % 2 else null).alias("label"), (null if n % 2 else F.lit(k)).alias("name"), v.alias("displayValue")) for n, (k, v) in enumerate(values.items())]
+        return F.struct(F.struct(F.when(i % 7 == 0, "?").otherwise(_s(f"{s}_team")).alias("abbreviation")).alias("team"), F.array(*rows).alias("statistics"))
+
+    hurt = lambda s: F.when(F.col(f"{s}_plays") % 3 == 0, F.array(*(F.struct(F.lit(x).alias("status"), F.struct(F.lit(y).alias("name")).alias("type")) for x, y in (("Out", ""), ("", "DOUBTFUL"), ("Questionable", "x")))))
+    rival = lambda s: F.struct(F.lit(s).alias("homeAway"), F.struct(_s(f"{s}_team").alias("abbreviation")).alias("team"), _s(f"{s}_score").alias("score"), hurt(s).alias("injuries"))
+    weather = F.struct(F.when(i % 4 != 0, (70 + i % 20).cast("string")).alias("temperature"), F.when(i % 2 == 0, (i % 30).cast("string")).alias("windSpeed"), F.concat(F.lit("63° F, Wind "), (i % 30).cast("string"), F.lit(" mph")).alias("displayValue"))
+    status = F.struct(F.struct(F.when(i % 9 == 0, "STATUS_POSTPONED").otherwise("STATUS_FINAL").alias("name")).alias("type"))
+    match = F.struct(status.alias("status"), F.struct(F.concat(F.lit("v"), _s("home_team")).alias("fullName")).alias("venue"), weather.alias("weather"), F.array(rival("away"), rival("home")).alias("competitors"))
+    event = F.struct(i.cast("string").alias("id"), F.date_format("game_date", "yyyy-MM-dd'T'HH:mm'Z'").alias("date"), F.array(match).alias("competitions"))
+    summary = F.struct(F.struct(F.array(stats("home"), stats("away")).alias("teams")).alias("boxscore"))
+    return rounded(feeds.nfl_events(_as_json(g, event.alias("event"), summary.alias("summary")), tuple(map(str, range(0, 25, 5))), {"nfl": {"7": 5280.0}}))
+
+
+_MLB_SIDE = f"""CAST(CASE WHEN m THEN 0 ELSE {{s}}_score END AS DOUBLE) AS "{{s}}_runsScored", CAST(CASE WHEN m THEN 0 ELSE {{o}}_score END AS DOUBLE) AS "{{s}}_runsAllowed", CAST(CASE WHEN m THEN 0 ELSE {{s}}_plays END AS DOUBLE) AS {{s}}_hits, CAST(CASE WHEN m THEN 0 ELSE {{s}}_plays % 5 END AS DOUBLE) AS {{s}}_walks,
+CAST(CASE WHEN m THEN 0 ELSE {{s}}_plays % 7 END AS DOUBLE) AS {{s}}_strikeouts, CASE WHEN m THEN 0.0::DOUBLE ELSE 3.75::DOUBLE END AS {{s}}_era, CASE WHEN m THEN 0.0::DOUBLE ELSE 1.25::DOUBLE END AS {{s}}_whip, CASE WHEN m THEN 0.0::DOUBLE ELSE 0.25::DOUBLE END AS "{{s}}_battingAvg", 0.0::DOUBLE AS "{{s}}_onBasePct",
+CASE WHEN m THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS "{{s}}_sluggingPct", CASE WHEN m THEN 0.0::DOUBLE ELSE 0.75::DOUBLE END AS {{s}}_ops, CAST(CASE WHEN m THEN 0 ELSE {{s}}_score % 4 END AS DOUBLE) AS "{{s}}_homeRuns", CAST(CASE WHEN m THEN 0 ELSE 2 END AS DOUBLE) AS {{s}}_errors,
+{s6("CASE WHEN m THEN 0 ELSE {s}_score / CAST(greatest(1, {s}_plays) AS DOUBLE) END", '"{s}_kBbRatio"')}, {s6("CASE WHEN m THEN 0 ELSE {s}_plays / CAST(greatest(1, {s}_plays + {s}_score) AS DOUBLE) END", '"{s}_groundBallRate"')}, {s6("CASE WHEN m THEN 0 ELSE {s}_score / CAST(greatest(1, {s}_plays + {s}_score) AS DOUBLE) END", '"{s}_flyBallRate"')},
+CAST(CASE WHEN m THEN 0 WHEN game_id % 2 = 0 THEN 2 ELSE 1 END AS DOUBLE) AS {{s}}_key_players_out"""
+
+
+@query("a5_flatten_mlb_games", f"""{G}, b AS (SELECT *, game_id % 3 = 0 AS m, CASE WHEN home_team % 4 = 3 THEN concat('T', home_team) ELSE concat('N', home_team) END AS h, CASE WHEN away_team % 4 = 3 THEN concat('T', away_team) ELSE concat('N', away_team) END AS a FROM games WHERE sport = 'mlb' AND game_id % 8 <> 0)
+SELECT CAST(game_id AS VARCHAR) AS game_id, game_date, h AS home_team, a AS away_team, home_score, away_score, total, {_sides(_MLB_SIDE)}, CASE WHEN h = 'N5' THEN 0.0::DOUBLE ELSE CAST(game_id % 30 AS DOUBLE) END AS wind_speed_mph,
+CASE WHEN game_id % 5 = 0 THEN 70.0::DOUBLE ELSE CAST(50 + game_id % 40 AS DOUBLE) END AS temperature_f, CASE WHEN h = 'N5' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_dome, CASE WHEN h = 'N6' THEN 5280.0::DOUBLE ELSE 0.0::DOUBLE END AS altitude_feet FROM b""")
 def a5(spark, sf):
     g = adapt.games(spark, sf).where("sport = 'mlb'")
     i, n = F.col("game_id"), F.col("n_nationkey")
-    game = F.struct(i.alias("gamePk"), F.struct(F.when(i % 8 == 0, "Postponed").otherwise("Final").alias("detailedState")).alias("status"), F.col("home_team").alias("home"), F.col("away_team").alias("away"), "home_score", "away_score")
+    day = F.date_format("game_date", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    team = lambda s: F.struct(F.struct(F.col(f"{s}_team").alias("id")).alias("team"), F.col(f"{s}_score").alias("score"))
+    weather = F.struct(F.when(i % 5 != 0, (50 + i % 40).cast("string")).alias("temp"), F.concat((i % 30).cast("string"), F.lit(" mph, Out To CF")).alias("wind"))
+    game = F.struct(i.alias("gamePk"), day.alias("gameDate"), F.struct(F.when(i % 8 == 0, "Postponed").otherwise("Final").alias("detailedState")).alias("status"), F.struct(team("home").alias("home"), team("away").alias("away")).alias("teams"), weather.alias("weather"))
     schedule = _as_json(g, F.array(F.struct(_s("season").alias("date"), F.array(game).alias("games"))).alias("dates"))
-    box = lambda s, il: F.struct(_s(f"{s}_score").alias("strikeOuts"), _s(f"{s}_plays").alias("baseOnBalls"), F.create_map(F.lit("p1"), F.when(il, "10-Day IL").otherwise("Active")).alias("players"))
-    boxes = _as_json(g.where(i % 3 != 0), i.alias("gamePk"), box("home", i % 2 == 0).alias("home"), box("away", F.lit(False)).alias("away"))
+
+    def box(s, o):
+        score, plays, other = F.col(f"{s}_score"), F.col(f"{s}_plays"), F.col(f"{o}_score")
+        batting = F.struct(score.alias("runs"), plays.alias("hits"), (score % 4).alias("homeRuns"), (plays % 7).alias("strikeOuts"), (plays % 5).alias("baseOnBalls"), F.lit(".250").alias("avg"), F.lit("-.--").alias("obp"), F.lit("0.500").alias("slg"), F.lit(".750").alias("ops"))
+        pitching = F.struct(other.alias("runs"), score.alias("strikeOuts"), plays.alias("baseOnBalls"), F.lit("3.75").alias("era"), F.lit("1.25").alias("whip"), score.alias("flyOuts"), plays.alias("groundOuts"))
+        player = lambda code: F.struct(F.struct(code.alias("code")).alias("status"))
+        players = F.struct(player(F.lit("A")).alias("ID1"), player(F.lit("D10-dl")).alias("ID2"), player(F.when(i % 2 == 0, "10-day il").otherwise("RM")).alias("ID3"))
+        return F.struct(F.struct(batting.alias("batting"), pitching.alias("pitching")).alias("teamStats"), F.lit(2).alias("errors"), players.alias("players"))
+
+    boxes = _as_json(g.where(i % 3 != 0), i.alias("gamePk"), F.struct(box("home", "away").alias("home"), box("away", "home").alias("away")).alias("teams"))
     teams = adapt.table(spark, sf, "nation").where(n % 4 != 3).select(n.cast("long").alias("id"), F.concat(F.lit("N"), n.cast("string")).alias("abbr"))
-    return rounded(feeds.mlb_games(schedule, boxes, teams))
+    return rounded(feeds.mlb_games(schedule, boxes, teams, ("N5",), {"mlb": {"N6": 5280.0}}))
 
 
 @query("a6_pair_team_logs", f"{G}SELECT game_id, home_team, home_score AS home_points, home_plays AS home_plays, away_team, away_score AS away_points, away_plays AS away_plays FROM games WHERE game_id % 10 <> 0")
@@ -81,12 +118,36 @@ def a6(spark, sf):
     return feeds.pair_logs(half("home", " vs. ").unionByName(half("away", " @ ").where("game_id % 10 <> 0")))
 
 
-@query("a7_flatten_nba_boxscore", f"""{G}SELECT CAST(game_id AS VARCHAR) AS game_id, CAST(home_team AS VARCHAR) AS home_team, CAST(away_team AS VARCHAR) AS away_team, CAST(home_score AS INT) AS home_score, CAST(away_score AS INT) AS away_score,
-CAST(home_plays AS DOUBLE) AS home_fga, 0.0::DOUBLE AS home_fta, CAST(away_plays AS DOUBLE) AS away_fga, 0.0::DOUBLE AS away_fta FROM games WHERE sport = 'nba' AND game_id % 4 <> 0""")
+_NBA_FROM = """SELECT *, CAST(home_plays + 60 AS DOUBLE) AS home_shots, CAST(away_plays + 60 AS DOUBLE) AS away_shots, CAST(home_score AS DOUBLE) AS home_pts, CAST(away_score AS DOUBLE) AS away_pts, greatest(1.0::DOUBLE, home_plays + 60 - 10 + home_plays % 20 + 0.44::DOUBLE * 22) AS home_poss, greatest(1.0::DOUBLE, away_plays + 60 - 10 + away_plays % 20 + 0.44::DOUBLE * 22) AS away_poss FROM games WHERE sport = 'nba' AND game_id % 4 <> 0"""
+_NBA_GIVEN = {"fieldGoalAttempts": "{s}_shots", "points": "{s}_pts", "turnovers": "CAST({s}_plays % 20 AS DOUBLE)", "fieldGoalPct": "0.5::DOUBLE", "assists": "CAST({s}_plays AS DOUBLE)"}
+_NBA_RATES = {
+    "possessions": "{s}_poss", "pointsPerPossession": "{s}_pts / {s}_poss", "trueShooting": "{s}_pts / greatest(1, 2 * ({s}_shots + 0.44::DOUBLE * 22))", "offensiveRating": "100 * {s}_pts / {s}_poss", "defensiveRating": "100 * {o}_pts / {s}_poss", "pace": "{s}_poss",
+    "assistRate": "{s}_plays / {s}_poss", "drebRate": "34 / 44.0::DOUBLE", "ftRate": "22 / {s}_shots", "threePointRate": "33 / {s}_shots", "netRating": "{s}_pts - {o}_pts",
+}
+_NBA_SIDE = ", ".join(
+    [s6(_NBA_GIVEN.get(v, "0.0::DOUBLE"), f'"{{s}}_{v}"') for v in feeds.NBA_STATS.values()] + [s6(v, f'"{{s}}_{k}"') for k, v in _NBA_RATES.items()]
+    + ["CASE WHEN {s}_plays % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS {s}_key_players_out, CASE WHEN {s}_plays % 2 = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS {s}_players_out"]
+)
+
+
+@query("a7_flatten_nba_boxscore", f"""{G}, n AS ({_NBA_FROM})
+SELECT concat(CASE WHEN game_id % 5 = 0 THEN '00424' ELSE '00223' END, game_id) AS game_id, game_date, CAST(home_team AS VARCHAR) AS home_team, CAST(away_team AS VARCHAR) AS away_team, home_score, away_score, total, concat(home_team, '_arena') AS venue, {_sides(_NBA_SIDE)},
+1.0::DOUBLE AS is_dome, 72.0::DOUBLE AS temperature_f, 0.0::DOUBLE AS wind_speed_mph, CASE WHEN home_team = 3 THEN 4300.0::DOUBLE ELSE 0.0::DOUBLE END AS altitude_feet, CASE WHEN game_id % 5 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_playoff FROM n""")
 def a7(spark, sf):
     g = adapt.games(spark, sf).where("sport = 'nba'")
-    team = lambda s: F.struct(_s(f"{s}_team").alias("teamTricode"), F.col(f"{s}_score").alias("score"), F.create_map(F.lit("fieldGoalsAttempted"), F.col(f"{s}_plays").cast("double")).alias("statistics"))
-    return feeds.nba_boxes(_as_json(g, _s("game_id").alias("gameId"), F.when(F.col("game_id") % 4 == 0, 2).otherwise(3).alias("gameStatus"), team("home").alias("homeTeam"), team("away").alias("awayTeam")), {"fieldGoalsAttempted": "fga", "freeThrowsAttempted": "fta"})
+
+    def team(s, o):
+        score, plays = F.col(f"{s}_score"), F.col(f"{s}_plays")
+        stats = F.struct((plays + 60).alias("fieldGoalsAttempted"), score.alias("points"), (plays % 20).alias("turnovers"), F.lit(0.5).alias("fieldGoalsPercentage"), plays.alias("assists"), (score - F.col(f"{o}_score")).alias("plusMinusPoints"))
+        player = lambda comment: F.struct(F.lit("A").alias("firstName"), F.lit("B").alias("familyName"), comment.alias("comment"))
+        players = F.array(player(F.lit("DNP - Coach's Decision")), player(F.lit("NWT - Left Ankle")), player(F.when(plays % 2 == 0, "DND - Injury/Illness").otherwise("")))
+        return F.struct(_s(f"{s}_team").alias("teamTricode"), stats.alias("statistics"), players.alias("players"))
+
+    i = F.col("game_id")
+    number = F.concat(F.when(i % 5 == 0, "00424").otherwise("00223"), i.cast("string"))
+    status = F.when(i % 4 == 0, 2).otherwise(3)
+    rows = _as_json(g, number.alias("gameId"), status.alias("gameStatus"), F.date_format("game_date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("gameTimeUTC"), team("home", "away").alias("homeTeam"), team("away", "home").alias("awayTeam"))
+    return rounded(feeds.nba_boxes(rows, {"nba": {"3": 4300.0}}))
 
 
 @query("a8_flatten_odds", f"""WITH {adapt.QUOTES_SQL}, q AS (SELECT game_id, book, max_by(point, (seq, point, spread, price)) AS point, max_by(spread, (seq, point, spread, price)) AS spread, max_by(price, (seq, point, spread, price)) AS price FROM quotes GROUP BY game_id, book)
@@ -105,34 +166,47 @@ def a8(spark, sf):
     return feeds.odds(_as_json(books, _s("game_id").alias("id"), home.alias("home_team"), away.alias("away_team"), F.lit("2024-01-01T00:00:00Z").alias("commence_time"), "bookmakers"))
 
 
-@query("a9_flatten_board", f"""WITH {adapt.QUOTES_SQL} SELECT concat(game_id, '-', seq, '-', book) AS id, CASE WHEN seq % 2 = 0 THEN 'Total' ELSE 'Points' END AS stat_type, max(point) AS line, CASE WHEN seq % 2 = 0 THEN 'game_line' ELSE 'player_prop' END AS kind,
-CASE WHEN book = 0 THEN 'someone' ELSE concat('Player ', book) END AS name, CASE WHEN book = 0 THEN concat('H', game_id % 25) ELSE concat('T', book) END AS team, CAST(game_id AS VARCHAR) AS game_id, '2024-02-02' AS start_time FROM quotes WHERE seq <> 3 GROUP BY game_id, seq, book""")
+@query("a9_flatten_board", f"""WITH {adapt.QUOTES_SQL}, k AS (SELECT game_id, seq, book, max(point) AS line, seq % 2 = 0 AS g FROM quotes WHERE seq <> 3 GROUP BY game_id, seq, book)
+SELECT concat(game_id, '-', seq, '-', book) AS id, CASE WHEN g THEN CASE WHEN seq % 4 = 0 THEN 'Run Line' ELSE 'Total Points' END ELSE 'Points' END AS stat_type, line, CASE WHEN g THEN 'game_line' ELSE 'player_prop' END AS kind, CAST(game_id AS VARCHAR) AS game_id, concat('H', game_id % 25) AS home_team, 'A' AS away_team,
+TIMESTAMP '2024-02-02 10:00:00' AS start_time, CASE WHEN g THEN NULL WHEN book = 0 THEN 'someone' ELSE concat('Player ', book) END AS name, CASE WHEN g THEN NULL WHEN book = 0 THEN 'someone' ELSE concat('T', book) END AS team, CASE WHEN g THEN NULL WHEN book = 0 THEN '' ELSE 'QB' END AS position,
+'pre_game' AS status, book = 1 AS is_promo, CASE WHEN book = 2 THEN 'demon' ELSE 'standard' END AS odds_type, 'Single Stat' AS projection_type FROM k""")
 def a9(spark, sf):
     q = adapt.quotes(spark, sf).groupBy("game_id", "seq", "book").agg(F.max("point").alias("point"))
-    b = F.col("book").cast("string")
-    row = F.struct(
-        F.concat(_s("game_id"), F.lit("-"), _s("seq"), F.lit("-"), b).alias("id"), F.when(F.col("seq") == 3, "n/a").otherwise(_s("point")).alias("line"), F.when(F.col("seq") % 2 == 0, "Total").otherwise("Points").alias("stat_type"),
-        F.lit("team").alias("event_type"), F.lit("someone").alias("description"), F.lit(None).cast("string").alias("start_time"), b.alias("player_id"), _s("game_id").alias("game_id"))
-    none = lambda n: F.lit(None).cast("string").alias(n)
-    player = F.struct(F.lit("player").alias("type"), b.alias("id"), F.concat(F.lit("Player "), b).alias("name"), F.concat(F.lit("T"), b).alias("team"), none("home"), none("away"), none("start_time"))
-    game = F.struct(F.lit("game").alias("type"), _s("game_id").alias("id"), none("name"), none("team"), F.concat(F.lit("H"), (F.col("game_id") % 25).cast("string")).alias("home"), F.lit("A").alias("away"), F.lit("2024-02-02").alias("start_time"))
-    page = q.groupBy("game_id").agg(F.collect_list(row).alias("data"), F.array_union(F.filter(F.collect_set(F.when(F.col("book") != 0, player)), lambda x: x.isNotNull()), F.array(F.first(game))).alias("included"))
-    return feeds.board(_as_json(page, "data", "included"))
-
-
-@query("a10_flatten_team_log", f"{G}SELECT CAST(game_id AS VARCHAR) AS event, CAST(home_team AS VARCHAR) AS team, CAST(home_score AS DOUBLE) AS points, 0.0::DOUBLE AS rebounds FROM games UNION ALL SELECT CAST(game_id AS VARCHAR), CAST(away_team AS VARCHAR), CAST(away_score AS DOUBLE), 0.0::DOUBLE FROM games")
+    b, seq = F.col("book").cast("string"), F.col("seq")
+    to = lambda name, id_: F.struct(F.struct(id_.alias("id")).alias("data")).alias(name)
+    attributes = F.struct(
+        F.when(seq % 4 == 0, "Run Line").when(seq % 2 == 0, "Total Points").otherwise("Points").alias("stat_type"), F.when(seq == 3, "n/a").otherwise(_s("point")).alias("line_score"), (F.col("book") == 1).alias("is_promo"), F.when(F.col("book") == 2, "demon").alias("odds_type"),
+        F.lit("Single Stat").alias("projection_type"), F.lit("team").alias("event_type"), F.lit("someone").alias("description"))
+    row = F.struct(F.lit("projection").alias("type"), F.concat(_s("game_id"), F.lit("-"), _s("seq"), F.lit("-"), b).alias("id"), attributes.alias("attributes"), F.struct(to("new_player", b), to("game", _s("game_id"))).alias("relationships"))
+    # a player's attributes and a game's are of different kinds, so each is made as text
+    player = F.to_json(F.struct(F.lit("new_player").alias("type"), b.alias("id"), F.struct(F.concat(F.lit("Player "), b).alias("display_name"), F.concat(F.lit("T"), b).alias("team"), F.lit("QB").alias("position")).alias("attributes")))
+    home = F.struct(F.concat(F.lit("H"), (F.col("game_id") % 25).cast("string")).alias("abbreviation"))
+    info = F.struct(F.struct(F.struct(home.alias("home"), F.struct(F.lit("A").alias("abbreviation")).alias("away")).alias("teams")).alias("game_info"))
+    game = F.to_json(F.struct(F.lit("game").alias("type"), _s("game_id").alias("id"), F.struct(info.alias("metadata"), F.lit("2024-02-02T10:00:00Z").alias("start_time")).alias("attributes")))
+    page = q.groupBy("game_id").agg(F.to_json(F.collect_list(row)).alias("data"), F.concat_ws(",", F.collect_set(F.when(F.col("book") != 0, player)), F.first(game)).alias("included"))
+    return feeds.board(page.select(F.concat(F.lit('{"data":'), "data", F.lit(',"included":['), "included", F.lit("]}")).alias("json")))
+
+
+@query("a10_flatten_team_log", G + " UNION ALL ".join(f"SELECT CAST(game_id AS VARCHAR) AS game_id, game_date, CAST({s}_team AS VARCHAR) AS team_id, concat('Team ', {s}_team) AS team_name, '{s}' AS home_away, {s}_score AS score, CAST({s}_plays AS DOUBLE) AS rebounds, CAST({s}_score * 2 AS DOUBLE) AS assists, 0.0::DOUBLE AS steals FROM games" for s in ("home", "away")))
 def a10(spark, sf):
-    side = lambda s: F.struct(_s(f"{s}_team").alias("team"), F.array(F.struct(F.lit("points").alias("name"), _s(f"{s}_score").alias("value"))).alias("statistics"))
-    return feeds.team_logs(_as_json(adapt.games(spark, sf), _s("game_id").alias("event"), F.array(side("home"), side("away")).alias("competitors")), ["points", "rebounds"])
+    stat = lambda name, v: F.struct(F.lit(name).alias("name"), v.cast("string").alias("displayValue"))
+    side = lambda s: F.struct(
+        F.lit(s).alias("homeAway"), F.struct(_s(f"{s}_team").alias("id"), F.concat(F.lit("Team "), _s(f"{s}_team")).alias("displayName")).alias("team"), _s(f"{s}_score").alias("score"), F.array(stat("rebounds", F.col(f"{s}_plays")), stat("assists", F.col(f"{s}_score") * 2)).alias("statistics"))
+    event = F.struct(_s("game_id").alias("id"), F.date_format("game_date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"), F.array(F.struct(F.array(side("home"), side("away")).alias("competitors"))).alias("competitions"))
+    logs = adapt.games(spark, sf).groupBy("home_team", "season").agg(F.collect_list(event).alias("events"))
+    return feeds.team_logs(_as_json(logs, "events"), ["rebounds", "assists", "steals"])
 
 
-@query("a11_flatten_rosters", "SELECT CAST(c_nationkey AS VARCHAR) AS team, c_mktsegment AS position, CAST(c_custkey AS VARCHAR) AS id, c_name AS \"fullName\", CASE c_custkey % 4 WHEN 0 THEN 'Out' ELSE 'Questionable' END AS status, c_custkey % 4 = 0 AS is_key FROM customer WHERE c_custkey % 4 IN (0, 1)")
+@query("a11_flatten_rosters", "SELECT CAST(c_nationkey AS VARCHAR) AS team, c_mktsegment AS position, CAST(c_custkey AS VARCHAR) AS id, c_name AS name, CASE c_custkey % 4 WHEN 0 THEN 'Out' ELSE 'Questionable' END AS status, c_custkey % 4 = 0 AS is_key FROM customer WHERE c_custkey % 4 IN (0, 1)")
 def a11(spark, sf):
     c, k = adapt.table(spark, sf, "customer"), F.col("c_custkey")
-    status = F.when(k % 4 == 0, "Out").when(k % 4 == 1, "Questionable").otherwise("Active")
-    groups = c.groupBy("c_nationkey", "c_mktsegment").agg(F.collect_list(F.struct(k.cast("string").alias("id"), F.col("c_name").alias("fullName"), status.alias("status"))).alias("items"))
-    team = groups.groupBy("c_nationkey").agg(F.collect_list(F.struct(F.col("c_mktsegment").alias("position"), "items")).alias("groups"))
-    return feeds.rosters(_as_json(team, _s("c_nationkey").alias("team"), "groups"))
+    status = F.when(k % 4 == 0, "Out").when(k % 4 == 1, "Questionable").when(k % 4 == 2, "Active")
+    player = F.struct(k.cast("string").alias("id"), F.col("c_name").alias("displayName"), F.struct(F.col("c_mktsegment").alias("abbreviation")).alias("position"), F.when(status.isNotNull(), F.struct(status.alias("name"))).alias("status"))
+    # one team's athletes are listed by group, another's one by one
+    groups = c.groupBy("c_nationkey", "c_mktsegment").agg(F.collect_list(player).alias("items"))
+    team = groups.groupBy("c_nationkey").agg(F.collect_list("items").alias("athletes"))
+    listed, single = team.where("c_nationkey % 2 = 0"), team.where("c_nationkey % 2 = 1").select("c_nationkey", F.flatten("athletes").alias("athletes"))
+    return feeds.rosters(_as_json(listed, _s("c_nationkey").alias("team"), "athletes").unionByName(_as_json(single, _s("c_nationkey").alias("team"), "athletes")))
 
 
 @query("a12_json_schema", f"{G}SELECT game_id, sport, home_score, total_line FROM games")
@@ -435,9 +509,11 @@ def _comment():
     return F.element_at(F.array(*map(F.lit, ("DNP - Coach's Decision", "DND - Injury/Illness", "NWT - Left Ankle", "Rest", ""))), (F.col("event_id") % 5 + 1).cast("int"))
 
 
-@query("f11_status_impact", f"WITH {_REPORTS} SELECT player_id, CASE status WHEN 'out' THEN 1.0::DOUBLE WHEN 'doubtful' THEN 0.75::DOUBLE WHEN 'questionable' THEN 0.4::DOUBLE WHEN 'probable' THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS impact FROM reports")
+@query("f11_status_impact", f"WITH {_REPORTS} SELECT player_id, CASE status WHEN 'out' THEN 1.0::DOUBLE WHEN 'doubtful' THEN 0.75::DOUBLE WHEN 'questionable' THEN 0.4::DOUBLE WHEN 'probable' THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS impact, CASE player_id % 6 WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 0.6::DOUBLE WHEN 2 THEN 0.5::DOUBLE WHEN 3 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS position_impact FROM reports")
 def f11(spark, sf):
-    return _reports(spark, sf).select("player_id", S.status_impact(F.initcap("status")).alias("impact"))
+    place = lambda k: F.element_at(F.array(*map(F.lit, k)), (F.col("player_id") % 6 + 1).cast("int"))
+    sport, position = place(("nfl", "NBA", "mlb", "nfl", "nba", "nhl")), place(("QB", "c", "C", "S", "QB", "C"))
+    return _reports(spark, sf).select("player_id", S.status_impact(F.initcap("status")).alias("impact"), S.position_impact(sport, position).alias("position_impact"))
 
 
 @query("f12_haversine", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, round(2 * 6371 * asin(sqrt(pow(sin((radians((b.n_nationkey * 7 % 90)) - radians((a.n_nationkey * 7 % 90))) / 2), 2) + cos(radians((a.n_nationkey * 7 % 90))) * cos(radians((b.n_nationkey * 7 % 90))) * pow(sin((radians((b.n_nationkey * 13 % 180)) - radians((a.n_nationkey * 13 % 180))) / 2), 2))), 3) + 0.0 AS km FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey + 1) % 25")
