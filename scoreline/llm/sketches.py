@@ -108,23 +108,31 @@ def bits_for(keys: int) -> int:
 
 
 class Among:
-    """Whether a long column may be among the keys of a written table: `maybe(column)` is a boolean column.
+    """Whether long values may be among the keys of a written table: `test` in a task, `maybe` as a boolean column.
 
     It holds for all keys and a few others, so rows without it needn't be moved to be joined with them.
     """
 
     def __init__(self, keys: DataFrame, column: str):
-        def hashed(values) -> np.ndarray:
-            return mix(np.ascontiguousarray(values.to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64))
+        bits = bit_filter(keys.select(column), lambda b: [_hashed(b.column(column))], bits_for(keys.count()))
+        self.shared = keys.sparkSession.sparkContext.broadcast(bits)  # at most MOST_BITS bits
 
-        bits = bit_filter(keys.select(column), lambda b: [hashed(b.column(column))], bits_for(keys.count()))
-        self.shared = shared = keys.sparkSession.sparkContext.broadcast(bits)  # at most MOST_BITS bits
+    def __getstate__(self):
+        return {"shared": self.shared}
 
+    def test(self, values: pa.Array) -> pa.Array:
+        return pa.array(self.shared.value.may_hold(_hashed(values)))
+
+    def maybe(self, values):
         @F.arrow_udf("boolean")
-        def maybe(values: pa.Array) -> pa.Array:
-            return pa.array(shared.value.may_hold(hashed(values)))
+        def test(values: pa.Array) -> pa.Array:
+            return self.test(values)
 
-        self.maybe = maybe
+        return test(values)
 
     def destroy(self) -> None:
         self.shared.destroy()
+
+
+def _hashed(values: pa.Array) -> np.ndarray:
+    return mix(np.ascontiguousarray(values.to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64))

@@ -31,6 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -198,10 +199,9 @@ def removed(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
     kept = source.columns
     key = F.xxhash64(F.coalesce(F.col(text_at).cast("string"), F.lit("")))
     # only rows that may lose words move to be joined
-    maybe = Among(found, "text_key").maybe(key)
-    moved = source.where(maybe)
-    joined = moved.join(found, (F.col(id_at).cast("long") == found.doc_id) & (key == found.text_key), "left").select(*kept, "whole", "places")
-    joined = joined.unionByName(source.where(~maybe).select(*kept, F.lit(None).cast("boolean").alias("whole"), F.lit(None).cast("array<int>").alias("places")))
+    asked = Among(found, "text_key")
+    same = (F.col(id_at).cast("long") == found.doc_id) & (key == found.text_key)
+    joined = source.where(asked.maybe(key)).join(found.hint("merge"), same, "left").select(*kept, "whole", "places")
 
     def judge(batch):
         words = Words(batch.column(text_at))
@@ -225,6 +225,15 @@ def removed(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
             new = pa.array([old[i].as_py() if k is None else _kept_text(words, i, k).decode() for i, k in enumerate(stay)], pa.string())
             yield pa.RecordBatch.from_arrays([new if c == text_at else batch.column(c) for c in kept], names=kept)
 
+    @tidy
+    def untouched(batches):
+        for batch in slices(batches, text_at):
+            batch = batch.filter(pc.invert(asked.test(batch.column("key"))))
+            words = Words(batch.column(text_at))
+            sha = [hashlib.sha256(_kept_text(words, i, None)).hexdigest() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("c0"), pa.array(words.counts.astype(np.int64)), pa.array(np.zeros(batch.num_rows, np.int64)), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+
     if not texts:
-        return joined.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    return joined.mapInArrow(cut, source.schema).toDF(*own)
+        schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+        return joined.mapInArrow(digest, schema).unionByName(source.withColumn("key", key).mapInArrow(untouched, schema))
+    return joined.mapInArrow(cut, source.schema).unionByName(source.where(~asked.maybe(key))).toDF(*own)
