@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import blocks
 from ..functions.scalars import confidence, edge
+from .ranks import cumulative
 
 EPS = 2.220446049250313e-16
 STAKE, WIN = 100.0, 100.0 / 110.0
@@ -31,11 +32,8 @@ def lift(accuracy: Column) -> Column:
 
 def auc(scored: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, auc) by rank sums over counts per distinct score; 0.5 with one class."""
-    per = scored.groupBy(*keys, "prob").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
-    w = Window.partitionBy(*keys).orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
-    neg = F.col("n") - F.col("pos")
-    below = F.coalesce(F.sum(neg).over(w), F.lit(0))
-    part = per.withColumn("part", F.col("pos") * (below + neg / 2.0)).withColumn("neg", neg)
+    per = scored.groupBy(*keys, "prob").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).withColumn("neg", F.col("n") - F.col("pos"))
+    part = cumulative(per, keys, "prob", ["neg"]).withColumn("part", F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2.0))
     s = part.groupBy(*keys).agg(F.sum("part").alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     return s.select(*keys, F.when((F.col("p") == 0) | (F.col("q") == 0), 0.5).otherwise(F.col("u") / (F.col("p").cast("double") * F.col("q"))).alias("auc"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import confidence, direction
+from .ranks import quantiles
 
 
 def live_accuracy(settled: DataFrame) -> DataFrame:
@@ -21,9 +22,12 @@ def log_rollup(predictions: DataFrame, since=None) -> DataFrame:
 
 
 def percentiles(predictions: DataFrame) -> DataFrame:
-    p = F.col("prob_over")
-    return predictions.groupBy("sport").agg(
-        *(F.percentile(confidence(p), F.lit(q)).alias(f"confidence_p{int(q * 100)}") for q in (0.5, 0.75, 0.9)), *(F.percentile(p, F.lit(q)).alias(f"prob_p{int(q * 100)}") for q in (0.25, 0.5, 0.75)))
+    """(sport, confidence_p50, ..., prob_p25, ...): exact percentiles of both measures."""
+    p, wanted = F.col("prob_over"), {"confidence": (0.5, 0.75, 0.9), "prob": (0.25, 0.5, 0.75)}
+    both = F.array(*(F.struct(F.lit(m).alias("measure"), v.alias("value")) for m, v in (("confidence", confidence(p)), ("prob", p))))
+    shares = sorted({q for qs in wanted.values() for q in qs})
+    found = quantiles(predictions.select("sport", F.inline(both)), ["sport", "measure"], "value", shares)
+    return found.groupBy("sport").agg(*(F.max(F.when(F.col("measure") == m, F.col("quantiles")[shares.index(q)])).alias(f"{m}_p{int(q * 100)}") for m, qs in wanted.items() for q in qs))
 
 
 def bucket_quantile(df: DataFrame, keys: list[str], value: str, edges: list[float], q: float) -> DataFrame:
@@ -80,8 +84,10 @@ def profile(games: DataFrame) -> DataFrame:
 
 
 def medians(df: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
-    """Exact medians of all features in one aggregation, to 6 digits."""
-    return df.groupBy(*keys).agg(*(F.round(F.percentile(f, F.lit(0.5)), 6).alias(f) for f in features))
+    """(keys, *features): exact medians of all features in one pass, to 6 digits; null for a feature without values."""
+    pairs = F.array(*(F.struct(F.lit(f).alias("_feature"), F.col(f).cast("double").alias("_value")) for f in features))
+    found = quantiles(df.select(*keys, F.inline(pairs)), [*keys, "_feature"], "_value", [0.5])
+    return found.groupBy(*keys).agg(*(F.round(F.max(F.when(F.col("_feature") == f, F.col("quantiles")[0])), 6).alias(f) for f in features))
 
 
 def top_features(importances: DataFrame, k: int = 20) -> DataFrame:

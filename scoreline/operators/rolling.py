@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,11 @@ from ..functions.keys import SIDES, last_rows, side_window, with_position
 
 WINDOWS = (3, 5, 10, 20)
 ALPHAS = (0.3, 0.5)
-#: Rows after which an exponential weight is below double precision for alpha >= 0.3.
-HORIZON = 128
+
+
+def horizon(alpha: float) -> int:
+    """Rows after which an exponential weight is below double precision."""
+    return 1 + math.ceil(53 * math.log(2) / -math.log(1 - alpha))
 
 
 def rolling_columns(side: str, stats: list[str], windows=WINDOWS, alphas=()) -> list[Column]:
@@ -28,8 +33,9 @@ def rolling_columns(side: str, stats: list[str], windows=WINDOWS, alphas=()) ->
 
 def ema(c: Column, side: str, alpha: float) -> Column:
     """y = alpha x + (1 - alpha) y over the games before, seeded by the first of them; nulls are left out."""
-    before = F.collect_list(c.cast("double")).over(side_window(side).rowsBetween(-HORIZON, -1))
-    folded = F.aggregate(F.slice(before, 2, HORIZON), before[0], lambda y, x: F.lit(alpha) * x + F.lit(1 - alpha) * y)
+    n = horizon(alpha)
+    before = F.collect_list(c.cast("double")).over(side_window(side).rowsBetween(-n, -1))
+    folded = F.aggregate(F.slice(before, 2, n), before[0], lambda y, x: F.lit(alpha) * x + F.lit(1 - alpha) * y)
     return F.when(F.size(before) > 0, folded)
 
 

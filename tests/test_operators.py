@@ -210,3 +210,28 @@ def test_scores_are_calibrated_on_validation(spark):
     half = F.abs(F.col("prob_a") - F.col("prob_b")) / 2
     gap = got.select(F.col("low") - F.greatest(F.lit(0.0), F.col("prob") - half)).collect()
     assert np.abs([g[0] for g in gap]).max() < 1e-4
+
+
+def test_quantiles_in_blocks_equal_those_of_one_sort(spark):
+    import numpy as np
+
+    from scoreline.operators import ranks
+
+    rng = np.random.default_rng(3)
+    by = {"ties": rng.integers(0, 7, 500).astype(float), "skewed": np.exp(rng.normal(size=900) * 4), "one": np.array([4.0]), None: rng.normal(size=50)}
+    rows = [(k, float(v)) for k, vs in by.items() for v in vs] + [("none", None), ("one", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r.quantiles for r in ranks.quantiles(df, ["k"], "v", [0.0, 0.1, 0.5, 0.9, 1.0]).collect()}
+    assert got.pop("none") == [None] * 5
+    assert set(got) == set(by)
+    for k, vs in by.items():
+        assert got[k] == pytest.approx(np.quantile(vs, [0, 0.1, 0.5, 0.9, 1]).tolist(), rel=1e-12)
+    counts = df.where("v is not null").groupBy("k", "v").agg(F.count("*").alias("n"))
+    for r in ranks.cumulative(counts, ["k"], "v", ["n"], blocks=4).collect():
+        assert (r.n_upto, r.n_all) == ((by[r.k] <= r.v).sum(), len(by[r.k]))
+    assert ranks.quantiles(df.limit(0), ["k"], "v", [0.5]).count() == 0
+
+
+def test_drift_without_a_current_row_gives_no_statistic(spark):
+    rows = spark.createDataFrame([("a", 1.0, False), ("a", 2.0, False)], "feature string, value double, current boolean")
+    assert drift.ks(rows).count() == 0 and drift.psi(rows).count() == 0
