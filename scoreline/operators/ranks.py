@@ -20,10 +20,11 @@ def _same(left: DataFrame, right: DataFrame, on: list[str]):
 def cumulative(counts: DataFrame, keys: list[str], value: str, sums: list[str], blocks: int = BLOCKS) -> DataFrame:
     """counts, which has a row for each (keys, value), with `<s>_upto` (itself included) and `<s>_all` of each column of sums.
 
-    Approximate quantiles cut each key's values into blocks; they are written, so that every use sees
-    the same edges, and only balance the work. Blocks are summed along (at most `blocks` rows a key),
+    Approximate quantiles cut each key's values into blocks; they only balance the work. Counts and
+    edges are written: counts are computed once for three uses, and every use sees the same edges. Blocks are summed along (at most `blocks` rows a key),
     values inside them. A null value comes first, NaN last.
     """
+    counts = stored(counts)
     cuts = [k / blocks for k in range(1, blocks)]
     edges = stored(counts.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.percentile_approx(value, cuts, 20 * blocks).alias("_edges")))
     at = F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(value))), F.lit(0))
