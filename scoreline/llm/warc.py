@@ -7,7 +7,8 @@ table of the seekable format (a skippable frame); the index maps each record to
 offset inside the frame's content. `read_records` fetches records back through the seek table and
 the index; a revisit's payload is that of the record it refers to.
 
-Null html is an empty payload. Repeated rows get a record each; where their page id is the smallest
+Null html is an empty payload. Characters of a url that can't be printed are stored as percent-encoded
+UTF-8. Repeated rows get a record each; where their page id is the smallest
 of its group, all of them are responses. A null page id is stored under the empty identifier and is
 never what others refer to. An empty table gives no shards. Extra columns are
 dropped.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +63,7 @@ def record(page_id: int | None, url: str | None, digest: str, refers_to: int | N
         "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha256:{digest}", f"Content-Length: {len(block)}",
     ]
     if url is not None:
-        head.insert(3, "WARC-Target-URI: " + "".join(c if c.isprintable() else f"%{ord(c):02X}" for c in url))
+        head.insert(3, "WARC-Target-URI: " + "".join(c if c.isprintable() else quote(c) for c in url))
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"

@@ -53,3 +53,12 @@ def test_odd_rows(spark):
     assert sorted(got, key=str) == sorted([(1, "response", None, 200), (1, "response", None, 200), (None, "revisit", 1, 200), (2, "revisit", 1, 200), (3, "response", None, 0)], key=str)
     folder, _ = warc.write_archives(warc.decide(spark.createDataFrame([], cols)))
     assert warc.resolve(warc.read_records(spark, folder)).count() == 0
+
+
+def test_odd_characters_of_urls():
+    from urllib.parse import unquote
+
+    url = "http://a.example/\u2028x\u00a0y\r\n\tz/\u00fc"
+    back = warc.parse(warc.record(1, url, "00", None, b"p", "2024-01-01T00:00:00Z"))
+    assert "\n" not in back["url"] and "%E2%80%A8" in back["url"] and unquote(back["url"]) == url
+    assert back["payload"] == b"p" and back["page_id"] == 1
