@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flat_ids, language_id, mips, mixing, ngram_join, packing, substring_dedup, transport_stream, url_reputation, warc
+from . import flat_ids, language_id, mips, mixing, ngram_join, packing, sentence_pieces, substring_dedup, transport_stream, url_reputation, warc
 from .common import table
 from .oracles import ORACLE_SQL
 
 VOCABULARY = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 RULES = [
     url_reputation.Rule("com", "/en/", "block"),
     url_reputation.Rule("example.com", "/en/7", "allow"),
@@ -76,8 +77,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.withColumn("target", F.round("target", 6) + F.lit(0.0))
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_transport_stream, op2_mips, op3_ngram_join, op4_packing, op5_warc, op6_substring_dedup, op7_url_reputation, op8_flat_ids, op9_language_id, op10_mixing)
+    f.__name__: f for f in (op1_transport_stream, op2_mips, op3_ngram_join, op4_packing, op5_warc, op6_substring_dedup, op7_url_reputation, op8_flat_ids, op9_language_id, op10_mixing, op11_sentence_pieces)
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
