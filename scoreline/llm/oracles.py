@@ -57,4 +57,27 @@ k AS (SELECT d.*, -ln((CAST(('0x' || substr(md5('mix' || CAST(d.doc_id AS VARCHA
 p AS (SELECT k.*, source_size, target, epochs, rest, coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source, source_size, round(target, 6) + 0.0 AS target, epochs, CAST(greatest(0, least(size, rest - before)) AS BIGINT) AS part, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM p"""
 
-ORACLE_SQL = {"op3_ngram_join": OP3, "op5_warc": OP5, "op6_substring_dedup": OP6, "op7_url_reputation": OP7, "op10_mixing": OP10}
+OP12 = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{WORD}') AS ws, coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) AS e FROM d),
+o AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END)
+|| (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN e THEN 'E' ELSE '' END) AS fails FROM w LEFT JOIN o USING (doc_id)),
+m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails), l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+p AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM p), g AS (SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS filter, substr(filter_order, 1, step - 1) AS before FROM s),
+h AS (SELECT *, contains(fails, filter) AS own, EXISTS (SELECT 1 FROM l WHERE contains(before, x) AND contains(fails, x)) AS gone FROM g, m),
+r AS (SELECT part, filter_order, step, filter, sum(CASE WHEN NOT gone AND NOT own THEN n ELSE 0 END) AS kept, sum(CASE WHEN own AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN own AND gone THEN n ELSE 0 END) AS redundant,
+sum(CASE WHEN fails = filter THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN own AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN own AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost FROM h GROUP BY ALL)
+SELECT part, filter_order, step, filter, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r"""
+
+_TERMS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), [])"
+OP13 = f"""WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents), c AS (SELECT count(*) AS cn, CAST(sum(len(ts)) AS BIGINT) AS cl FROM d WHERE len(ts) > 0),
+q AS (SELECT item_id, term, count(*) AS rep FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+p AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, CAST(len(ts) AS BIGINT) AS n, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(cn) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, c GROUP BY term),
+s AS (SELECT item_id, doc_id, CAST(sum(rep * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * cn) // cl)))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN w USING (term), c GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""
+
+ORACLE_SQL = {"op3_ngram_join": OP3, "op5_warc": OP5, "op6_substring_dedup": OP6, "op7_url_reputation": OP7, "op10_mixing": OP10, "op12_filter_audit": OP12, "op13_lexical_search": OP13}

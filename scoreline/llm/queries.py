@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flat_ids, language_id, mips, mixing, ngram_join, packing, sentence_pieces, substring_dedup, transport_stream, url_reputation, warc
+from . import filter_audit, flat_ids, language_id, lexical, mips, mixing, ngram_join, packing, sentence_pieces, substring_dedup, transport_stream, url_reputation, warc
 from .common import table
 from .oracles import ORACLE_SQL
 
@@ -81,8 +81,17 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_transport_stream, op2_mips, op3_ngram_join, op4_packing, op5_warc, op6_substring_dedup, op7_url_reputation, op8_flat_ids, op9_language_id, op10_mixing, op11_sentence_pieces)
-}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_ALL = (
+    op1_transport_stream, op2_mips, op3_ngram_join, op4_packing, op5_warc, op6_substring_dedup, op7_url_reputation, op8_flat_ids, op9_language_id, op10_mixing, op11_sentence_pieces,
+    op12_filter_audit, op13_lexical_search)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
