@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import hashlib
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -108,6 +109,12 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             yield batch.slice(begin)
 
 
+def text_digest(text, key: bytes):
+    """(a 64-bit key of the text, 128 bits of a digest of it) as columns; both can't be foreseen without the key."""
+    sha = F.sha2(F.concat(F.lit(key.hex()), text), 256)
+    return F.xxhash64(sha), F.unhex(F.substring(sha, 1, 32))
+
+
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
@@ -132,31 +139,53 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _STEP, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _BELOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LOW, _HIGH, _HALF = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000), np.uint64(32)
 #: Bytes from which a word's hash is a keyed digest of its own.
 LONG_WORD = 256
 
 
-def word_hashes(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+def secret() -> bytes:
+    """A key for the hashes of one run, drawn on the driver and sent with the tasks."""
+    return os.urandom(16)
+
+
+@functools.lru_cache(4)
+def _multipliers(key: bytes, salt: int) -> np.ndarray:
+    """Two rows of unsigned 64-bit multipliers: of a word's length and of each of its 32-bit parts."""
+    count = 2 * (LONG_WORD // 4 + 1)
+    raw = b"".join(hashlib.blake2b(i.to_bytes(8, "little"), key=key, salt=salt.to_bytes(8, "little")).digest() for i in range(-(-count // 8)))
+    return np.frombuffer(raw, "<u8", count).reshape(2, -1)
+
+
+def word_hashes(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, key: bytes, salt: int = 0) -> np.ndarray:
     """A 64-bit hash of buf[begin:end] for every pair; buf has 8 bytes to spare at its end.
 
-    Words are taken in chunks of 8 bytes, each followed by the splitmix64 finaliser, so words of up to
-    8 bytes and equal length never share a hash and no algebra links longer ones; a word of over
-    LONG_WORD bytes gets a keyed BLAKE2b digest.
+    Each half is a multilinear hash: the upper 32 bits of the sum, modulo 2**64, of the length and the
+    32-bit parts of the word, each by a secret multiplier of its own. Whatever two words are, they share a
+    half with a chance of 2**-32 over the keys, so who doesn't know the key can't build words that collide. A
+    word of over LONG_WORD bytes gets a keyed BLAKE2b digest. Other salts give independent hashes.
     """
+    by = _multipliers(key, salt)
     size = end - begin
-    out = mix(size.astype(np.uint64) * _TURN)
+    one, two = size.astype(np.uint64) * by[0, 0], size.astype(np.uint64) * by[1, 0]
     if not len(size):
-        return out
+        return one
     loads = np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
-    out = mix((out ^ (loads[begin] & _BELOW[np.minimum(size, 8)])) + _STEP)
+    x = loads[begin] & _BELOW[np.minimum(size, 8)]
+    low, high = x & _LOW, x >> _HALF
+    one += low * by[0, 1] + high * by[0, 2]
+    two += low * by[1, 1] + high * by[1, 2]
     at, k = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 1
     while len(at):
-        left = np.minimum(size[at] - 8 * k, 8)
-        out[at] = mix((out[at] ^ (loads[begin[at] + 8 * k] & _BELOW[left])) + np.uint64((int(_STEP) * (k + 1)) & ((1 << 64) - 1)))
+        x = loads[begin[at] + 8 * k] & _BELOW[np.minimum(size[at] - 8 * k, 8)]
+        low, high = x & _LOW, x >> _HALF
+        one[at] += low * by[0, 2 * k + 1] + high * by[0, 2 * k + 2]
+        two[at] += low * by[1, 2 * k + 1] + high * by[1, 2 * k + 2]
         k += 1
         at = at[size[at] > 8 * k]
+    out = mix((one & _HIGH) | (two >> _HALF))
     for i in np.flatnonzero(size > LONG_WORD).tolist():
-        out[i] = int.from_bytes(hashlib.blake2b(buf[begin[i] : end[i]].tobytes(), digest_size=8, key=b"long word").digest(), "little")
+        out[i] = int.from_bytes(hashlib.blake2b(buf[begin[i] : end[i]].tobytes(), digest_size=8, key=key, salt=salt.to_bytes(8, "little")).digest(), "little")
     return out
 
 
@@ -165,12 +194,12 @@ def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words `[^\\x20\\x09-\\x0D]+` of many texts, with a 64-bit hash each.
+    """The words `[^\\x20\\x09-\\x0D]+` of many texts, with a 64-bit hash each where a key is given.
 
     first[i]:first[i + 1] are the words of text i; begin and end are byte positions in buf.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, key: bytes | None = None):
         raw, starts, ends = raw_texts(column)
         sizes = ends - starts
         # one separator after each text keeps words of neighbours apart
@@ -193,19 +222,20 @@ class Words:
         self.begin, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         self.first = np.searchsorted(self.begin, at)
         self.counts = np.diff(self.first)
-        self.hash = word_hashes(whole, self.begin, self.end)
+        self._whole, self._key = whole, key
+        self.hash = None if key is None else word_hashes(whole, self.begin, self.end, key)
 
     def windows(self, size: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the window of `size` words that starts at each word, and whether it lies in one text.
 
         Halves are hashed together, pair by pair, each time through the finaliser. Another salt
-        gives another hash of the same words.
+        gives an independent hash, which starts from other hashes of the words.
         """
-        n = len(self.hash)
+        n = len(self.begin)
         good, out = np.zeros(n, bool), np.zeros(n, np.uint64)
         if n >= size:
             # part: hashes of `width` words; done: of the first `taken` words of the window
-            part = mix(self.hash ^ np.uint64(salt)) if salt else self.hash
+            part = word_hashes(self._whole, self.begin, self.end, self._key, salt) if salt else self.hash
             done, taken, width = None, 0, 1
             while True:
                 if size & width:

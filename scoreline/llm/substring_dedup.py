@@ -17,7 +17,8 @@ most HOT_SHARE of them, are joined by broadcast, all others by shuffle: no task
 
 Equal texts take part once, as the one with the smallest id; the others are whole repeats if they
 have `window` words. Everything is judged on the input. Windows are compared by two independent
-hashes of 64 bits, whole texts by one.
+hashes of 64 bits, each from word hashes of its own under a key drawn for each run, whole texts by 192
+bits of a digest under that key.
 
 Null and empty texts have no words. Rows with a null id are kept whole and remove nothing; a
 repeated id isn't smaller than itself. Repeated rows keep a row each. An empty table gives no rows.
@@ -35,11 +36,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batch_of, dropped, mix, signed, slices, tidy, written
+from .common import Words, batch_of, dropped, mix, secret, signed, slices, text_digest, tidy, written
 from .sketches import Among, bit_filter, bits_for
 
 #: Salt of the second hash of a window.
-SECOND = 0x2545F4914F6CDD1D
+SECOND = 1
 #: A hash is hot where it stands in more than 1 of so many rows.
 HOT_SHARE = 4096
 
@@ -69,12 +70,12 @@ def block_count(rows: DataFrame, block: int) -> int:
     return (rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // (4 * block)  # one row
 
 
-def probes_sent(rows: DataFrame, block: int) -> DataFrame:
+def probes_sent(rows: DataFrame, block: int, key: bytes) -> DataFrame:
     """(text_key, block_hash, aligned): the rolling blocks that the filter over the index lets through. Written."""
 
     def indexed(batch):
         for b in slices([batch], "text"):
-            rolling, _, aligned = _blocks(Words(b.column("text")), block)
+            rolling, _, aligned = _blocks(Words(b.column("text"), key=key), block)
             yield rolling[aligned]
 
     bits = bit_filter(rows.select("text"), indexed, bits_for(block_count(rows, block)))
@@ -84,7 +85,7 @@ def probes_sent(rows: DataFrame, block: int) -> DataFrame:
     @tidy
     def probe(batches):
         for batch in slices(batches, "text"):
-            words = Words(batch.column("text"))
+            words = Words(batch.column("text"), key=key)
             rolling, inside, aligned = _blocks(words, block)
             at = np.flatnonzero(inside)
             at = at[index.value.may_hold(rolling[at])]
@@ -96,9 +97,9 @@ def probes_sent(rows: DataFrame, block: int) -> DataFrame:
     return probes
 
 
-def _anchors(rows: DataFrame, block: int) -> DataFrame:
+def _anchors(rows: DataFrame, block: int, key: bytes) -> DataFrame:
     """(text_key, hits): the blocks of each text that also stand in another text, one of them at an index place. Written."""
-    probes = probes_sent(rows, block)
+    probes = probes_sent(rows, block, key)
     shared = probes.groupBy("block_hash").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.max("aligned").alias("aligned"), F.count("*").alias("n")).where("low <> high and aligned")
     shared = written(shared.select("block_hash", "n"))
     found = _hot_join(probes.select("text_key", "block_hash"), shared, ["block_hash"], probes.count()).distinct()
@@ -107,18 +108,18 @@ def _anchors(rows: DataFrame, block: int) -> DataFrame:
     return hits
 
 
-def _candidates(rows: DataFrame, hits: DataFrame, window: int, block: int) -> DataFrame:
+def _candidates(rows: DataFrame, hits: DataFrame, window: int, block: int, key: bytes) -> DataFrame:
     """(doc_id, text_key, place, window_hash, second): all windows around anchors, of the first document of each text. Written."""
     # only texts with anchors move; those let through wrongly find no hits
     wanted = Among(hits, "text_key")
-    texts = rows.where(wanted.maybe("text_key")).select("text_key", "text").groupBy("text_key").agg(F.first("text").alias("text"))
-    first = rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))
+    texts = rows.where(wanted.maybe("text_key")).select("text_key", "digest", "text").groupBy("text_key", "digest").agg(F.first("text").alias("text"))
+    first = rows.groupBy("text_key", "digest").agg(F.min("doc_id").alias("doc_id"))
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("place", pa.int32()), ("window_hash", pa.int64()), ("second", pa.int64())])
 
     @tidy
     def extend(batches):
         for batch in slices(batches, "text"):
-            words = Words(batch.column("text"))
+            words = Words(batch.column("text"), key=key)
             rolling, inside, _ = _blocks(words, block)
             full, whole = words.windows(window)
             again, _ = words.windows(window, SECOND)
@@ -136,31 +137,32 @@ def _candidates(rows: DataFrame, hits: DataFrame, window: int, block: int) -> Da
             owner = np.repeat(np.arange(batch.num_rows), words.counts)[at]
             yield batch_of(schema, doc_id=_numbers(batch, "doc_id")[owner], text_key=_numbers(batch, "text_key")[owner], place=(at - words.first[owner]).astype(np.int32), window_hash=signed(full[at]), second=signed(again[at]))
 
-    joined = texts.join(hits, "text_key").join(first, "text_key").select("doc_id", "text_key", "hits", "text")
+    joined = texts.join(hits, "text_key").join(first, ["text_key", "digest"]).select("doc_id", "text_key", "hits", "text")
     out = written(joined.mapInArrow(extend, "doc_id long, text_key long, place int, window_hash long, second long"))
     wanted.destroy()
     dropped(hits)
     return out
 
 
-def repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", key: bytes | None = None) -> DataFrame:
     """(doc_id, text_key, whole, places): what to remove, for the rows that lose words.
 
-    text_key is the text's hash; whole marks copies of a text with a smaller id, places are the
+    text_key is the text's hash under the key (common.text_digest); whole marks copies of a text with a smaller id, places are the
     starts of the other repeated windows. One row for each (doc_id, text_key).
     """
-    block = window // 2
+    block, key = window // 2, key or secret()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).where("doc_id is not null")
-    windows = _candidates(rows, _anchors(rows, block), window, block)
+    text_key, digest = text_digest(text, key)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key.alias("text_key"), digest.alias("digest"), text.alias("text")).where("doc_id is not null")
+    windows = _candidates(rows, _anchors(rows, block, key), window, block, key)
     same = ["window_hash", "second"]
     lowest = windows.groupBy(*same).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").drop("high")
     lowest = written(lowest)
     later = _hot_join(windows, lowest, same, windows.count()).where("doc_id > low")
     places = later.groupBy("doc_id", "text_key").agg(F.collect_list("place").alias("places")).withColumn("whole", F.lit(False))
-    keys = rows.select("doc_id", "text_key").distinct()
-    first = rows.groupBy("text_key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    copies = keys.join(first, "text_key").where("doc_id > low").select("doc_id", "text_key", F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("whole"))
+    keys = rows.select("doc_id", "text_key", "digest").distinct()
+    first = rows.groupBy("text_key", "digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
+    copies = keys.join(first, ["text_key", "digest"]).where("doc_id > low").select("doc_id", "text_key", F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("whole"))
     out = written(places.select("doc_id", "text_key", "places", "whole").unionByName(copies).select("doc_id", "text_key", "whole", "places"))
     dropped(windows, lowest)
     return out
@@ -192,12 +194,13 @@ def removed(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
     With texts, a row that loses no word keeps its text as it is; one that loses some has the words
     left, joined by one space.
     """
-    found = repeats(docs, window, id_col, text_col)
+    drawn = secret()
+    found = repeats(docs, window, id_col, text_col, drawn)
     own = docs.columns
     source = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own))) if texts else docs.select(F.col(id_col).cast("long").alias("c0"), F.col(text_col).cast("string").alias("c1"))
     id_at, text_at = (f"c{own.index(id_col)}", f"c{own.index(text_col)}") if texts else ("c0", "c1")
     kept = source.columns
-    key = F.xxhash64(F.coalesce(F.col(text_at).cast("string"), F.lit("")))
+    key, _ = text_digest(F.coalesce(F.col(text_at).cast("string"), F.lit("")), drawn)
     # only rows that may lose words move to be joined
     asked = Among(found, "text_key")
     same = (F.col(id_at).cast("long") == found.doc_id) & (key == found.text_key)

@@ -81,7 +81,7 @@ def test_filter_lets_the_same_share_through_at_every_size(spark, monkeypatch):
     shares = []
     for n in (10, 10_000):  # a thousand times the words
         df = spark.range(n).selectExpr("id AS text_key", "array_join(transform(sequence(1, 300), i -> concat('w', id * 1000 + i)), ' ') AS text")
-        shares.append(substring_dedup.probes_sent(df, 25).count() / (300 * n))
+        shares.append(substring_dedup.probes_sent(df, 25, b"k" * 16).count() / (300 * n))
     # each text's own 12 blocks pass the filter of their index
     assert all(0.04 <= s <= 0.08 for s in shares)
 
@@ -97,3 +97,26 @@ def test_long_texts_and_long_words(spark):
     assert len(docs[0][1]) > 1 << 20
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.removed(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == brute(docs)
+
+
+#: Words that shared a hash when words were hashed without a key.
+TWINS = ("hfgjt1yxdapaaaaa", "0k0bu3r18u29eye1")
+
+
+def test_words_built_to_collide_stay_apart(spark):
+    docs = [(1, " ".join([TWINS[0]] * 60)), (2, " ".join([TWINS[1]] * 60)), (3, " ".join([TWINS[0]] * 55))]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.removed(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs) and got[2][1] == 0 and got[3][1] == 55
+
+
+def test_texts_that_share_a_key_are_judged_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    digest = substring_dedup.text_digest
+    monkeypatch.setattr(substring_dedup, "text_digest", lambda text, key: (F.pmod(digest(text, key)[0], F.lit(3)), digest(text, key)[1]))
+    rng = random.Random(5)
+    shared = prose(rng, 60, 10**6)
+    # equal keys only within texts that share nothing else, so anchors are seen
+    docs = [(i, " ".join(prose(rng, 80, 10**6))) for i in range(12)] + [(20, " ".join(["x"] * 70)), (21, " ".join(["x"] * 70))] + [(30 + i, " ".join([*shared, f"e{i}"])) for i in range(9)]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.repeats(spark.createDataFrame(docs, "doc_id long, text string")).groupBy("doc_id").count().withColumnRenamed("count", "n_removed").collect()}
+    assert not set(got) & set(range(12)) and 21 in got and 20 not in got
