@@ -27,6 +27,8 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import dropped, written
+
 SEPARATORS = r"[\x20\x09-\x0D]+"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What a document counts as.
@@ -62,7 +64,7 @@ def intervals(k: int) -> list[tuple[int, int, int, int, int]]:
 
 
 def _failures(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str, part_col: str) -> DataFrame:
-    """(part, mask, n, good, toxic) over all rows."""
+    """(part, mask, n, good, toxic) over all rows. Written, as all texts are read for it."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), text.alias("text"))
     mask = sum((F.when(c, 1 << i).otherwise(0) for i, c in enumerate(conditions(F.col("text")))), F.lit(0))
@@ -81,14 +83,17 @@ def _failures(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col:
     copies = each.groupBy("copy", "mask", "part").agg(
         F.min("doc_id").alias("low"), *(F.sum(F.when(known, F.col(c))).alias(c) for c in COUNTS), *(F.coalesce(F.sum(F.when(~known, F.col(c))), F.lit(0)).alias(f"{c}_free") for c in COUNTS),
         *(F.min_by(F.when(known, F.col(c)), "doc_id").alias(f"{c}_low") for c in COUNTS))
-    # one row for each text and part is left
+    # one row for each text and part is left; written, as it has two uses
+    copies = written(copies)
     lowest = copies.groupBy("copy").agg(F.min("low").alias("lowest"))
     met = copies.join(lowest, "copy")
     first = F.col("low") == F.col("lowest")
     kept = [(F.col(f"{c}_free") + F.coalesce(F.when(first, F.col(f"{c}_low")), F.lit(0))).alias(c) for c in COUNTS]
     again = [(F.coalesce(c, F.lit(0)) - F.coalesce(F.when(first, F.col(f"{c}_low")), F.lit(0))).alias(c) for c in COUNTS]
     both = F.inline(F.array(F.struct(F.col("mask"), *kept), F.struct((F.col("mask") + 16).alias("mask"), *again)))
-    return met.select("part", both).where("n > 0").groupBy("part", "mask").agg(*counts)
+    out = written(met.select("part", both).where("n > 0").groupBy("part", "mask").agg(*counts))
+    dropped(copies)
+    return out
 
 
 def step_counts(spark: SparkSession, masks: DataFrame, letters: Sequence[str]) -> DataFrame:
