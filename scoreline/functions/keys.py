@@ -5,9 +5,13 @@ Rows are ordered by (game_date, game_id) everywhere, so results never depend on
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 SIDES = ("home", "away")
 OTHER = {"home": "away", "away": "home"}
 
@@ -55,23 +59,36 @@ def beside(games: DataFrame, team_rows: DataFrame, values: list[str], default=No
     return out if default is None else out.fillna(default, [f"{s}_{v}" for v in values for s in SIDES])
 
 
-def blocks(date: str = "game_date", id_: str = "game_id", ids: int = 1_000_000) -> list[Column]:
-    """Block keys in row order: the day, and within it runs of ids. No block holds more than `ids` ids of a day."""
-    return [F.to_date(date).alias("block_day"), F.floor(F.col(id_) / ids).alias("block_run")]
+def same(left: DataFrame, right: DataFrame, on: list[str]) -> Column:
+    """left's columns equal right's of the same names behind `_`, nulls included."""
+    return reduce(lambda a, b: a & b, (left[c].eqNullSafe(right[f"_{c}"]) for c in on))
+
+
+def in_blocks(df: DataFrame, keys: list[str], date: str = "game_date", id_: str = "game_id") -> DataFrame:
+    """df with `_block`, numbers that follow the order of (keys, date, id), nulls first. Written.
+
+    Spark's range partitioner cuts the order by a sample, so blocks are even whatever the ids' type
+    and however many rows a day or a key has; equal (keys, date, id) share a block. Written, so that
+    every use sees the same cuts.
+    """
+    order = [F.col(c).asc_nulls_first() for c in (*keys, date, id_)]
+    return stored(df.repartitionByRange(*order).withColumn("_block", F.spark_partition_id()))
 
 
 def with_position(df: DataFrame, keys: list[str], date: str = "game_date", id_: str = "game_id") -> DataFrame:
     """df with `position` (from 0) and `rows` in its key's whole order, without ordering a key in one task.
 
-    Blocks are counted, their counts summed along (a row per block), and rows numbered inside blocks.
+    Blocks are counted, their counts summed along (a row per block), and rows numbered inside blocks. Null dates
+    come first, then null ids; null keys make a key of their own. Ids may be numbers or text.
     """
-    marked = df.select("*", *blocks(date, id_))
-    own = [*keys, "block_day", "block_run"]
-    counts = marked.groupBy(*own).agg(F.count("*").alias("block_rows"))
-    along = Window.partitionBy(*keys).orderBy("block_day", "block_run")
-    counts = counts.select(*own, F.coalesce(F.sum("block_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("block_rows").over(Window.partitionBy(*keys)).alias("rows"))
+    marked = in_blocks(df, keys, date, id_)
+    own = [*keys, "_block"]
+    counts = marked.groupBy(*own).agg(F.count("*").alias("n"))
+    along = Window.partitionBy(*keys).orderBy("_block")
+    before = F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*(F.col(c).alias(f"_{c}") for c in own), before.alias("before"), F.sum("n").over(Window.partitionBy(*keys)).alias("rows"))
     inside = Window.partitionBy(*own).orderBy(date, id_)
-    return marked.join(counts, own).withColumn("position", F.col("before") + F.row_number().over(inside) - 1).drop("block_day", "block_run", "before")
+    return marked.join(counts, same(marked, counts, own)).select(*df.columns, (F.col("before") + F.row_number().over(inside) - 1).alias("position"), "rows")
 
 
 def last_rows(df: DataFrame, keys: list[str], values: dict[str, Column], n: int, date: str = "game_date", id_: str = "game_id", bucket: int = 50_000) -> DataFrame:

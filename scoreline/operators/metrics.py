@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import blocks
+from ..functions.keys import in_blocks, same
 from ..functions.scalars import confidence, edge
 from .ranks import cumulative
 
@@ -60,19 +60,20 @@ def returns(b: DataFrame, keys: list[str], least: float = 0.0) -> DataFrame:
 def equity(b: DataFrame, keys: list[str], pnl: str = "flat_pnl", date: str = "game_date", id_: str = "game_id") -> DataFrame:
     """b with cumulative profit, its running peak and the drawdown, without ordering a key in one task.
 
-    Each block (a day's run of ids) keeps its sum and its highest prefix; sums and peaks are carried
-    along the blocks, then added to the running values inside.
+    Each block keeps its sum and its highest prefix; sums and peaks are carried along the blocks, then
+    added to the running values inside. Rows of a null date, id or key keep their place (keys.with_position).
     """
-    own = [*keys, "block_day", "block_run"]
+    marked = in_blocks(b, keys, date, id_)
+    own = [*keys, "_block"]
     inside = Window.partitionBy(*own).orderBy(date, id_).rowsBetween(Window.unboundedPreceding, 0)
-    local = b.select("*", *blocks(date, id_)).withColumn("local", F.sum(pnl).over(inside)).withColumn("local_peak", F.max("local").over(inside))
+    local = marked.withColumn("local", F.sum(pnl).over(inside)).withColumn("local_peak", F.max("local").over(inside))
     totals = local.groupBy(*own).agg(F.sum(pnl).alias("sum"), F.max("local").alias("top"))
-    along = Window.partitionBy(*keys).orderBy("block_day", "block_run").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("carry", F.coalesce(F.sum("sum").over(along), F.lit(0.0))).withColumn("peak_before", F.max(F.col("carry") + F.col("top")).over(along))
-    out = local.join(totals.drop("sum", "top"), own)
+    totals = totals.select(*(F.col(c).alias(f"_{c}") for c in own), "carry", "peak_before")
     peak = F.greatest(F.col("peak_before"), F.col("carry") + F.col("local_peak"))
-    out = out.withColumn("cumulative", F.col("carry") + F.col("local")).withColumn("peak", peak)
-    return out.withColumn("drawdown", (F.col("peak") - F.col("cumulative")) / (F.abs("peak") + 1e-9)).drop("block_day", "block_run", "local", "local_peak", "carry", "peak_before")
+    out = local.join(totals, same(local, totals, own)).withColumn("cumulative", F.col("carry") + F.col("local")).withColumn("peak", peak)
+    return out.select(*b.columns, "cumulative", "peak", ((F.col("peak") - F.col("cumulative")) / (F.abs("peak") + 1e-9)).alias("drawdown"))
 
 
 def max_drawdown(b: DataFrame, keys: list[str]) -> DataFrame:

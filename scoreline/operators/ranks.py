@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import same
 from ..sources.store import stored
 
 #: Blocks that a key's distinct values are cut into.
 BLOCKS = 128
 
 
-def _same(left: DataFrame, right: DataFrame, on: list[str]):
-    return reduce(lambda a, b: a & b, (left[c].eqNullSafe(right[f"_{c}"]) for c in on))
-
-
 def cumulative(counts: DataFrame, keys: list[str], value: str, sums: list[str], blocks: int = BLOCKS) -> DataFrame:
     """counts, which has a row for each (keys, value), with `<s>_upto` (itself included) and `<s>_all` of each column of sums.
 
@@ -28,7 +23,7 @@ def cumulative(counts: DataFrame, keys: list[str], value: str, sums: list[str],
     cuts = [k / blocks for k in range(1, blocks)]
     edges = stored(counts.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.percentile_approx(value, cuts, 20 * blocks).alias("_edges")))
     at = F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(value))), F.lit(0))
-    marked = counts.join(edges, _same(counts, edges, keys)).select(*counts.columns, at.alias("_block"))
+    marked = counts.join(edges, same(counts, edges, keys)).select(*counts.columns, at.alias("_block"))
     own = [*keys, "_block"]
     totals = marked.groupBy(*own).agg(*(F.sum(s).alias(s) for s in sums))
     along, every = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
@@ -36,7 +31,7 @@ def cumulative(counts: DataFrame, keys: list[str], value: str, sums: list[str],
     totals = totals.select(*(F.col(c).alias(f"_{c}") for c in own), *carried)
     inside = Window.partitionBy(*own).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     local = marked.select("*", *(F.sum(s).over(inside).alias(f"_local_{s}") for s in sums))
-    out = local.join(totals, _same(local, totals, own))
+    out = local.join(totals, same(local, totals, own))
     return out.select(*counts.columns, *((F.col(f"_before_{s}") + F.col(f"_local_{s}")).alias(f"{s}_upto") for s in sums), *(f"{s}_all" for s in sums))
 
 

@@ -7,19 +7,68 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import SIDES, last_rows, side_window, with_position
+from ..functions.keys import SIDES, last_rows, same, side_window, with_position
 
 WINDOWS = (3, 5, 10, 20)
 ALPHAS = (0.3, 0.5)
 
 
+#: Rows of a block of the exponential means, at most.
+EMA_ROWS = 512
+
+
 def horizon(alpha: float) -> int:
-    """Rows after which an exponential weight is below double precision."""
+    """Values after which an exponential weight is below double precision."""
     return 1 + math.ceil(53 * math.log(2) / -math.log(1 - alpha))
 
 
-def rolling_columns(side: str, stats: list[str], windows=WINDOWS, alphas=()) -> list[Column]:
-    """Mean, deviation (0 for one row), maximum and minimum of each stat, and exponential means."""
+def exponential(games: DataFrame, side: str, stats: list[str], alphas=ALPHAS, size: int = EMA_ROWS) -> DataFrame:
+    """games with <side>_<stat>_ema<10 alpha>: y = alpha x + (1 - alpha) y over the games before, seeded by the first value.
+
+    Nulls are left out, and don't age what came before. The recurrence is linear, so a team's games
+    are cut into blocks of `size`: inside one, running sums of alpha x / (1 - alpha)^n (n values so far)
+    give each row's mean but for what the blocks before carry in. Each block leaves a weight (1 - alpha)^n
+    and a value; they are folded over the last blocks that hold values, as many as still weigh anything.
+    So a row costs a few additions and a block one short array.
+    """
+    if not stats or not alphas:
+        return games
+    size = min(size, *(int(500 * math.log(2) / -math.log(1 - a)) for a in alphas))  # powers stay far from overflow
+    team, q = f"{side}_team", {a: 1 - a for a in alphas}
+    rows = games.withColumn("_block", F.floor((F.row_number().over(side_window(side)) - 1) / size))
+    own = ["sport", team, "_block"]
+    before = Window.partitionBy(*own).orderBy("game_date", "game_id").rowsBetween(Window.unboundedPreceding, -1)
+    x = {s: F.col(f"{side}_{s}").cast("double") for s in stats}
+    rows = rows.select("*", *(F.count(x[s]).over(before).alias(f"_n_{s}") for s in stats))
+    term = lambda s, a: F.coalesce(a * x[s] * F.pow(F.lit(q[a]), -(F.col(f"_n_{s}") + 1)), F.lit(0.0))
+    name = lambda s, a: f"{s}_{int(a * 10)}"
+    rows = rows.select("*", *(term(s, a).alias(f"_t_{name(s, a)}") for s in stats for a in alphas))
+    rows = rows.select("*", *(F.coalesce(F.sum(f"_t_{name(s, a)}").over(before), F.lit(0.0)).alias(f"_z_{name(s, a)}") for s in stats for a in alphas))
+
+    # a row for each block and stat: values n, what they leave by alpha, the first value
+    order = lambda s: F.when(x[s].isNotNull(), F.struct("game_date", "game_id"))
+    ends = rows.groupBy(*own).agg(*(c for s in stats for c in (
+        F.count(x[s]).alias(f"n_{s}"), F.min_by(x[s], order(s)).alias(f"f_{s}"), *(F.sum(f"_t_{name(s, a)}").alias(f"l_{name(s, a)}") for a in alphas))))
+    left = lambda s, a: (F.col(f"l_{name(s, a)}") * F.pow(F.lit(q[a]), F.col(f"n_{s}"))).alias(f"l_{int(a * 10)}")
+    long = ends.select(*own, F.inline(F.array(*(F.struct(F.lit(i).alias("stat"), F.col(f"n_{s}").alias("n"), F.col(f"f_{s}").alias("f"), *(left(s, a) for a in alphas)) for i, s in enumerate(stats)))))
+    each = Window.partitionBy("sport", team, "stat")
+    # held: blocks before that hold values; those numbered held - h to held - 1 are the last h of them
+    long = long.withColumn("held", F.count(F.when(F.col("n") > 0, 1)).over(each.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)))
+    long = long.withColumn("first", F.first("f", ignorenulls=True).over(each.orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+
+    def carried(a: float) -> Column:
+        last = F.collect_list(F.when(F.col("n") > 0, F.struct("n", F.col(f"l_{int(a * 10)}").alias("l")))).over(each.orderBy("held").rangeBetween(-horizon(a), -1))
+        return F.aggregate(last, F.col("first"), lambda y, b: b["l"] + F.pow(F.lit(q[a]), b["n"]) * y).alias(f"c_{int(a * 10)}")
+
+    long = long.select(*own, "stat", "held", *(carried(a) for a in alphas))
+    at = lambda i, c: F.max(F.when(F.col("stat") == i, F.col(c)))
+    wide = long.groupBy(*(F.col(c).alias(f"_{c}") for c in own)).agg(*(c for i, s in enumerate(stats) for c in (at(i, "held").alias(f"_h_{s}"), *(at(i, f"c_{int(a * 10)}").alias(f"_c_{name(s, a)}") for a in alphas))))
+    mean = lambda s, a: F.when((F.col(f"_n_{s}") > 0) | (F.col(f"_h_{s}") > 0), F.pow(F.lit(q[a]), F.col(f"_n_{s}")) * (F.col(f"_z_{name(s, a)}") + F.col(f"_c_{name(s, a)}")))
+    return rows.join(wide, same(rows, wide, own)).select(*games.columns, *(mean(s, a).alias(f"{side}_{s}_ema{int(a * 10)}") for s in stats for a in alphas))
+
+
+def rolling_columns(side: str, stats: list[str], windows=WINDOWS) -> list[Column]:
+    """Mean, deviation (0 for one row), maximum and minimum of each stat."""
     w, out = side_window(side), []
     for stat in stats:
         c = F.col(f"{side}_{stat}")
@@ -27,23 +76,14 @@ def rolling_columns(side: str, stats: list[str], windows=WINDOWS, alphas=()) ->
             f = w.rowsBetween(-n, -1)
             name = f"{side}_{stat}_roll{n}"
             out += [F.avg(c).over(f).alias(f"{name}_mean"), F.coalesce(F.stddev_samp(c).over(f), F.lit(0.0)).alias(f"{name}_std"), F.max(c).over(f).alias(f"{name}_max"), F.min(c).over(f).alias(f"{name}_min")]
-        out += [ema(c, side, a).alias(f"{side}_{stat}_ema{int(a * 10)}") for a in alphas]
     return out
 
 
-def ema(c: Column, side: str, alpha: float) -> Column:
-    """y = alpha x + (1 - alpha) y over the games before, seeded by the first of them; nulls are left out."""
-    n = horizon(alpha)
-    before = F.collect_list(c.cast("double")).over(side_window(side).rowsBetween(-n, -1))
-    folded = F.aggregate(F.slice(before, 2, n), before[0], lambda y, x: F.lit(alpha) * x + F.lit(1 - alpha) * y)
-    return F.when(F.size(before) > 0, folded)
-
-
 def rolling(games: DataFrame, stats: list[str], windows=WINDOWS, alphas=ALPHAS) -> DataFrame:
-    """games with rolling columns of both sides; each side is one exchange and one sort."""
+    """games with rolling columns of both sides, exponential means included; the former are one exchange and one sort a side."""
     for side in SIDES:
         have = [s for s in stats if f"{side}_{s}" in games.columns]
-        games = games.select("*", *rolling_columns(side, have, windows, alphas))
+        games = exponential(games.select("*", *rolling_columns(side, have, windows)), side, have, alphas)
     return games
 
 

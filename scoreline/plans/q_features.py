@@ -54,7 +54,9 @@ def _ema_sql(a: str, c: str, side: str) -> str:
 FROM games WINDOW {", ".join(f"{s[0]} AS (PARTITION BY sport, {s}_team ORDER BY game_date, game_id ROWS BETWEEN 128 PRECEDING AND 1 PRECEDING)" for s in SIDES)}""")
 def w2(spark, sf):
     g = adapt.games(spark, sf)
-    return g.select("game_id", *(r6(rolling.ema(F.col(f"{s}_score"), s, a), f"{s}_score_ema{int(a * 10)}") for s in SIDES for a in rolling.ALPHAS))
+    for s in SIDES:
+        g = rolling.exponential(g, s, ["score"])
+    return g.select("game_id", *(r6(f"{s}_score_ema{int(a * 10)}", f"{s}_score_ema{int(a * 10)}") for s in SIDES for a in rolling.ALPHAS))
 
 
 @query("w3_league_over_rate", f"{G}SELECT game_id, {s6('avg(result_over) OVER (PARTITION BY sport ORDER BY game_date, game_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)', 'league_over_rate')} FROM games")
