@@ -23,14 +23,25 @@ def head_to_head(games: DataFrame, least: int = 2) -> DataFrame:
         F.when(enough, F.avg("total").over(w)).otherwise(F.col("total_line")).alias("h2h_avg_total"))
 
 
-def allowed_ratio(games: DataFrame, stats: list[str], n: int = 10) -> DataFrame:
-    """opp_def_<stat>_ratio: what visitors did in the home team's last n home games by the sport's average.
+def allowed_mean(games: DataFrame, stats: list[str], n: int = 10) -> DataFrame:
+    """games with opp_def_<stat>_mean: what visitors did in the home team's last n home games."""
+    w = side_window("home").rowsBetween(-n, -1)
+    return games.select("*", *(F.avg(f"away_{s}").over(w).alias(f"opp_def_{s}_mean") for s in stats))
+
+
+def by_league(rows: DataFrame, games: DataFrame, stats: list[str]) -> DataFrame:
+    """rows with opp_def_<stat>_ratio, their means by the sport's average, in place of opp_def_<stat>_mean.
 
     The average covers the whole history, as the definition asks; it is one row per sport.
     """
-    w = side_window("home").rowsBetween(-n, -1)
-    ratio = lambda s: (F.avg(f"away_{s}").over(w) / F.coalesce(F.nullif(F.col(f"avg_{s}"), F.lit(0.0)), F.lit(1.0))).alias(f"opp_def_{s}_ratio")
-    return games.join(F.broadcast(league_average(games, stats)), "sport").select(*games.columns, *(ratio(s) for s in stats))
+    ratio = lambda s: (F.col(f"opp_def_{s}_mean") / F.coalesce(F.nullif(F.col(f"avg_{s}"), F.lit(0.0)), F.lit(1.0))).alias(f"opp_def_{s}_ratio")
+    means = [f"opp_def_{s}_mean" for s in stats]
+    return rows.join(F.broadcast(league_average(games, stats)), "sport").select(*(c for c in rows.columns if c not in means), *(ratio(s) for s in stats))
+
+
+def allowed_ratio(games: DataFrame, stats: list[str], n: int = 10) -> DataFrame:
+    """games with opp_def_<stat>_ratio: allowed_mean by the sport's average."""
+    return by_league(allowed_mean(games, stats, n), games, stats)
 
 
 def division_flag(games: DataFrame, divisions: DataFrame) -> DataFrame:

@@ -42,8 +42,8 @@ def first_per_key(df: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def write_features(features: DataFrame, path: str) -> None:
-    """Partitioned by sport and season; only the partitions at hand are replaced."""
-    spread = features.repartition("sport", "season")
+    """Partitioned by sport and season; only the partitions at hand are replaced. A large season is split over tasks."""
+    spread = features.hint("rebalance", "sport", "season")
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sport", "season").parquet(path)
 
 
