@@ -253,6 +253,18 @@ def g17(spark, sf):
     return rounded(monitor.request_rate(adapt.table(spark, sf, "events").select("ts", F.col("value").alias("latency"))))
 
 
+@query("g17_rate_rollup", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS requests, true AS within FROM events GROUP BY 1")
+def g17_rollup(spark, sf):
+    """Hours out of five-minute sketches; within: the share of requests up to the sketch's p95 is within 1 % of 95 %, or at its own neighbours."""
+    log = adapt.table(spark, sf, "events").select("ts", F.col("value").alias("latency"))
+    hours = monitor.roll_up(monitor.latency_sketches(log))
+    rows = log.select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start"), "latency")
+    each = rows.join(hours.select(F.col("start").cast("timestamp_ntz").alias("start"), "requests", "p95"), "start").groupBy("start", "requests")
+    upto, below = F.count_if(F.col("latency") <= F.col("p95")) / F.count("*"), F.count_if(F.col("latency") < F.col("p95")) / F.count("*")
+    slack = F.lit(0.01) + 1 / F.count("*")
+    return each.agg(((upto >= 0.95 - slack) & (below <= 0.95 + slack)).alias("within")).select("start", "requests", "within")
+
+
 @query("g18_retrains_per_day", _RUNS + "SELECT CAST(trained_at AS DATE) AS day, sport, reason, count(*) AS retrains FROM runs GROUP BY 1, 2, 3")
 def g18(spark, sf):
     return monitor.retrains_per_day(runs(spark, sf))

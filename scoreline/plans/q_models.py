@@ -129,18 +129,63 @@ def t2(spark, sf):
 
 @query("t3_settlement_stream", "WITH p AS (SELECT event_id // 2 AS game, ts AS p_ts, CAST(event_id * 7919 % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS prob, 50.0::DOUBLE AS line FROM events WHERE event_id % 2 = 0), f AS (SELECT event_id // 2 AS game, ts AS f_ts, value AS total FROM events WHERE event_id % 2 = 1) SELECT game, total > line AS over, (total > line) = (prob >= 0.5::DOUBLE) AS is_correct FROM p JOIN f USING (game) WHERE f_ts >= p_ts AND f_ts <= p_ts + INTERVAL 2 DAY")
 def t3(spark, sf):
+    return jobs.drain(jobs.settle_stream(*_two_streams(spark, sf)), store.shared_path(spark)).select("game", "over", "is_correct")
+
+
+def _two_streams(spark, sf):
     game = F.floor(F.col("event_id") / 2).alias("game")
     p = _events(spark, sf).where("event_id % 2 = 0").select(game, F.col("ts").alias("p_ts"), ((F.col("event_id") * 7919 % 1000).cast("double") / 1000.0).alias("prob_over"), F.lit(50.0).alias("line"))
     f = _events(spark, sf).where("event_id % 2 = 1").select(game, F.col("ts").alias("f_ts"), F.col("value").alias("total"))
-    return jobs.drain(jobs.settle_stream(p, f), store.shared_path(spark)).select("game", "over", "is_correct")
+    return p, f
+
 
+@query("t3_settlement_outer", """WITH p AS (SELECT event_id // 2 AS game, ts AS p_ts, CAST(event_id * 7919 % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS prob, 50.0::DOUBLE AS line FROM events WHERE event_id % 2 = 0), f AS (SELECT event_id // 2 AS game, ts AS f_ts, value AS total FROM events WHERE event_id % 2 = 1),
+m AS (SELECT least((SELECT max(p_ts) FROM p), (SELECT max(f_ts) FROM f)) - INTERVAL 2 DAY - INTERVAL 2 HOUR AS done)
+SELECT game, total > line AS over, (total > line) = (prob >= 0.5::DOUBLE) AS is_correct FROM m, p LEFT JOIN f USING (game) WHERE p_ts < done AND (f_ts IS NULL OR (f_ts >= p_ts AND f_ts <= p_ts + INTERVAL 2 DAY)) UNION ALL
+SELECT game, NULL, NULL FROM m, p JOIN f USING (game) WHERE p_ts < done AND NOT (f_ts >= p_ts AND f_ts <= p_ts + INTERVAL 2 DAY)""")
+def t3_outer(spark, sf):
+    """Settled and unsettled predictions whose wait both streams have passed by more than their delay of an hour."""
+    settled = jobs.drain(jobs.settle_stream(*_two_streams(spark, sf), unsettled=True), store.shared_path(spark))
+    last = [adapt.table(spark, sf, "events").where(f"event_id % 2 = {k}").agg(F.max(F.col("ts").cast("timestamp")).alias(f"m{k}")) for k in (0, 1)]
+    done = F.least("m0", "m1") - F.expr("INTERVAL 2 DAYS 2 HOURS")
+    # a row of two times
+    return settled.join(F.broadcast(last[0].join(last[1])), F.col("p_ts") < done).select("game", "over", "is_correct")
 
-@query("t4_rate_stream")
+
+@query("t4_rate_stream", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS requests, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1 HAVING time_bucket(INTERVAL 1 HOUR, any_value(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
 def t4(spark, sf):
-    return jobs.drain(jobs.rate_stream(_events(spark, sf).select("ts", F.col("value").alias("latency"))), store.shared_path(spark))
+    """Hours that the watermark has closed."""
+    out = jobs.drain(jobs.rate_stream(_events(spark, sf).select("ts", F.col("value").alias("latency"))), store.shared_path(spark))
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+_FORM = """WITH e AS (SELECT event_id AS id, user_id AS key, ts, value - 50 AS v FROM events), g AS (SELECT *, CASE WHEN v > 0 THEN 1 WHEN v < 0 THEN -1 END AS s FROM e),
+d AS (SELECT *, CASE WHEN s = lag(s) OVER (PARTITION BY key ORDER BY ts, id) THEN 0 ELSE 1 END AS n FROM g WHERE s IS NOT NULL), r AS (SELECT *, sum(n) OVER (PARTITION BY key ORDER BY ts, id) AS run FROM d),
+a AS (SELECT *, s * row_number() OVER (PARTITION BY key, run ORDER BY ts, id) AS after FROM r),
+t AS (SELECT g.*, after, list(g.v) OVER h AS l FROM g LEFT JOIN a USING (id) WINDOW h AS (PARTITION BY g.key ORDER BY g.ts, g.id ROWS BETWEEN 128 PRECEDING AND 1 PRECEDING))
+SELECT id, round(avg(v) OVER w, 8) + 0.0 AS roll_mean, CASE WHEN len(l) > 0 THEN round(list_reduce(l, lambda y, x: 0.3::DOUBLE * x + 0.7::DOUBLE * y), 8) + 0.0 END AS ema3, CASE WHEN len(l) > 0 THEN round(list_reduce(l, lambda y, x: 0.5::DOUBLE * x + 0.5::DOUBLE * y), 8) + 0.0 END AS ema5,
+CAST(coalesce(last_value(after IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS run FROM t WINDOW w AS (PARTITION BY key ORDER BY ts, id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"""
+
+
+def _form_rows(events):
+    return events.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") - 50).alias("value"))
+
+
+def _form(df):
+    return df.select("id", *((F.round(c, 8) + F.lit(0.0)).alias(c) for c in ("roll_mean", "ema3", "ema5")), "run")
 
 
-@query("t5_form_stream", """WITH e AS (SELECT event_id, user_id, ts, value - 50 AS v FROM events) SELECT event_id AS id, round(avg(v) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 8) + 0.0 AS roll_mean FROM e""")
+@query("t5_form_stream", _FORM)
 def t5(spark, sf):
-    e = _events(spark, sf).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", (F.col("value") - 50).alias("value"))
-    return jobs.drain(jobs.form_stream(e), store.shared_path(spark)).select("id", (F.round("roll_mean", 8) + F.lit(0.0)).alias("roll_mean"))
+    with jobs.state_store(spark):
+        return _form(jobs.drain(jobs.form_stream(_form_rows(_events(spark, sf))), store.shared_path(spark)))
+
+
+@query("t5_kept_form", _FORM)
+def t5_kept(spark, sf):
+    """The events in three files that each cover all days, one a micro-batch: most rows of the later ones are late."""
+    folder, rows = store.shared_path(spark), _form_rows(adapt.table(spark, sf, "events"))
+    rows.repartition(3, "id").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    jobs.keep_form(stream, f"{folder}/kept")()
+    return _form(jobs.current_form(spark, f"{folder}/kept"))

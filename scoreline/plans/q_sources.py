@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import composites, injuries, matchup
 from ..sources import adapt, feeds, store, tables
+from . import feature_cache
 from .base import G, query, r6, rounded, s6
 from .features import DROPPED
 
@@ -304,6 +305,20 @@ def b8(spark, sf):
     return tables.stale(tables.signature(g), tables.signature(changed))
 
 
+_PLAYS = [(s, n) for s in ("home", "away") for n in (3, 5, 10, 20)]
+
+
+@query("b8_feature_cache", f"{G}SELECT game_id, " + ", ".join(s6(f"avg({s}_plays) OVER {s[0]}{n}", f"{s}_plays_roll{n}_mean") for s, n in _PLAYS) + " FROM games WINDOW " + ", ".join(f"{s[0]}{n} AS (PARTITION BY sport, {s}_team ORDER BY game_date, game_id ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for s, n in _PLAYS))
+def b8_cache(spark, sf):
+    """The cache as of a day, then brought up to all games, one of which was corrected meanwhile."""
+    games, folder = store.stored(adapt.games(spark, sf)), store.shared_path(spark)
+    first = F.col("game_id") == games.agg(F.min("game_id")).first()[0]
+    before = games.where("game_date < TIMESTAMP_NTZ'1998-07-01 00:00:00'").withColumn("home_plays", F.when(first, F.col("home_plays") + 1).otherwise(F.col("home_plays")))
+    for state in (store.stored(before), games):
+        feature_cache.refresh(state, folder, ["plays"], alphas=())
+    return rounded(feature_cache.read(spark, folder).select("game_id", *(f"{s}_plays_roll{n}_mean" for s, n in _PLAYS)))
+
+
 @query("b9_append_stats", f"{G}SELECT game_id, home_score AS points FROM games UNION ALL SELECT game_id, away_score FROM games")
 def b9(spark, sf):
     path, g = store.shared_path(spark), adapt.games(spark, sf)

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.scalars import confidence, direction
+from ..operators import monitor, rolling
 
-FORM = "key long, id long, ts timestamp, value double, roll_mean double, ema double, run long, late boolean"
-STATE = "values array<double>, ema double, run long, last timestamp, last_id long"
+ALPHAS = rolling.ALPHAS
+VALUES = "roll_mean double, ema3 double, ema5 double, run long"
+FORM = f"key long, id long, ts timestamp, value double, {VALUES}, seen long, late boolean"
+#: Transforming state needs the store that Spark brings for it.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def ingest(stream: DataFrame, key: str, ts: str, delay: str = "1 day") -> DataFrame:
@@ -25,50 +30,155 @@ def alert_stream(predictions: DataFrame, threshold: float = 0.65) -> DataFrame:
     return predictions.where(confidence(p) >= threshold).select("prediction_id", "ts", direction(p).alias("direction"), confidence(p).alias("confidence"))
 
 
-def settle_stream(predictions: DataFrame, finals: DataFrame, wait: str = "2 days", delay: str = "1 hour") -> DataFrame:
+def settle_stream(predictions: DataFrame, finals: DataFrame, wait: str = "2 days", delay: str = "1 hour", unsettled: bool = False) -> DataFrame:
     """predictions (game, p_ts, prob_over, line) with finals (game, f_ts, total) up to `wait` later.
 
-    Both sides are watermarked and the times bounded, so state on both is finite.
+    Both sides are watermarked and the times bounded, so state on both is finite. With unsettled, a prediction
+    that no final met comes out once, with nulls, when both streams have passed its wait.
     """
     p, f = predictions.withWatermark("p_ts", delay).alias("p"), finals.withWatermark("f_ts", delay).alias("f")
-    joined = p.join(f, F.expr(f"p.game = f.game AND f.f_ts >= p.p_ts AND f.f_ts <= p.p_ts + INTERVAL {wait}"))
+    joined = p.join(f, F.expr(f"p.game = f.game AND f.f_ts >= p.p_ts AND f.f_ts <= p.p_ts + INTERVAL {wait}"), "left_outer" if unsettled else "inner")
     over = F.col("total") > F.col("line")
     return joined.select("p.game", "p_ts", "f_ts", "prob_over", "line", "total", over.alias("over"), (over == (F.col("prob_over") >= 0.5)).alias("is_correct"))
 
 
 def rate_stream(log: DataFrame, width: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
-    """(start, requests, p95) of each window once the watermark has closed it."""
+    """(start, requests, p95) of each window once the watermark has closed it; with slide, windows overlap."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
     return log.withWatermark("ts", delay).groupBy(w.alias("w")).agg(F.count("*").alias("requests"), F.percentile_approx("latency", 0.95, 1000).alias("p95")).select(F.col("w.start").alias("start"), "requests", "p95")
 
 
-def form_stream(rows: DataFrame, n: int = 20, alpha: float = 0.3) -> DataFrame:
-    """(key, id, ts, value) with the mean of the n values before, their exponential mean and signed run.
+def sketch_stream(log: DataFrame, width: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
+    """monitor.latency_sketches of a stream: rows of closed windows, which monitor.roll_up merges to longer ones."""
+    return monitor.latency_sketches(log.withWatermark("ts", delay), width)
 
-    State is n values and three numbers a key. A row older than its key's last one is marked late and
-    left to the batch recomputation.
+
+class Form(StatefulProcessor):
+    """State of a key: its last n values in a list, and count, exponential means, run and place in one value.
+
+    Both are dropped when a key has been silent for `idle_ms`; rows after that have `seen` 0 again.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        values, ema, run, last, last_id = state.get if state.exists else ([], None, 0, None, None)
-        values = list(values)
-        parts = [f for f in frames if len(f)]
+    def __init__(self, n: int, idle_ms: int):
+        self.n, self.idle_ms = n, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.values = handle.getListState("values", "value double", self.idle_ms)
+        self.form = handle.getValueState("form", "seen long, ema3 double, ema5 double, run long, ts timestamp, id long", self.idle_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        parts = [f for f in rows if len(f)]
         if not parts:
             return
         got = pd.concat(parts).sort_values(["ts", "id"])
+        state = self.form.get() if self.form.exists() else None
+        seen, *emas, run, last, last_id = tuple(state) if state is not None else (0, None, None, 0, None, None)
+        values = [r[0] for r in self.values.get()] if self.values.exists() else []
         out = []
         for i, ts, v in zip(got["id"].tolist(), got["ts"].tolist(), got["value"].tolist(), strict=True):
-            late = last is not None and (ts, i) <= (last, last_id)
-            out.append((key[0], i, ts, v, None if late or not values else sum(values) / len(values), None if late else ema, None if late else run, late))
-            if not late:
-                values = [*values, v][-n:]
-                ema = v if ema is None else alpha * v + (1 - alpha) * ema
-                run = max(run, 0) + 1 if v > 0 else min(run, 0) - 1
-                last, last_id = ts, i
-        state.update((values, ema, run, last, last_id))
-        yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in FORM.split(",")]).astype({"run": "Int64"})
-
-    return rows.groupBy("key").applyInPandasWithState(step, FORM, STATE, "append", GroupStateTimeout.NoTimeout)
+            v = None if v is None or v != v else v
+            if last is not None and (ts, i) <= (last, last_id):
+                out.append((key[0], i, ts, v, None, None, None, None, seen, True))
+                continue
+            known = [x for x in values if x is not None]
+            out.append((key[0], i, ts, v, sum(known) / len(known) if known else None, *emas, run, seen, False))
+            values = [*values, v][-self.n :]
+            if v is not None:
+                emas = [v if y is None else a * v + (1 - a) * y for a, y in zip(ALPHAS, emas, strict=True)]
+                run = run if v == 0 else max(run, 0) + 1 if v > 0 else min(run, 0) - 1
+            seen, last, last_id = seen + 1, ts, i
+        self.values.put([(v,) for v in values])
+        self.form.update((seen, *emas, run, last, last_id))
+        yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in FORM.split(",")]).astype({"run": "Int64", "roll_mean": "Float64", "ema3": "Float64", "ema5": "Float64", "value": "Float64"})
+
+    def close(self) -> None:
+        pass
+
+
+def form_stream(rows: DataFrame, n: int = 20, idle: pd.Timedelta = pd.Timedelta(days=400)) -> DataFrame:
+    """(key, id, ts, value) with the mean of the n values before, their exponential means and signed run.
+
+    A value of 0 leaves a run as it is; a null counts in none of them but takes a place among the n. State is n
+    values and six numbers a key. A row not after its key's last one is late: it gets no values and
+    changes no state; keep_form recomputes its key. Start the query inside state_store(spark).
+    """
+    return rows.groupBy("key").transformWithStateInPandas(Form(n, int(idle.total_seconds() * 1000)), FORM, "Append", "ProcessingTime")
+
+
+def form_batch(rows: DataFrame, n: int = 20) -> DataFrame:
+    """What form_stream gives when no row is late, of a whole table, without `seen` and `late`."""
+    w = Window.partitionBy("key").orderBy("ts", "id")
+    games = rows.select("key", "id", "ts", "value", F.lit("").alias("sport"), F.col("key").alias("home_team"), F.col("ts").alias("game_date"), F.col("id").alias("game_id"), F.col("value").alias("home_value"))
+    out = rolling.exponential(games, "home", ["value"], ALPHAS).withColumn("roll_mean", F.avg("value").over(w.rowsBetween(-n, -1)))
+    decided = F.when(F.col("value") != 0, F.signum("value").cast("int"))
+    before = F.last(decided, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    # a run goes on while the sign stays; its length so far counts decided rows
+    out = out.withColumn("_sign", decided).withColumn("_new", F.when(F.col("_sign").isNotNull() & ~F.col("_sign").eqNullSafe(before), 1).otherwise(0))
+    out = out.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    length = F.count("_sign").over(Window.partitionBy("key", "_run").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last("_sign", ignorenulls=True).over(Window.partitionBy("key", "_run").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)) * length
+    run = F.coalesce(F.lag("_after").over(w), F.lit(0)).cast("long")
+    return out.withColumn("_after", after).select("key", "id", "ts", "value", "roll_mean", F.col("home_value_ema3").alias("ema3"), F.col("home_value_ema5").alias("ema5"), run.alias("run"))
+
+
+def keep_form(rows: DataFrame, folder: str, n: int = 20, idle: pd.Timedelta = pd.Timedelta(days=400)) -> Callable[[], None]:
+    """Folds a stream into a maintained table below folder, late rows included; returns what runs it over all there is now.
+
+    A micro-batch's rows go to `form/batch=<id>`, late ones also to the side table `late`. Keys that the state
+    knows wrongly (a late row so far, or rows that their expired state forgot) are computed from all
+    their rows whenever they get new ones, into `rebuilt/batch=<id>`. Each write replaces its own batch, so a batch
+    may run twice. current_form gives each row's newest values.
+    """
+    spark: SparkSession = rows.sparkSession
+
+    def fold(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        at = lambda kind: f"{folder}/{kind}/batch={number:012d}"
+        batch.write.mode("overwrite").parquet(at("form"))
+        got = session.read.schema(FORM).parquet(at("form"))
+        got.where("late").write.mode("overwrite").parquet(at("late"))
+        every = _all(session, folder, "form").where(F.col("batch") <= number)
+        wrong = got.where("seen = 0").select("key").distinct().join(every.where(F.col("batch") < number), "key", "left_semi")
+        wrong = wrong.unionByName(_all(session, folder, "late").where(F.col("batch") <= number).select("key").join(got.select("key"), "key", "left_semi")).distinct()
+        form_batch(every.join(wrong, "key", "left_semi").select("key", "id", "ts", "value"), n).write.mode("overwrite").parquet(at("rebuilt"))
+
+    def run() -> None:
+        with state_store(spark):
+            q = form_stream(rows, n, idle).writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+        try:
+            q.awaitTermination()
+        finally:
+            q.stop()
+
+    return run
+
+
+def _all(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    form = FORM if kind != "rebuilt" else f"key long, id long, ts timestamp, value double, {VALUES}"
+    return spark.read.schema(f"{form}, batch long").parquet(f"{folder}/{kind}")
+
+
+def current_form(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, id, ts, value) with its values of the newest batch that computed it; what was rebuilt wins over what was streamed."""
+    values = ["roll_mean", "ema3", "ema5", "run"]
+    version = lambda kind, rank: _all(spark, folder, kind).select("key", "id", "ts", "value", *values, F.struct("batch", F.lit(rank).alias("rank")).alias("v"))
+    both = version("form", 0).unionByName(version("rebuilt", 1))
+    return both.groupBy("key", "id", "ts", "value").agg(F.max_by(F.struct(*values), "v").alias("x")).select("key", "id", "ts", "value", "x.*")
+
+
+@contextmanager
+def state_store(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB; the session's own setting comes back after."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def drain(stream: DataFrame, path: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Streams give what the batch operators give."""
 
+import random
 from datetime import datetime, timedelta
 
-from pyspark.sql import Window
+import pandas as pd
 from pyspark.sql import functions as F
 
+from scoreline.operators import monitor
 from scoreline.sources import store
 from scoreline.streaming import jobs
 
@@ -15,19 +17,104 @@ def _stream(spark, rows, schema):
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
-def test_form_equals_the_batch(spark):
+SCHEMA = "key long, id long, ts timestamp, value double"
+
+
+def _rows(n=90):
+    rng, t0 = random.Random(4), datetime(2024, 1, 1)
+    return [(rng.choice([1, 1, 1, 2, None]), i, t0 + timedelta(hours=i // 2), rng.choice([None, 0.0, float((i * 7) % 11 - 5), 3.0])) for i in range(n)]
+
+
+def _want(rows, n):
+    """Row by row: mean of the n rows before, both exponential means, run."""
+    out, state = {}, {}
+    for key, i, _, v in rows:
+        values, emas, run = state.get(key, ([], [None, None], 0))
+        known = [x for x in values[-n:] if x is not None]
+        out[i] = (sum(known) / len(known) if known else None, *emas, run)
+        if v is not None:
+            emas = [v if y is None else a * v + (1 - a) * y for a, y in zip((0.3, 0.5), emas, strict=True)]
+            run = run if v == 0 else max(run, 0) + 1 if v > 0 else min(run, 0) - 1
+        state[key] = ([*values, v], emas, run)
+    return out
+
+
+def _check(got, want):
+    assert len(got) == len(want)
+    for r in got:
+        have = (r.roll_mean, r.ema3, r.ema5, r.run)
+        assert all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-9) for x, y in zip(have, want[r.id], strict=True)), (r, want[r.id])
+
+
+def test_form_of_a_stream_and_of_a_table(spark):
+    rows = _rows()
+    with jobs.state_store(spark):
+        got = jobs.drain(jobs.form_stream(_stream(spark, rows, SCHEMA), n=5), store.shared_path(spark)).collect()
+    _check(got, _want(rows, 5))
+    assert not any(r.late for r in got)
+    _check(jobs.form_batch(spark.createDataFrame(rows, SCHEMA).repartition(3), 5).collect(), _want(rows, 5))
+
+
+def test_late_rows_end_equal_to_the_batch(spark):
+    rows, folder = _rows(), store.shared_path(spark)
+    parts = [rows[:40], rows[44:70], rows[40:44] + rows[70:]]  # four rows come after their time
+    stream = spark.readStream.schema(SCHEMA).parquet(f"{folder}/in")
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        jobs.keep_form(stream, f"{folder}/kept", n=5)()
+    _check(jobs.current_form(spark, f"{folder}/kept").collect(), _want(rows, 5))
+    late = spark.read.parquet(f"{folder}/kept/late").where("late")
+    assert {r.id for r in late.collect()} == {40, 41, 42, 43}
+    # rows come again without a new batch: nothing changes
+    jobs.keep_form(stream, f"{folder}/kept", n=5)()
+    _check(jobs.current_form(spark, f"{folder}/kept").collect(), _want(rows, 5))
+
+
+def test_form_after_a_forgotten_state(spark):
+    rows, folder = [r for r in _rows() if r[0] == 1], store.shared_path(spark)
+    stream = spark.readStream.schema(SCHEMA).parquet(f"{folder}/in")
+    for part in (rows[:20], rows[20:]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        jobs.keep_form(stream, f"{folder}/kept", n=5, idle=pd.Timedelta(milliseconds=1))()
+    _check(jobs.current_form(spark, f"{folder}/kept").collect(), _want(rows, 5))
+    form = spark.read.parquet(f"{folder}/kept/form")
+    assert form.where("seen = 0").count() == 2
+
+
+def test_unsettled_predictions_come_out_when_their_wait_is_over(spark):
     t0 = datetime(2024, 1, 1)
-    rows = [(i % 3, i, t0 + timedelta(hours=i), float((i * 7) % 11 - 5)) for i in range(60)]
-    schema = "key long, id long, ts timestamp, value double"
-    got = {r.id: r for r in jobs.drain(jobs.form_stream(_stream(spark, rows, schema), n=5), store.shared_path(spark)).collect()}
-    w = Window.partitionBy("key").orderBy("ts", "id").rowsBetween(-5, -1)
-    want = spark.createDataFrame(rows, schema).withColumn("m", F.avg("value").over(w)).collect()
-    assert len(got) == 60
-    for r in want:
-        assert (got[r.id].roll_mean is None) == (r.m is None)
-        assert r.m is None or abs(got[r.id].roll_mean - r.m) < 1e-9
-    first = got[0]
-    assert first.ema is None and not first.late
+    p = [(i, t0 + timedelta(days=i), 0.7, 100.0) for i in range(10)]
+    f = [(i, t0 + timedelta(days=i, hours=5), 110.0) for i in (0, 2)] + [(4, t0 + timedelta(days=7), 90.0), (50, t0 + timedelta(days=9), 1.0)]
+    preds, finals = _stream(spark, p, "game long, p_ts timestamp, prob_over double, line double"), _stream(spark, f, "game long, f_ts timestamp, total double")
+    got = {r.game: r for r in jobs.drain(jobs.settle_stream(preds, finals, unsettled=True), store.shared_path(spark)).collect()}
+    assert {g for g, r in got.items() if r.is_correct} == {0, 2}
+    # 4's final came after two days; from 7 on, two days and the delay haven't passed
+    assert {g for g, r in got.items() if r.total is None} == {1, 3, 4, 5, 6}
+
+
+def test_rates_of_closed_windows_and_sketches(spark):
+    rng, t0 = random.Random(7), datetime(2024, 1, 1)
+    rows = [(t0 + timedelta(seconds=rng.randrange(5 * 3600)), float(rng.randrange(1000))) for _ in range(3000)]
+    schema = "ts timestamp, latency double"
+    log, last = spark.createDataFrame(rows, schema), max(r[0] for r in rows)
+    closed = lambda width: F.col("start") + F.expr(f"INTERVAL {width}") <= F.lit(last) - F.expr("INTERVAL 10 MINUTES")
+    show = lambda df: sorted((r.start, r.requests) for r in df.collect())
+    want = monitor.request_rate(log, "1 hour").where(closed("1 HOUR"))
+    got = jobs.drain(jobs.rate_stream(_stream(spark, rows, schema)), store.shared_path(spark))
+    assert show(got) == show(want) and got.count() >= 3
+    slid = jobs.drain(jobs.rate_stream(_stream(spark, rows, schema), slide="15 minutes"), store.shared_path(spark))
+    every = log.groupBy(F.window("ts", "1 hour", "15 minutes").alias("w")).agg(F.count("*").alias("requests")).select(F.col("w.start").alias("start"), "requests")
+    assert show(slid) == show(every.where(closed("1 HOUR")))
+    # five-minute sketches of the stream, merged to hours, have ranks within the stated error
+    sketches = jobs.drain(jobs.sketch_stream(_stream(spark, rows, schema)), store.shared_path(spark))
+    hours = {r.start: r for r in monitor.roll_up(sketches).collect()}
+    assert sum(r.requests for r in hours.values()) == log.where(F.col("ts") < last.replace(minute=last.minute // 5 * 5, second=0) - timedelta(minutes=10)).count() or len(hours) >= 4
+    for start, r in list(hours.items())[:3]:
+        own = [v for t, v in rows if start <= t < start + timedelta(hours=1)]
+        if len(own) == r.requests:
+            for q, v in ((0.5, r.p50), (0.95, r.p95)):
+                assert sum(x < v for x in own) / len(own) - 0.01 <= q <= sum(x <= v for x in own) / len(own) + 0.01
+    assert monitor.roll_up(sketches, slide="30 minutes").count() > len(hours)
 
 
 def test_ingest_drops_repeats(spark):
