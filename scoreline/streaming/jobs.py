@@ -70,6 +70,7 @@ class Form(StatefulProcessor):
         parts = [f for f in rows if len(f)]
         if not parts:
             return
+        own = int(key[0]) if key[0] else None
         got = pd.concat(parts).sort_values(["ts", "id"])
         state = self.form.get() if self.form.exists() else None
         seen, *emas, run, last, last_id = tuple(state) if state is not None else (0, None, None, 0, None, None)
@@ -78,10 +79,10 @@ class Form(StatefulProcessor):
         for i, ts, v in zip(got["id"].tolist(), got["ts"].tolist(), got["value"].tolist(), strict=True):
             v = None if v is None or v != v else v
             if last is not None and (ts, i) <= (last, last_id):
-                out.append((key[0], i, ts, v, None, None, None, None, seen, True))
+                out.append((own, i, ts, v, None, None, None, None, seen, True))
                 continue
             known = [x for x in values if x is not None]
-            out.append((key[0], i, ts, v, sum(known) / len(known) if known else None, *emas, run, seen, False))
+            out.append((own, i, ts, v, sum(known) / len(known) if known else None, *emas, run, seen, False))
             values = [*values, v][-self.n :]
             if v is not None:
                 emas = [v if y is None else a * v + (1 - a) * y for a, y in zip(ALPHAS, emas, strict=True)]
@@ -89,7 +90,7 @@ class Form(StatefulProcessor):
             seen, last, last_id = seen + 1, ts, i
         self.values.put([(v,) for v in values])
         self.form.update((seen, *emas, run, last, last_id))
-        yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in FORM.split(",")]).astype({"run": "Int64", "roll_mean": "Float64", "ema3": "Float64", "ema5": "Float64", "value": "Float64"})
+        yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in FORM.split(",")]).astype({"key": "Int64", "run": "Int64", "roll_mean": "Float64", "ema3": "Float64", "ema5": "Float64", "value": "Float64"})
 
     def close(self) -> None:
         pass
@@ -102,7 +103,9 @@ def form_stream(rows: DataFrame, n: int = 20, idle: pd.Timedelta = pd.Timedelta(
     values and six numbers a key. A row not after its key's last one is late: it gets no values and
     changes no state; keep_form recomputes its key. Start the query inside state_store(spark).
     """
-    return rows.groupBy("key").transformWithStateInPandas(Form(n, int(idle.total_seconds() * 1000)), FORM, "Append", "ProcessingTime")
+    # a null key is a key: grouped as text, as null keys don't find each other
+    named = rows.select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("name"), "id", "ts", F.col("value").cast("double").alias("value"))
+    return named.groupBy("name").transformWithStateInPandas(Form(n, int(idle.total_seconds() * 1000)), FORM, "Append", "ProcessingTime")
 
 
 def form_batch(rows: DataFrame, n: int = 20) -> DataFrame:
@@ -138,9 +141,10 @@ def keep_form(rows: DataFrame, folder: str, n: int = 20, idle: pd.Timedelta = pd
         got = session.read.schema(FORM).parquet(at("form"))
         got.where("late").write.mode("overwrite").parquet(at("late"))
         every = _all(session, folder, "form").where(F.col("batch") <= number)
-        wrong = got.where("seen = 0").select("key").distinct().join(every.where(F.col("batch") < number), "key", "left_semi")
-        wrong = wrong.unionByName(_all(session, folder, "late").where(F.col("batch") <= number).select("key").join(got.select("key"), "key", "left_semi")).distinct()
-        form_batch(every.join(wrong, "key", "left_semi").select("key", "id", "ts", "value"), n).write.mode("overwrite").parquet(at("rebuilt"))
+        semi = lambda left, right: left.join(right.select(F.col("key").alias("_key")), F.col("key").eqNullSafe(F.col("_key")), "left_semi")
+        wrong = semi(got.where("seen = 0").select("key"), every.where(F.col("batch") < number))
+        wrong = wrong.unionByName(semi(_all(session, folder, "late").where(F.col("batch") <= number).select("key"), got)).distinct()
+        form_batch(semi(every, wrong).select("key", "id", "ts", "value"), n).write.mode("overwrite").parquet(at("rebuilt"))
 
     def run() -> None:
         with state_store(spark):
@@ -168,17 +172,23 @@ def current_form(spark: SparkSession, folder: str) -> DataFrame:
 
 @contextmanager
 def state_store(spark: SparkSession):
-    """Queries started inside keep their state in RocksDB; the session's own setting comes back after."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKS)
+    """Queries started inside keep their state in RocksDB and run no batch without data; the session's own settings come back after.
+
+    By processing time such a query would run empty batches without end, to look for expired state, and
+    never be through with what there is. Expired state isn't given to rows, so nothing waits for these.
+    """
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def drain(stream: DataFrame, path: str) -> DataFrame:
