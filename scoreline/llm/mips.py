@@ -35,8 +35,8 @@ from .common import batch_of, tidy, written
 BLOCK, CODES, THRESHOLD = 2, 16, 0.2
 #: Rows of a leaf aimed at, most leaves, the fewest and most rows of a group, and groups aimed at between.
 LEAF_ROWS, MOST_LEAVES, FEWEST_ROWS, MOST_ROWS, AIM = 2048, 4096, 4096, 1 << 18, 64
-#: Vectors that the quantiser works on at once.
-CHUNK = 2048
+#: Vectors that the quantiser works on at once, and rows of the sample that floors are taken from.
+CHUNK, FLOOR_ROWS = 2048, 1 << 14
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -129,6 +129,12 @@ class Quantiser:
         codes = self._codes(self._cut(x - self.centres[leaf]), self._cut(x)).astype(np.uint8)
         return leaf, codes[:, 0::2] << 4 | codes[:, 1::2]
 
+    def decoded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf of each vector, and the vector that its codes stand for."""
+        leaf = nearest(x, self.centres)
+        codes = self._codes(self._cut(x - self.centres[leaf]), self._cut(x))
+        return leaf, self.centres[leaf] + self.books[np.arange(self.blocks)[None], codes].reshape(len(x), -1)[:, : self.dim]
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """For each query and byte of code, its 256 partial inner products."""
         single = np.einsum("nbd,bkd->nbk", self._cut(q), self.books)
@@ -169,8 +175,32 @@ def _dealt(sizes: dict[int, int], leaves: int, most: int) -> tuple[np.ndarray, n
     return base, parts
 
 
-def _scan(model: Quantiser, searched: int, kept: int, ids: np.ndarray, leaf: np.ndarray, packed: np.ndarray, query_ids: np.ndarray, keys: np.ndarray, q: np.ndarray):
-    """For each query the key, ids and approximate scores of the kept best of a group's rows, which are in id order."""
+class Floors:
+    """Scores that fewer than all but somewhat more than `kept` rows are expected to reach, from decoded rows of the sample.
+
+    Of the rows that a query scans, the kept best of all groups lie above the score of its sample row of rank
+    kept x share, but for chance; four deviations and two rows are added to that rank. So what a query sends
+    to be ranked doesn't grow with the number of groups, as long as the sample holds some of its best.
+    """
+
+    def __init__(self, model: Quantiser, sample: np.ndarray, kept: int, total: int):
+        rows = sample[np.linspace(0, len(sample) - 1, min(len(sample), FLOOR_ROWS)).astype(np.int64)]
+        self.leaf, self.rows = model.decoded(rows)
+        expected = kept * min(1.0, len(rows) / total)
+        self.rank = int(np.ceil(expected + 4 * np.sqrt(expected))) + 2
+
+    def of(self, q: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """The floor of each query that searches these of its leaves (booleans); -inf where the sample can't tell."""
+        out = np.full(len(q), -np.inf, np.float32)
+        for i in range(0, len(q), 256):
+            near = np.where(leaves[i : i + 256, self.leaf], q[i : i + 256] @ self.rows.T, -np.inf)
+            if self.rank <= near.shape[1]:
+                out[i : i + 256] = np.partition(near, near.shape[1] - self.rank, axis=1)[:, near.shape[1] - self.rank]
+        return out
+
+
+def _scan(model: Quantiser, searched: int, kept: int, ids: np.ndarray, leaf: np.ndarray, packed: np.ndarray, query_ids: np.ndarray, keys: np.ndarray, q: np.ndarray, floors: np.ndarray):
+    """For each query the key, ids and approximate scores of the kept best of a group's rows that reach its floor; rows are in id order."""
     base = q @ model.centres.T
     if searched < base.shape[1]:
         # leaves that a query doesn't search are out of its reach
@@ -187,7 +217,7 @@ def _scan(model: Quantiser, searched: int, kept: int, ids: np.ndarray, leaf: np.
                 least = np.partition(near, len(near) - kept)[len(near) - kept]
                 above, level = np.flatnonzero(near > least), np.flatnonzero(near == least)
                 at = np.concatenate((above, level[: kept - len(above)]))
-            at = at[np.isfinite(near[at])]
+            at = at[np.isfinite(near[at]) & (near[at] >= floors[j])]
             yield keys[j], ids[at], near[at]
 
 
@@ -213,6 +243,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, kept: int = 200, cove
     leaves, width = len(quantiser.centres), quantiser.blocks // 2
     searched = leaves_needed(quantiser, fitted, k, coverage)
     model = spark.sparkContext.broadcast(quantiser)  # centres and codebooks of fixed size
+    floors = spark.sparkContext.broadcast(Floors(quantiser, fitted, kept, total))  # at most FLOOR_ROWS vectors
 
     code_schema = pa.schema([("vec_id", pa.int64()), ("leaf", pa.int32()), ("salt", pa.int32()), ("code", pa.binary())])
 
@@ -234,23 +265,27 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, kept: int = 200, cove
     groups = int((base + parts).max())
     table = F.broadcast(spark.createDataFrame([(i, int(base[i]), int(parts[i])) for i in range(leaves)], "leaf int, base int, parts int"))
     null = lambda t: F.lit(None).cast(t)
-    left = coded.join(table, "leaf").select((F.col("base") + F.pmod("salt", F.col("parts"))).cast("int").alias("g"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), null("long").alias("key"), "leaf", "code", null("array<float>").alias("query"))
+    left = coded.join(table, "leaf").select((F.col("base") + F.pmod("salt", F.col("parts"))).cast("int").alias("g"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), null("long").alias("key"), "leaf", "code", null("array<float>").alias("query"), null("float").alias("floor"))
 
     @tidy
     def route(batches):
         for batch in batches:
-            score = _matrix(batch.column("query")) @ model.value.centres.T
+            asking = _matrix(batch.column("query"))
+            score = asking @ model.value.centres.T
             best = np.argsort(-score, axis=1, kind="stable")[:, :searched]
             met = np.zeros((len(best), groups), bool)
             for extra in range(int(parts.max())):
                 row, at = np.nonzero(parts[best] > extra)
                 met[row, base[best[row, at]] + extra] = True
             at, g = np.nonzero(met)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in ("query_id", "key", "query")), pa.array(g.astype(np.int32))], names=["query_id", "key", "query", "g"])
+            mine = np.zeros(score.shape, bool)
+            np.put_along_axis(mine, best, True, 1)
+            floor = floors.value.of(asking, mine)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in ("query_id", "key", "query")), pa.array(g.astype(np.int32)), pa.array(floor[at])], names=["query_id", "key", "query", "g", "floor"])
 
     directed = asked.select("query_id", "key", F.transform("query", lambda x: (x / size("query")).cast("float")).alias("query"))
-    routed = directed.mapInArrow(route, "query_id long, key long, query array<float>, g int")
-    right = routed.select("g", F.lit(1).alias("kind"), F.col("query_id").alias("id"), "key", null("int").alias("leaf"), null("binary").alias("code"), "query")
+    routed = directed.mapInArrow(route, "query_id long, key long, query array<float>, g int, floor float")
+    right = routed.select("g", F.lit(1).alias("kind"), F.col("query_id").alias("id"), "key", null("int").alias("leaf"), null("binary").alias("code"), "query", "floor")
     found_schema = pa.schema([("key", pa.int64()), ("vec_id", pa.int64()), ("near", pa.float32())])
 
     @tidy
@@ -275,7 +310,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, kept: int = 200, cove
                     order = np.argsort(own, kind="stable")
                     ready, held = (own[order], leaf[order], np.ascontiguousarray(code[order].T)), []
                 if ready is not None:
-                    best = list(_scan(model.value, searched, kept, *ready, ids, part.column("key").to_numpy(), _matrix(part.column("query"))))
+                    best = list(_scan(model.value, searched, kept, *ready, ids, part.column("key").to_numpy(), _matrix(part.column("query")), part.column("floor").to_numpy()))
                     key = np.repeat(np.array([b[0] for b in best], np.int64), [len(b[1]) for b in best])
                     yield batch_of(found_schema, key=key, vec_id=np.concatenate([b[1] for b in best]), near=np.concatenate([b[2] for b in best]))
 
