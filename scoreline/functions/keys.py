@@ -64,17 +64,21 @@ def same(left: DataFrame, right: DataFrame, on: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (left[c].eqNullSafe(right[f"_{c}"]) for c in on))
 
 
-def in_blocks(df: DataFrame, keys: list[str], date: str = "game_date", id_: str = "game_id") -> DataFrame:
-    """df with `_block`, numbers that follow the order of (keys, date, id), nulls first. Written.
+def cut(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with `_block`, numbers that follow the given order. Written.
 
-    Spark's range partitioner cuts the order by a sample, so blocks are even whatever the ids' type
-    and however many rows a day or a key has; equal (keys, date, id) share a block. Written, so that
-    every use sees the same cuts.
+    Spark's range partitioner cuts the order by a sample, so blocks are even whatever the columns'
+    types and however many rows a day or a key has; rows that are equal in order share a block. Written,
+    so that every use sees the same cuts.
     """
-    order = [F.col(c).asc_nulls_first() for c in (*keys, date, id_)]
     return stored(df.repartitionByRange(*order).withColumn("_block", F.spark_partition_id()))
 
 
+def in_blocks(df: DataFrame, keys: list[str], date: str = "game_date", id_: str = "game_id") -> DataFrame:
+    """df cut by (keys, date, id), nulls first."""
+    return cut(df, [F.col(c).asc_nulls_first() for c in (*keys, date, id_)])
+
+
 def with_position(df: DataFrame, keys: list[str], date: str = "game_date", id_: str = "game_id") -> DataFrame:
     """df with `position` (from 0) and `rows` in its key's whole order, without ordering a key in one task.
 

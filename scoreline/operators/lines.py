@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import SIDES, appearances, beside, epoch, team_window
+from ..functions.keys import SIDES, appearances, beside, cut, epoch, same, team_window
 from ..functions.scalars import half_points
 
 # Fixed values by sport: clip bounds and the averages of a team without history.
@@ -76,18 +78,46 @@ def projected_totals(props: DataFrame, stat: str, least: int = 6) -> DataFrame:
     return players.groupBy("game_id").agg(F.sum("line").alias("s"), F.count("*").alias("players")).select("game_id", "players", F.when(F.col("players") >= least, F.round("s", 1)).alias("projected_total"))
 
 
+GRAM = 3
+
+
+def _grams(name: Column) -> Column:
+    """All runs of one to GRAM characters of a name, and the empty one."""
+
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *(runs(n) for n in range(1, GRAM + 1))))
+
+
+def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """(part, whole): each distinct lower-case name of parts with each of wholes that it stands in.
+
+    A q-gram index of the wholes: a part has all its grams in a whole that holds it, so it is looked up by
+    the rarest of its longest grams alone, and only what shares that one is compared.
+    """
+    index = wholes.select("whole", F.explode(_grams(F.col("whole"))).alias("gram"))
+    found = index.groupBy("gram").agg(F.count("*").alias("n"))
+    size = F.least(F.length("part"), F.lit(GRAM))
+    own = parts.select("part", F.explode(F.filter(_grams(F.col("part")), lambda g: F.length(g) == size)).alias("gram"))
+    # a gram that no whole has rules its part out; it counts 0
+    rarest = own.join(found, "gram", "left").groupBy("part").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return rarest.join(index, "gram").where(F.col("whole").contains(F.col("part"))).select("part", "whole")
+
+
 def fuzzy_match(requests: DataFrame, board: DataFrame) -> DataFrame:
     """requests with the first board row whose teams both contain, or are contained in, theirs.
 
-    Names are matched as substrings, which no key expresses; the board of a day is one row per game
-    and its distinct names are what is compared, so requests meet the board by equal names. board:
-    (seq, board_home, board_away, line).
+    Distinct names are compared, by shared grams (contained), so requests meet the board by equal names
+    and no name meets all others. board: (seq, board_home, board_away, line).
     """
-    names = requests.select(F.col("home_team").alias("name")).union(requests.select("away_team")).where("name is not null").distinct()
-    listed = board.select(F.col("board_home").alias("listed")).union(board.select("board_away")).where("listed is not null").distinct()
-    # both sides are distinct team names, a few hundred at most for any number of rows
-    a, b = F.lower("name"), F.lower("listed")
-    alike = names.join(F.broadcast(listed), a.contains(b) | b.contains(a))
+    distinct = lambda df, *cols: reduce(lambda a, b: a.union(b), [df.select(F.col(c).alias("name")) for c in cols]).where("name is not null").distinct()
+    names, listed = distinct(requests, "home_team", "away_team"), distinct(board, "board_home", "board_away").withColumnRenamed("name", "listed")
+    a, b = names.select(F.lower("name").alias("a")).distinct(), listed.select(F.lower("listed").alias("b")).distinct()
+    inner = contained(b.select(F.col("b").alias("part")), a.select(F.col("a").alias("whole"))).select(F.col("whole").alias("a"), F.col("part").alias("b"))
+    outer = contained(a.select(F.col("a").alias("part")), b.select(F.col("b").alias("whole"))).select(F.col("part").alias("a"), F.col("whole").alias("b"))
+    low = inner.unionByName(outer).distinct()
+    alike = low.join(names.withColumn("a", F.lower("name")), "a").join(listed.withColumn("b", F.lower("listed")), "b")
     home = alike.select(F.col("name").alias("home_team"), F.col("listed").alias("board_home"))
     away = alike.select(F.col("name").alias("away_team"), F.col("listed").alias("board_away"))
     # the first row of each pair of listed names is all that can win
@@ -100,13 +130,23 @@ def fuzzy_match(requests: DataFrame, board: DataFrame) -> DataFrame:
 def latest_quote(asked: DataFrame, quotes: DataFrame, keys: list[str], seconds: int = 900) -> DataFrame:
     """asked (keys, at, request_id) with the last quote at or before `at`, at most `seconds` old.
 
-    Quotes are (keys, at, line). As-of by union and one window; equal times go to the quote.
+    Quotes are (keys, at, line); equal times go to the quote. As-of by blocks: quotes and requests are
+    cut along (keys, time), each block's last quote is carried to the blocks of its key behind it (a row
+    per block), and only inside a block are rows ordered. So a hot key is many tasks.
     """
     t = epoch("at")
     q = quotes.select(*keys, t.alias("t"), F.lit(0).alias("kind"), F.col("line").alias("q_line"), F.lit(None).cast("long").alias("request_id"))
     r = asked.select(*keys, t.alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("q_line"), F.col("request_id").cast("long"))
-    w = Window.partitionBy(*keys).orderBy("t", "kind", F.col("q_line").asc_nulls_last(), F.col("request_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("kind") == 0, F.struct("t", "q_line")), ignorenulls=True).over(w)
-    out = q.unionByName(r).withColumn("last", last).where("kind = 1")
+    order = [F.col("t").asc_nulls_first(), F.col("kind").asc(), F.col("q_line").asc_nulls_last(), F.col("request_id").asc_nulls_first()]
+    rows = cut(q.unionByName(r), [*(F.col(k).asc_nulls_first() for k in keys), *order])
+    own = [*keys, "_block"]
+    quote = F.when(F.col("kind") == 0, F.struct("t", "q_line"))
+    inside = Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumn("last", F.last(quote, ignorenulls=True).over(inside)).where("kind = 1")
+    # the last in order: the latest time, of equal times a null line, else the largest
+    ends = rows.groupBy(*own).agg(F.max_by(F.struct("t", "q_line"), F.when(F.col("kind") == 0, F.struct("t", F.col("q_line").isNull().alias("e"), "q_line"))).alias("end"))
+    along = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*(F.col(c).alias(f"_{c}") for c in own), F.last("end", ignorenulls=True).over(along).alias("carried"))
+    out = local.join(ends, same(local, ends, own)).withColumn("last", F.coalesce("last", "carried"))
     fresh = F.col("t") - F.col("last.t") <= seconds
     return out.select(*keys, "request_id", F.when(fresh, F.col("last.q_line")).alias("line"))
