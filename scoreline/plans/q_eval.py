@@ -307,7 +307,7 @@ def s2_importance(spark, sf):
     """The features that each sport's model leans on most, by its own importances."""
     from . import q_models
 
-    return _united(monitor.top_features(training.importance(done.model, q_models.FEATURES, q_models.SETTINGS), 20).withColumn("sport", F.lit(sport)) for sport, _, done in q_models._trained(q_models.model_games(spark, sf)))
+    return _united(monitor.top_features(training.importance(m.model, m.features, q_models.SETTINGS), 20).withColumn("sport", F.lit(sport)) for sport, _, m in q_models._models(spark, sf))
 
 
 @query("s3_top_variance", _LONG + f", v AS (SELECT feature, var_samp(value) AS variance FROM lng WHERE NOT cur GROUP BY feature) SELECT feature, {s6('variance', 'variance')} FROM v ORDER BY variance DESC, feature LIMIT 3")

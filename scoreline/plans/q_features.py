@@ -11,6 +11,7 @@ from ..operators import composites, lines, matchup, rolling, runs, schedule
 from ..sources import adapt, store
 from . import features
 from .base import G, T, query, r6, rounded, s6, s9
+from .concurrent import each
 
 
 def _side(side: str, frame: str, name: str = "w", order: str = "game_date, game_id") -> str:
@@ -317,12 +318,20 @@ def c9(spark, sf):
 _C10 = ["points", "pace", "trueShooting"]
 
 
+#: Statistics of each sport that the pseudo box scores have.
+SPORT_STATS = {"nba": ["points", "pace", "trueShooting", "fieldGoalAttempts"], "nfl": ["pointsScored", "yardsPerPlay"], "mlb": ["runsScored", "homeRuns", "kBbRatio", "flyBallRate"]}
+
+
+def sport_matrix(spark, sf, sport):
+    """The whole matrix of a sport."""
+    games = adapt.games(spark, sf).where(F.col("sport") == sport)
+    return features.build_features(store.stored(adapt.with_stats(games, *SPORT_STATS[sport])), sport, SPORT_STATS[sport], parks(spark, sf))
+
+
 @query("c10_feature_matrix")
 def c10_matrix(spark, sf):
     """The whole matrix of every sport, exponential means included; each family has a twin of its own above."""
-    stats = {"nba": ["points", "pace", "trueShooting", "fieldGoalAttempts"], "nfl": ["pointsScored", "yardsPerPlay"], "mlb": ["runsScored", "homeRuns", "kBbRatio", "flyBallRate"]}
-    games = adapt.games(spark, sf)
-    parts = [features.build_features(store.stored(adapt.with_stats(games.where(F.col("sport") == sport), *names)), sport, names, parks(spark, sf)) for sport, names in stats.items()]
+    parts = each(spark, lambda sport: store.stored(sport_matrix(spark, sf, sport)), SPORT_STATS)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

@@ -6,46 +6,61 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..operators import rolling, training
-from ..sources import adapt, store
+from ..operators import drift, rolling, training
+from ..sources import adapt, store, tables
 from ..streaming import jobs
-from . import backtest
-from .base import P, query, rounded, s6
+from . import backtest, retrain
+from .base import G, P, query, rounded, s6
+from .concurrent import each
+from .features import DROPPED
+from .q_features import SPORT_STATS, sport_matrix
 
-FEATURES = ["home_score_roll5_mean", "away_score_roll5_mean", "home_score_roll10_mean", "away_score_roll10_mean", "total_line"]
 SETTINGS = training.Settings()
 #: Few shallow trees, for tests of the jobs.
 QUICK = training.Settings(rounds=(5, 5), depths=(3, 3), small_rounds=(3, 3), small_depths=(2, 2))
+#: Folder of the models of an application's input, so that queries share one training.
+_TRAINED: dict[tuple, str] = {}
+_METRICS = "sport string, n long, accuracy double, log_loss double, brier double, mean_edge double, sure_accuracy double, sure_n long, auc double, lift double"
 
 
-def model_games(spark, sf):
-    """Games of all sports with features."""
-    g = rolling.rolling(adapt.games(spark, sf), ["score"], (5, 10), ())
-    return store.stored(g.select("sport", "game_id", "game_date", "season", "total_line", "result_over", *FEATURES[:4]))
+def _united(parts):
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _sports(g):
-    """(sport, its games) of each of the few sports."""
-    return [(r["sport"], g.where(F.col("sport") == r["sport"])) for r in g.select("sport").distinct().orderBy("sport").collect()]
+def registry(spark, sf) -> str:
+    """A registry with a model of each sport that has games enough, trained on its whole feature matrix, and the matrices."""
+    key = (spark.sparkContext.applicationId, sf, repr(SETTINGS), training.LEAST)
+    folder = _TRAINED.get(key)
+    if folder and not training.listed(spark, folder).isEmpty():
+        return folder
+    folder = store.shared_path(spark)
 
+    def train(sport):
+        path = f"{folder}/matrix/{sport}"
+        sport_matrix(spark, sf, sport).write.parquet(path)
+        games = spark.read.parquet(path)
+        return sport, training.train(games, tables.feature_columns(games, DROPPED), SETTINGS)
 
-def _trained(g):
-    """(sport, games, trained) of each sport with games enough for a model."""
-    found = [(sport, games, training.train(games, FEATURES, SETTINGS)) for sport, games in _sports(g)]
-    found = [f for f in found if f[2] is not None]
-    if not found:
+    done = [(sport, t) for sport, t in each(spark, train, SPORT_STATS) if t is not None]
+    if not done:
         raise ValueError(f"no sport has {training.LEAST} labelled games")
-    return found
+    for sport, t in done:
+        training.save(t, sport, "v1", folder)
+    _TRAINED[key] = folder
+    return folder
 
 
-def _united(parts):
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def _models(spark, sf):
+    """(sport, its matrix, its registered model)."""
+    folder = registry(spark, sf)
+    sports = [r["sport"] for r in training.listed(spark, folder).where("active").select("sport").orderBy("sport").collect()]
+    return [(s, spark.read.parquet(f"{folder}/matrix/{s}"), training.load(spark, folder, s)) for s in sports]
 
 
 @query("m1_ensemble")
 def m1(spark, sf):
-    held = lambda games: rolling.time_split(games, ["sport"]).where("part = 'holdout'")
-    return _united(training.score(done.model, held(games), FEATURES, SETTINGS) for _, games, done in _trained(model_games(spark, sf))).select("game_id", "prob_a", "prob_b")
+    held = lambda games: rolling.time_split(games.where("result_over is not null"), ["sport"]).where("part = 'holdout'")
+    return _united(training.score(m.model, held(games), m.features, SETTINGS).select("game_id", "prob_a", "prob_b") for _, games, m in _models(spark, sf))
 
 
 _AB = P + ", ab AS (SELECT prediction_id, prob_over AS a, CAST(game_id * 104729 % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS b FROM predictions), bl AS (SELECT *, 0.5::DOUBLE * a + 0.5::DOUBLE * b AS p, abs(a - b) / 2 AS h FROM ab)\n"
@@ -76,12 +91,21 @@ def m4(spark, sf):
 
 @query("m5_importance")
 def m5(spark, sf):
-    return _united(training.importance(done.model, FEATURES, SETTINGS).withColumn("sport", F.lit(sport)) for sport, _, done in _trained(model_games(spark, sf)))
+    return _united(training.importance(m.model, m.features, SETTINGS).withColumn("sport", F.lit(sport)) for sport, _, m in _models(spark, sf))
 
 
 @query("m6_train")
 def m6(spark, sf):
-    return _united(done.metrics for _, _, done in _trained(model_games(spark, sf)))
+    return training.listed(spark, registry(spark, sf)).select(F.from_json("metrics", _METRICS).alias("m")).select("m.*")
+
+
+_ENOUGH = f"{G}, n AS (SELECT sport, count(*) AS n FROM games GROUP BY sport)"
+
+
+@query("m6_registered", _ENOUGH + f" SELECT sport, n AS rows, n - CAST(floor(n * 0.85::DOUBLE) AS BIGINT) AS held FROM n WHERE n >= {training.LEAST}")
+def m6_registered(spark, sf):
+    """Labelled games of each registered model, and those its metrics are of."""
+    return training.listed(spark, registry(spark, sf)).select("sport", "rows", F.from_json("metrics", _METRICS)["n"].alias("held"))
 
 
 @query("m7_registry", P + ", r AS (SELECT sport, model_version AS version, max(game_date) AS trained_at FROM predictions GROUP BY sport, model_version), l AS (SELECT sport, max_by(version, (trained_at, version)) AS v FROM r GROUP BY sport) SELECT sport, version, trained_at, version = v AS active FROM r JOIN l USING (sport)")
@@ -90,21 +114,50 @@ def m7(spark, sf):
     return training.active_runs(r)
 
 
+def predictions(spark, sf):
+    """The prediction table of all games by the registered models, written: (sport, game_id, model_version, prob, low, high), null without a model."""
+    parts = [
+        training.score(m.model, training.impute(games, m.medians, m.features), m.features, SETTINGS).select("sport", "game_id", F.lit(m.version).alias("model_version"), "prob", "low", "high")
+        for _, games, m in _models(spark, sf)
+    ]
+    games, null = adapt.games(spark, sf), F.lit(None)
+    rest = games.join(_united(p.select("sport") for p in parts).distinct(), "sport", "left_anti").select("sport", "game_id", null.cast("string").alias("model_version"), *(null.cast("double").alias(c) for c in ("prob", "low", "high")))
+    return store.stored(_united([*parts, rest]))
+
+
 @query("m8_batch_scoring")
 def m8(spark, sf):
     """A row for each game; null values where its sport has too few games for a model."""
-    asked = store.stored(adapt.games(spark, sf).select("sport", "game_id", "total_line"))
-    trained = _trained(model_games(spark, sf))
-    parts = [training.score(done.model, training.impute(asked.where(F.col("sport") == sport), done.medians, FEATURES), FEATURES, SETTINGS) for sport, _, done in trained]
-    null = F.lit(None).cast("double")
-    rest = asked.where(~F.col("sport").isin([sport for sport, _, _ in trained])).select("game_id", null.alias("prob"), null.alias("low"), null.alias("high"))
-    return _united([*(p.select("game_id", "prob", "low", "high") for p in parts), rest])
+    return predictions(spark, sf).select("game_id", "prob", "low", "high")
+
+
+@query("m8_prediction_table", _ENOUGH + f" SELECT sport, game_id, CASE WHEN n >= {training.LEAST} THEN 'v1' END AS model_version, CASE WHEN n >= {training.LEAST} THEN true END AS valid FROM games JOIN n USING (sport)")
+def m8_table(spark, sf):
+    """valid: a probability with its interval in [0, 1]."""
+    p = predictions(spark, sf)
+    return p.select("sport", "game_id", "model_version", (F.col("prob").between(0, 1) & (F.col("low") >= 0) & (F.col("low") <= F.col("high")) & (F.col("high") <= 1)).alias("valid"))
 
 
 @query("m9_backtest")
 def m9(spark, sf):
-    done = [(sport, backtest.run(games, FEATURES, settings=SETTINGS)) for sport, games in _sports(model_games(spark, sf))]
-    return _united(b.folds.withColumn("sport", F.lit(sport)) for sport, b in done if b.status == "ok")
+    folder = registry(spark, sf)
+
+    def run(sport):
+        games = spark.read.parquet(f"{folder}/matrix/{sport}")
+        return sport, backtest.run(games, tables.feature_columns(games, DROPPED), settings=SETTINGS)
+
+    return _united(b.folds.withColumn("sport", F.lit(sport)) for sport, b in each(spark, run, SPORT_STATS) if b.status == "ok")
+
+
+@query("d6_registered_drift")
+def d6_registered(spark, sf):
+    """Each sport's last 300 games against what its registered model was trained on, and the decision."""
+    models = _models(spark, sf)
+    recent = lambda games: rolling.recent_split(games, ["sport"], 300).where("recent")
+    report = store.stored(_united(retrain.drift_report(m, recent(games), sport) for sport, games, m in models))
+    found = report.groupBy("sport").agg(F.count("*").alias("checked"), F.count_if("drifted").alias("drifted_features"))
+    have = adapt.games(spark, sf).select("sport").distinct().withColumn("trained", F.col("sport").isin([s for s, _, _ in models]))
+    return drift.decision(report, have).join(found, "sport", "left")
 
 
 # ------------------------------------------------------------------ streams over the events
