@@ -217,6 +217,17 @@ def a12(spark, sf):
     return spark.read.schema("game_id long, sport string, home_score long, total_line double").json(path)
 
 
+@query("a12_quarantine", f"{G}SELECT game_id, game_id % 10 = 0 AS bad FROM games")
+def a12_quarantine(spark, sf):
+    """Every tenth document breaks off or has text for a number; good and quarantined ones are all there were."""
+    line = F.to_json(F.struct("game_id", "sport", "home_score", "total_line"))
+    broken = F.when(F.col("game_id") % 20 == 0, F.substring(line, 1, 20)).when(F.col("game_id") % 10 == 0, F.regexp_replace(line, '"home_score":', '"home_score":"many","points":')).otherwise(line)
+    path = store.shared_path(spark)
+    good = feeds.quarantine(adapt.games(spark, sf).select("game_id", broken.alias("json")), "struct<game_id bigint, sport string, home_score bigint, total_line double>", path)
+    bad = spark.read.schema("game_id long, json string, seen_at timestamp").parquet(path)
+    return good.select("game_id", F.lit(False).alias("bad")).unionByName(bad.select("game_id", F.lit(True).alias("bad")))
+
+
 @query("a13_recent_window", f"{G}SELECT game_id, game_date FROM games WHERE game_date >= TIMESTAMP '1998-01-01' - INTERVAL 90 DAY")
 def a13(spark, sf):
     return tables.recent(adapt.games(spark, sf), F.expr("TIMESTAMP_NTZ'1998-01-01 00:00:00'"), 90).select("game_id", "game_date")

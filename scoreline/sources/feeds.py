@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clock_minutes, first_of, fraction, injury_kind, iso_time, possessions, safe_float, safe_int, second_of, wind_mph
+from .store import stored
 
 ODDS = "struct<id string, home_team string, away_team string, commence_time string, bookmakers array<struct<key string, markets array<struct<key string, outcomes array<struct<name string, point double, price double>>>>>>>"
 STATISTICS = "array<struct<label string, name string, displayValue string>>"
@@ -107,6 +108,23 @@ def _parsed(df: DataFrame, schema: str, column: str = "json") -> DataFrame:
     return df.select(F.from_json(column, schema).alias("j")).where("j is not null")
 
 
+def rescued(df: DataFrame, schema: str, column: str = "json") -> DataFrame:
+    """df with `bad`, by a schema in the form struct<...>: the documents that don't parse by the schema, as they came; null for good ones and for nulls.
+
+    A document is bad where it is no JSON or a field has another type; fields that the schema lacks don't matter.
+    The feeds below leave bad documents out, so quarantine() them beside.
+    """
+    parsed = F.from_json(column, f"{schema[:-1]}, _bad: string>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return df.withColumn("bad", parsed["_bad"])
+
+
+def quarantine(df: DataFrame, schema: str, path: str, column: str = "json") -> DataFrame:
+    """The good rows of df, whose bad ones are appended to a table at path with the time; good and bad are all rows."""
+    marked = stored(rescued(df, schema, column))
+    marked.where("bad is not null").select(*(c for c in df.columns), F.current_timestamp().alias("seen_at")).write.mode("append").parquet(path)
+    return marked.where("bad is null").select(*df.columns)
+
+
 def _altitude(sport: str, team: Column, altitudes: dict[str, dict[str, float]]) -> Column:
     pairs = [F.when(team == t, F.lit(v)) for t, v in altitudes.get(sport, {}).items()]
     return F.coalesce(*pairs, F.lit(0.0))

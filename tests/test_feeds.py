@@ -95,3 +95,18 @@ def test_rosters_of_players_or_lists_of_them(spark):
     player = lambda name, status: {"displayName": name, "status": {"name": status}, "position": {"abbreviation": "QB"}}
     got = rows(spark, feeds.rosters, {"team": "KC", "athletes": [player("a", "Out"), player("b", "Active"), {"displayName": "c"}]}, {"team": "SF", "athletes": [[player("d", "PUP"), player("e", "10-Day IL")], []]})
     assert sorted((r.team, r.name, r.status, r.is_key) for r in got) == [("KC", "a", "Out", True), ("SF", "d", "PUP", False), ("SF", "e", "10-Day IL", True)]
+
+
+def test_bad_documents_are_kept_apart(spark):
+    from scoreline.sources import store
+
+    docs = ['{"id": "a", "bookmakers": []}', '{"id": "b", "other": 1}', '{"id": "c", "bookm', "no json", '{"id": "d", "bookmakers": 7}', None, ""]
+    df = spark.createDataFrame(list(enumerate(docs)), "n int, json string")
+    bad = {r.n: r.bad for r in feeds.rescued(df, feeds.ODDS).collect()}
+    assert {n for n, b in bad.items() if b is not None} == {2, 3, 4} and all(bad[n] == docs[n] for n in (2, 3, 4))
+    path = store.shared_path(spark)
+    for _ in range(2):
+        good = feeds.quarantine(df, feeds.ODDS, path)
+        assert sorted(r.n for r in good.collect()) == [0, 1, 5, 6]
+    assert sorted(r.n for r in spark.read.parquet(path).collect()) == [2, 2, 3, 3, 4, 4]
+    assert {r.id for r in feeds.odds(good).collect()} == {"a", "b"}
