@@ -89,7 +89,8 @@ def cells_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fit(labelled: DataFrame, sample: int = 2_000, alpha: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Languages in order, and log-probabilities (language, cell), from (doc_id, text, label).
 
-    At most `sample` texts a language; one driver table of languages x CELLS floats.
+    About 1.2 x `sample` texts a language, by a share of hashes (all, where it has fewer; repeated rows share
+    one hash); one driver table of languages x CELLS floats, so labels must be few.
     """
     rows = labelled.where("label is not null and text is not null").select("label", "text", F.xxhash64("doc_id", "text").alias("key"))
     # the smallest keys of each label, by partial aggregation: no label is sorted in one task
