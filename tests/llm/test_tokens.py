@@ -87,3 +87,15 @@ def test_packing_covers_every_id_once(spark, plain, odd_docs, window):
 def test_packing_odd_rows(odd_docs, no_docs):
     assert packing.pack(odd_docs, PATH).where("start = 0").count() == odd_docs.count()
     assert packing.pack(no_docs, PATH).count() == 0
+
+
+def test_texts_beyond_a_mebibyte(spark, plain):
+    text = "Long words, don't end. " * 60_000
+    assert len(text) > 1 << 20
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    want = plain(text, 1)
+    folder, _ = flat_ids.write_ids(docs, PATH, 1)
+    rows = {r.doc_id: r for r in flat_ids.read_ids(spark, folder, with_ids=False).collect()}
+    assert (rows[1].n_tokens, rows[1].ids_crc32, rows[2].start) == (len(want), crc(want), len(want))
+    pieces = sorted((p for p in packing.pack(docs, PATH, end_id=1).collect() if p.doc_id == 1), key=lambda p: p.start)
+    assert sum((np.frombuffer(p.ids, "<u2").tolist() for p in pieces), []) == want
