@@ -16,8 +16,9 @@ from .features import DROPPED
 from .q_features import SPORT_STATS, sport_matrix
 
 SETTINGS = training.Settings()
+_FEW = training.Boosting(rounds=3, leaves=6, depth=3)
 #: Few shallow trees, for tests of the jobs.
-QUICK = training.Settings(rounds=(5, 5), depths=(3, 3), small_rounds=(3, 3), small_depths=(2, 2))
+QUICK = training.Settings(rounds=5, depth=3, small_rounds=3, boosted=_FEW, small_boosted=_FEW)
 #: Folder of the models of an application's input, so that queries share one training.
 _TRAINED: dict[tuple, str] = {}
 _METRICS = "sport string, n long, accuracy double, log_loss double, brier double, mean_edge double, sure_accuracy double, sure_n long, auc double, lift double"
