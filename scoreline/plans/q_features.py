@@ -322,10 +322,15 @@ _C10 = ["points", "pace", "trueShooting"]
 SPORT_STATS = {"nba": ["points", "pace", "trueShooting", "fieldGoalAttempts"], "nfl": ["pointsScored", "yardsPerPlay"], "mlb": ["runsScored", "homeRuns", "kBbRatio", "flyBallRate"]}
 
 
+def sport_games(spark, sf, sport):
+    """A sport's games with its statistics, without counts of plays: they are the game's own, and no statistic of the matrix."""
+    games = adapt.games(spark, sf).where(F.col("sport") == sport)
+    return adapt.with_stats(games, *SPORT_STATS[sport]).drop("home_plays", "away_plays")
+
+
 def sport_matrix(spark, sf, sport):
     """The whole matrix of a sport."""
-    games = adapt.games(spark, sf).where(F.col("sport") == sport)
-    return features.build_features(store.stored(adapt.with_stats(games, *SPORT_STATS[sport])), sport, SPORT_STATS[sport], parks(spark, sf))
+    return features.build_features(store.stored(sport_games(spark, sf, sport)), sport, SPORT_STATS[sport], parks(spark, sf))
 
 
 @query("c10_feature_matrix")
