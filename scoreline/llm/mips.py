@@ -1,6 +1,8 @@
 """Operator 2: maximum inner product search with score-aware quantisation.
 
-Vectors are assigned to leaves (k-means of a bounded sample); what the leaf's centre leaves over is
+Vectors are taken from the sample's median, which moves all scores of a query alike, and split into
+length and direction, so neither a common offset nor rows of far larger values cost precision.
+Directions are assigned to leaves (k-means of a bounded sample); what the leaf's centre leaves over is
 cut into blocks of `BLOCK` dimensions and each block becomes one of 16 codes. Codebooks and codes
 minimise the anisotropic loss: error parallel to the vector, which shifts inner products of near
 queries, costs eta times the orthogonal error. The parallel error couples the blocks, so codes come
@@ -10,9 +12,11 @@ A query looks up its best leaves: as many as the sample's own nearest neighbours
 in `coverage` of cases, so clustered vectors are searched in a few leaves and unstructured ones in
 all. Leaves are dealt into groups of bounded size (a large leaf is cut). Each row's code is sent once, to
 its group; each query is sent once to every group that holds a leaf it searches. A group's codes are
-held in memory, its queries stream past them: each scans two four-bit codes at a time through tables
-of partial inner products and keeps the best. The best of all groups are scored exactly in double
-precision from the original vectors. So for clustered vectors the shuffle grows with the rows; where
+held in memory with its directions, its queries stream past them: each scans two four-bit codes at a time
+through tables of partial inner products. A row whose codes, with what they may hide, reach the query's
+floor is scored from its direction in single precision. What codes may hide is the row's own length left over by
+them times a share that the sample's nearest show, so there is no fixed number of candidates that close scores could overrun.
+The best of all groups are scored exactly in double precision from the original vectors. So for clustered vectors the shuffle grows with the rows; where
 all leaves must be searched, it grows with queries x groups.
 
 Only the models and the number of leaves are fitted on a sample (`sample` rows, those with the
@@ -37,6 +41,8 @@ BLOCK, CODES, THRESHOLD = 2, 16, 0.2
 LEAF_ROWS, MOST_LEAVES, FEWEST_ROWS, MOST_ROWS, AIM = 2048, 4096, 4096, 1 << 18, 64
 #: Vectors that the quantiser works on at once, and rows of the sample that floors are taken from.
 CHUNK, FLOOR_ROWS = 2048, 1 << 14
+#: What single precision may cost a score, of the length of its vector.
+ROUNDING = 1e-5
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -76,13 +82,19 @@ class Quantiser:
         self.blocks = -(-self.dim // BLOCK)
         self.blocks += self.blocks % 2
         self.eta = max(1.0, (self.dim - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
-        self.centres = kmeans(sample, min(leaves, len(sample)), 12, rng)
+        self.centres = self.reach = kmeans(sample, min(leaves, len(sample)), 12, rng)
         leaf = nearest(sample, self.centres)
         left, whole = self._cut(sample - self.centres[leaf]), self._cut(sample)
         self.books = np.stack([kmeans(left[:, b], CODES, rounds, rng) for b in range(self.blocks)])
         for _ in range(3):
             self._refit(left, whole, self._codes(left, whole))
 
+    def weigh(self, sample: np.ndarray, lengths: np.ndarray) -> None:
+        """Leaves are searched by their centres times the mean length of their vectors."""
+        leaf, k = nearest(sample, self.centres), len(self.centres)
+        mean = np.bincount(leaf, lengths, k) / np.maximum(np.bincount(leaf, minlength=k), 1)
+        self.reach = self.centres * mean[:, None]
+
     def _cut(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), self.blocks * BLOCK), np.float32)
         out[:, : self.dim] = x
@@ -123,17 +135,13 @@ class Quantiser:
             used = np.bincount(codes[:, b], minlength=CODES) > 0
             self.books[b, used] = np.linalg.solve(a[used], t[used][:, :, None])[:, :, 0]
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Leaf of each vector, and its codes, two in a byte."""
-        leaf = nearest(x, self.centres)
-        codes = self._codes(self._cut(x - self.centres[leaf]), self._cut(x)).astype(np.uint8)
-        return leaf, codes[:, 0::2] << 4 | codes[:, 1::2]
-
-    def decoded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Leaf of each vector, and the vector that its codes stand for."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Leaf of each vector, its codes, two in a byte, and the vector that they stand for."""
         leaf = nearest(x, self.centres)
         codes = self._codes(self._cut(x - self.centres[leaf]), self._cut(x))
-        return leaf, self.centres[leaf] + self.books[np.arange(self.blocks)[None], codes].reshape(len(x), -1)[:, : self.dim]
+        stands = self.centres[leaf] + self.books[np.arange(self.blocks)[None], codes].reshape(len(x), -1)[:, : self.dim]
+        codes = codes.astype(np.uint8)
+        return leaf, codes[:, 0::2] << 4 | codes[:, 1::2], stands
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """For each query and byte of code, its 256 partial inner products."""
@@ -146,15 +154,29 @@ def _matrix(column: pa.Array, dtype=np.float32, scale: float = 1.0) -> np.ndarra
     return (flat.reshape(len(column), -1) * scale).astype(dtype) if len(column) else np.zeros((0, 0), dtype)
 
 
-def leaves_needed(model: Quantiser, sample: np.ndarray, k: int, coverage: float, queries: int = 256) -> int:
-    """The least number of best leaves that hold `coverage` of the sample's own k nearest."""
-    rng = np.random.default_rng(11)
-    at = rng.choice(len(sample), min(queries, len(sample)), replace=False)
-    near = sample[at] @ sample.T
-    near[np.arange(len(at)), at] = -np.inf
+def directions(x: np.ndarray, middle: np.ndarray | float = 0.0, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors from middle, in single precision, and lengths; a vector of none has the direction 0."""
+    y = x * scale - middle
+    top = np.abs(y).max(axis=1, initial=0.0)
+    y /= np.where(top > 0, top, 1.0)[:, None]
+    length = np.sqrt((y * y).sum(axis=1))
+    return (y / np.where(length > 0, length, 1.0)[:, None]).astype(np.float32), top * length
+
+
+def leaves_needed(model: Quantiser, sample: np.ndarray, k: int, coverage: float, queries: int = 256, lengths: np.ndarray | None = None, asked: np.ndarray | None = None) -> int:
+    """The least number of best leaves that hold `coverage` of the k nearest in the sample of its own vectors, or of those asked."""
+    if asked is None:
+        at = np.random.default_rng(11).choice(len(sample), min(queries, len(sample)), replace=False)
+        near = sample[at] @ sample.T
+        near[np.arange(len(at)), at] = -np.inf
+        asked = sample[at]
+    else:
+        near = asked @ sample.T
+    if lengths is not None:
+        near = near * lengths
     best = np.argpartition(-near, min(k, near.shape[1] - 1), axis=1)[:, :k]
     leaf = nearest(sample, model.centres)
-    rank = np.argsort(np.argsort(-(sample[at] @ model.centres.T), axis=1, kind="stable"), axis=1)
+    rank = np.argsort(np.argsort(-(asked @ model.reach.T), axis=1, kind="stable"), axis=1)
     ranks = np.sort(np.take_along_axis(rank, leaf[best], 1).ravel())
     return int(ranks[min(len(ranks) - 1, int(np.ceil(coverage * len(ranks))) - 1)]) + 1
 
@@ -176,49 +198,72 @@ def _dealt(sizes: dict[int, int], leaves: int, most: int) -> tuple[np.ndarray, n
 
 
 class Floors:
-    """Scores that fewer than all but somewhat more than `kept` rows are expected to reach, from decoded rows of the sample.
+    """Scores that the k best are expected to reach, from rows of the sample, and the share of a row's loss that its codes may hide.
 
-    Of the rows that a query scans, the kept best of all groups lie above the score of its sample row of rank
-    kept x share, but for chance; four deviations and two rows are added to that rank. So what a query sends
+    Of the rows that a query scans, the k best lie above the score of its sample row of rank
+    k x share, but for chance; four deviations and two rows are added to that rank. So what a query sends
     to be ranked doesn't grow with the number of groups, as long as the sample holds some of its best.
     """
 
-    def __init__(self, model: Quantiser, sample: np.ndarray, kept: int, total: int):
-        rows = sample[np.linspace(0, len(sample) - 1, min(len(sample), FLOOR_ROWS)).astype(np.int64)]
-        self.leaf, self.rows = model.decoded(rows)
-        expected = kept * min(1.0, len(rows) / total)
+    def __init__(self, model: Quantiser, sample: np.ndarray, lengths: np.ndarray, k: int, total: int, asked: np.ndarray, coverage: float):
+        at = np.linspace(0, len(sample) - 1, min(len(sample), FLOOR_ROWS)).astype(np.int64)
+        self.rows, self.lengths = sample[at], lengths[at]
+        self.leaf, _, stands = model.encode(self.rows)
+        expected = k * min(1.0, len(self.rows) / total)
         self.rank = int(np.ceil(expected + 4 * np.sqrt(expected))) + 2
+        left = self.rows - stands
+        lost = np.maximum(np.linalg.norm(left, axis=1), 1e-12)
+        best = np.argpartition(-(asked @ self.rows.T) * self.lengths, min(k, len(at) - 1), axis=1)[:, :k]
+        hidden = np.einsum("qd,qkd->qk", asked, left[best]) / lost[best]
+        self.hidden = float(np.clip(np.quantile(hidden, coverage), 0, 1)) if hidden.size else 1.0
 
     def of(self, q: np.ndarray, leaves: np.ndarray) -> np.ndarray:
         """The floor of each query that searches these of its leaves (booleans); -inf where the sample can't tell."""
-        out = np.full(len(q), -np.inf, np.float32)
+        out = np.full(len(q), -np.inf)
         for i in range(0, len(q), 256):
-            near = np.where(leaves[i : i + 256, self.leaf], q[i : i + 256] @ self.rows.T, -np.inf)
+            near = np.where(leaves[i : i + 256, self.leaf], (q[i : i + 256] @ self.rows.T) * self.lengths, -np.inf)
             if self.rank <= near.shape[1]:
                 out[i : i + 256] = np.partition(near, near.shape[1] - self.rank, axis=1)[:, near.shape[1] - self.rank]
         return out
 
 
-def _scan(model: Quantiser, searched: int, kept: int, ids: np.ndarray, leaf: np.ndarray, packed: np.ndarray, query_ids: np.ndarray, keys: np.ndarray, q: np.ndarray, floors: np.ndarray):
-    """For each query the key, ids and approximate scores of the kept best of a group's rows that reach its floor; rows are in id order."""
-    base = q @ model.centres.T
+def _best(near: np.ndarray, most: int) -> np.ndarray:
+    """Places of the largest values; of equal ones the first."""
+    if len(near) <= most:
+        return np.arange(len(near))
+    least = np.partition(near, len(near) - most)[len(near) - most]
+    above, level = np.flatnonzero(near > least), np.flatnonzero(near == least)
+    return np.concatenate((above, level[: most - len(above)]))
+
+
+def _scan(model: Quantiser, searched: int, kept: int, hidden: float, ids: np.ndarray, leaf: np.ndarray, packed: np.ndarray, unit: np.ndarray, length: np.ndarray, lost: np.ndarray, query_ids: np.ndarray, keys: np.ndarray, q: np.ndarray, floors: np.ndarray):
+    """For each query the key, ids and scores of the kept best of a group's rows that reach its floor; rows are in id order."""
+    base, reach = q @ model.centres.T, q @ model.reach.T
     if searched < base.shape[1]:
         # leaves that a query doesn't search are out of its reach
-        np.put_along_axis(base, np.argsort(-base, axis=1, kind="stable")[:, searched:], -np.inf, 1)
+        np.put_along_axis(base, np.argsort(-reach, axis=1, kind="stable")[:, searched:], -np.inf, 1)
+    rounding = ROUNDING * length
+    slack = rounding + hidden * lost
     for i in range(0, len(q), 64):
         for j, tables in enumerate(model.tables(q[i : i + 64]), i):
             near = base[j][leaf]
             for b in range(len(packed)):
                 near += tables[b][packed[b]]
+            near = near * length + slack
             near[ids == query_ids[j]] = -np.inf
-            at = np.arange(len(near))
-            if len(near) > kept:
-                # equal scores leave the smaller ids
-                least = np.partition(near, len(near) - kept)[len(near) - kept]
-                above, level = np.flatnonzero(near > least), np.flatnonzero(near == least)
-                at = np.concatenate((above, level[: kept - len(above)]))
-            at = at[np.isfinite(near[at]) & (near[at] >= floors[j])]
-            yield keys[j], ids[at], near[at]
+            at = np.flatnonzero(np.isfinite(near))
+            floor = floors[j]
+            if len(at) > kept:
+                # the group's own kept-th best, from the rows that look best, may lie above the sample's floor
+                first = at[_best(near[at], kept)]
+                floor = max(floor, (np.einsum("nd,d->n", unit[first], q[j]) * length[first] - rounding[first]).min())
+            at = at[near[at] >= floor]
+            # a row's sum doesn't depend on its place, so copies have equal scores
+            score = np.einsum("nd,d->n", unit[at], q[j]) * length[at]
+            reaches = score + rounding[at] >= floors[j]
+            at, score = at[reaches], score[reaches]
+            first = _best(score, kept)
+            yield keys[j], ids[at[first]], score[first]
 
 
 def search(df: DataFrame, queries: DataFrame, k: int = 20, kept: int = 200, coverage: float = 0.98, sample: int = 40_960, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -233,31 +278,40 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, kept: int = 200, cove
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     size = lambda c: F.array_max(F.transform(c, F.abs))
     dim, largest = rows.agg(F.first(F.size("vec")), F.max(size("vec"))).first()  # one row
-    scale = 1 / largest  # codes are of vectors in reach of single precision; order stays
+    scale = 1 / largest  # lengths stay far from the largest double; order stays
     asked = usable(queries, id_col, vec_col).where(F.size("vec") == dim).groupBy(F.col("vec_id").alias("query_id"), F.col("vec").alias("query")).agg(F.count("*").alias("repeats"))
     asked = written(asked.withColumn("key", F.xxhash64("query_id", "query")))
     share = min(1.0, sample / total)
     got = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share * (1 << 20)).orderBy("vec_id").select("vec").limit(2 * sample).toArrow().column("vec").combine_chunks()  # bounded by sample
-    fitted = _matrix(got, scale=scale) if len(got) else (np.asarray(rows.select("vec").first()[0]) * scale).astype(np.float32)[None]
+    drawn = _matrix(got, np.float64) if len(got) else np.asarray(rows.select("vec").first()[0], np.float64)[None]
+    middle = np.median(drawn * scale, axis=0)
+    fitted, lengths = directions(drawn, middle, scale)
+    some = asked.orderBy("key").select("query").limit(256).toArrow().column("query").combine_chunks()  # 256 rows
+    if not len(some):
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    some = directions(_matrix(some, np.float64))[0]
     quantiser = Quantiser(fitted, int(np.clip(round(total / LEAF_ROWS), 1, MOST_LEAVES)))
-    leaves, width = len(quantiser.centres), quantiser.blocks // 2
-    searched = leaves_needed(quantiser, fitted, k, coverage)
+    leaves = len(quantiser.centres)
+    quantiser.weigh(fitted, lengths)
+    searched = leaves_needed(quantiser, fitted, k, coverage, lengths=lengths, asked=some)
     model = spark.sparkContext.broadcast(quantiser)  # centres and codebooks of fixed size
-    floors = spark.sparkContext.broadcast(Floors(quantiser, fitted, kept, total))  # at most FLOOR_ROWS vectors
+    floors = spark.sparkContext.broadcast(Floors(quantiser, fitted, lengths, k, total, some, 1 - (1 - coverage) / 4))  # at most FLOOR_ROWS vectors
 
-    code_schema = pa.schema([("vec_id", pa.int64()), ("leaf", pa.int32()), ("salt", pa.int32()), ("code", pa.binary())])
+    code_schema = pa.schema([("vec_id", pa.int64()), ("leaf", pa.int32()), ("salt", pa.int32()), ("code", pa.binary()), ("unit", pa.binary()), ("length", pa.float64()), ("lost", pa.float64())])
 
     @tidy
     def encode(batches):
         seen = 0
         for batch in batches:
-            leaf, packed = model.value.encode(_matrix(batch.column("vec"), scale=scale))
+            unit, length = directions(_matrix(batch.column("vec"), np.float64), middle, scale)
+            leaf, packed, stands = model.value.encode(unit)
+            lost = np.linalg.norm(unit - stands, axis=1) * length
             # salts deal a large leaf's rows, also those with one id
             salt = (seen + np.arange(batch.num_rows)) % (1 << 30)
             seen += batch.num_rows
-            yield batch_of(code_schema, vec_id=batch.column("vec_id").to_numpy(), leaf=leaf.astype(np.int32), salt=salt.astype(np.int32), code=[c.tobytes() for c in packed])  # width bytes each
+            yield batch_of(code_schema, vec_id=batch.column("vec_id").to_numpy(), leaf=leaf.astype(np.int32), salt=salt.astype(np.int32), code=[c.tobytes() for c in packed], unit=[u.tobytes() for u in unit], length=length, lost=lost)
 
-    coded = written(rows.mapInArrow(encode, "vec_id long, leaf int, salt int, code binary"))
+    coded = written(rows.mapInArrow(encode, "vec_id long, leaf int, salt int, code binary, unit binary, length double, lost double"))
 
     # at most MOST_LEAVES rows
     sizes = {r["leaf"]: r["n"] for r in coded.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
@@ -265,13 +319,13 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, kept: int = 200, cove
     groups = int((base + parts).max())
     table = F.broadcast(spark.createDataFrame([(i, int(base[i]), int(parts[i])) for i in range(leaves)], "leaf int, base int, parts int"))
     null = lambda t: F.lit(None).cast(t)
-    left = coded.join(table, "leaf").select((F.col("base") + F.pmod("salt", F.col("parts"))).cast("int").alias("g"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), null("long").alias("key"), "leaf", "code", null("array<float>").alias("query"), null("float").alias("floor"))
+    left = coded.join(table, "leaf").select((F.col("base") + F.pmod("salt", F.col("parts"))).cast("int").alias("g"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), null("long").alias("key"), "leaf", "code", "unit", "length", "lost", null("array<float>").alias("query"), null("double").alias("floor"))
 
     @tidy
     def route(batches):
         for batch in batches:
-            asking = _matrix(batch.column("query"))
-            score = asking @ model.value.centres.T
+            asking = directions(_matrix(batch.column("query"), np.float64))[0]
+            score = asking @ model.value.reach.T
             best = np.argsort(-score, axis=1, kind="stable")[:, :searched]
             met = np.zeros((len(best), groups), bool)
             for extra in range(int(parts.max())):
@@ -284,13 +338,13 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, kept: int = 200, cove
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in ("query_id", "key", "query")), pa.array(g.astype(np.int32)), pa.array(floor[at])], names=["query_id", "key", "query", "g", "floor"])
 
     directed = asked.select("query_id", "key", F.transform("query", lambda x: (x / size("query")).cast("float")).alias("query"))
-    routed = directed.mapInArrow(route, "query_id long, key long, query array<float>, g int, floor float")
-    right = routed.select("g", F.lit(1).alias("kind"), F.col("query_id").alias("id"), "key", null("int").alias("leaf"), null("binary").alias("code"), "query", "floor")
-    found_schema = pa.schema([("key", pa.int64()), ("vec_id", pa.int64()), ("near", pa.float32())])
+    routed = directed.mapInArrow(route, "query_id long, key long, query array<float>, g int, floor double")
+    right = routed.select("g", F.lit(1).alias("kind"), F.col("query_id").alias("id"), "key", null("int").alias("leaf"), null("binary").alias("code"), null("binary").alias("unit"), null("double").alias("length"), null("double").alias("lost"), "query", "floor")
+    found_schema = pa.schema([("key", pa.int64()), ("vec_id", pa.int64()), ("near", pa.float64())])
 
     @tidy
     def scan(batches):
-        """Batches come by group, codes before queries: only a group's codes are held."""
+        """Batches come by group, codes before queries: only a group's codes and directions are held."""
         group, held, ready = None, [], None
         for batch in batches:
             g, kind = batch.column("g").to_numpy(), batch.column("kind").to_numpy()
@@ -303,18 +357,19 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, kept: int = 200, cove
                     group, held, ready = g[s], [], None
                 ids = part.column("id").to_numpy()
                 if not kind[s]:
-                    held.append((ids, part.column("leaf").to_numpy(), np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(ids), width)))
+                    raw = lambda c, t: np.frombuffer(b"".join(part.column(c).to_pylist()), t).reshape(len(ids), -1)  # noqa: B023, E731
+                    held.append((ids, part.column("leaf").to_numpy(), raw("code", np.uint8), raw("unit", np.float32), part.column("length").to_numpy(), part.column("lost").to_numpy()))
                     continue
                 if ready is None and held:
-                    own, leaf, code = (np.concatenate(x) for x in zip(*held, strict=True))
+                    own, leaf, code, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
                     order = np.argsort(own, kind="stable")
-                    ready, held = (own[order], leaf[order], np.ascontiguousarray(code[order].T)), []
+                    ready, held = (own[order], leaf[order], np.ascontiguousarray(code[order].T), *(x[order] for x in rest)), []
                 if ready is not None:
-                    best = list(_scan(model.value, searched, kept, *ready, ids, part.column("key").to_numpy(), _matrix(part.column("query")), part.column("floor").to_numpy()))
+                    best = list(_scan(model.value, searched, kept, floors.value.hidden, *ready, ids, part.column("key").to_numpy(), directions(_matrix(part.column("query"), np.float64))[0], part.column("floor").to_numpy()))
                     key = np.repeat(np.array([b[0] for b in best], np.int64), [len(b[1]) for b in best])
                     yield batch_of(found_schema, key=key, vec_id=np.concatenate([b[1] for b in best]), near=np.concatenate([b[2] for b in best]))
 
-    found = left.unionByName(right).repartition(groups, "g").sortWithinPartitions("g", "kind").mapInArrow(scan, "key long, vec_id long, near float")
+    found = left.unionByName(right).repartition(groups, "g").sortWithinPartitions("g", "kind").mapInArrow(scan, "key long, vec_id long, near double")
     best = Window.partitionBy("key").orderBy(F.desc("near"), "vec_id")
     short = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= kept).select("key", "vec_id").distinct()
     pairs = short.join(rows, "vec_id").join(asked, "key")
