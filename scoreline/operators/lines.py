@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import SIDES, appearances, beside, cut, epoch, same, team_window
+from ..functions.keys import SIDES, appearances, beside, cut, same, team_window
 from ..functions.scalars import half_points
 
 # Fixed values by sport: clip bounds and the averages of a team without history.
@@ -128,13 +128,13 @@ def fuzzy_match(requests: DataFrame, board: DataFrame) -> DataFrame:
 
 
 def latest_quote(asked: DataFrame, quotes: DataFrame, keys: list[str], seconds: int = 900) -> DataFrame:
-    """asked (keys, at, request_id) with the last quote at or before `at`, at most `seconds` old.
+    """asked (keys, at, request_id) with the last quote at or before `at`, at most `seconds` old by whole seconds.
 
     Quotes are (keys, at, line); equal times go to the quote. As-of by blocks: quotes and requests are
     cut along (keys, time), each block's last quote is carried to the blocks of its key behind it (a row
     per block), and only inside a block are rows ordered. So a hot key is many tasks.
     """
-    t = epoch("at")
+    t = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', at)")  # a quote later in the same second is not known yet
     q = quotes.select(*keys, t.alias("t"), F.lit(0).alias("kind"), F.col("line").alias("q_line"), F.lit(None).cast("long").alias("request_id"))
     r = asked.select(*keys, t.alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("q_line"), F.col("request_id").cast("long"))
     order = [F.col("t").asc_nulls_first(), F.col("kind").asc(), F.col("q_line").asc_nulls_last(), F.col("request_id").asc_nulls_first()]
@@ -148,5 +148,6 @@ def latest_quote(asked: DataFrame, quotes: DataFrame, keys: list[str], seconds:
     along = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*(F.col(c).alias(f"_{c}") for c in own), F.last("end", ignorenulls=True).over(along).alias("carried"))
     out = local.join(ends, same(local, ends, own)).withColumn("last", F.coalesce("last", "carried"))
-    fresh = F.col("t") - F.col("last.t") <= seconds
+    second = lambda c: F.floor((c - F.pmod(c, F.lit(1_000_000))) / 1_000_000)
+    fresh = second(F.col("t")) - second(F.col("last.t")) <= seconds
     return out.select(*keys, "request_id", F.when(fresh, F.col("last.q_line")).alias("line"))

@@ -76,3 +76,11 @@ def test_ks_of_small_samples_is_exact_and_of_large_ones_near(spark, monkeypatch)
     near = drift.ks(df).first()
     assert near.ks_stat == exact[0].ks_stat and abs(near.ks_pvalue - exact[0].ks_pvalue) < 0.03
     assert "ks_pvalue" in drift.detect(df).columns
+
+
+def test_a_quote_later_in_the_same_second_is_not_seen(spark):
+    at = lambda us: datetime(2024, 1, 1, 12, 0, 5, us)
+    quotes = [("a", at(100), 1.0), ("a", at(900), 2.0), ("b", at(500), 3.0)]
+    asked = [("a", at(500), 1), ("a", at(900), 2), ("b", at(499), 3), ("b", at(999_999) + timedelta(seconds=900), 4), ("b", at(0) + timedelta(seconds=901), 5)]
+    out = lines.latest_quote(spark.createDataFrame(asked, "k string, at timestamp_ntz, request_id long"), spark.createDataFrame(quotes, "k string, at timestamp_ntz, line double"), ["k"])
+    assert {r.request_id: r.line for r in out.collect()} == {1: 1.0, 2: 2.0, 3: None, 4: 3.0, 5: None}
