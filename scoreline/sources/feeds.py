@@ -234,7 +234,8 @@ def nba_boxes(df: DataFrame, altitudes: dict[str, dict[str, float]] = ALTITUDES)
         count = lambda keep, kinds=kinds: F.coalesce(F.size(F.filter(kinds, keep)), F.lit(0)).cast("double")
         out += [*(stat(s, k).alias(f"{s}_{v}") for k, v in NBA_STATS.items()), *(v.alias(f"{s}_{k}") for k, v in rates.items())]
         out += [count(lambda k: k == "key").alias(f"{s}_key_players_out"), count(lambda k: k != "none").alias(f"{s}_players_out")]
-    playoff = F.array_contains(F.transform(F.array(*map(F.lit, NBA_PLAYOFF)), lambda p: F.contains(F.col("gameId"), p)), True)
+    # an id begins with the kind of game and the season; further on the same digits are a regular game's number
+    playoff = F.array_contains(F.transform(F.array(*map(F.lit, NBA_PLAYOFF)), lambda p: F.startswith(F.col("gameId"), p)), True)
     return rows.select(*out, F.lit(1.0).alias("is_dome"), F.lit(72.0).alias("temperature_f"), F.lit(0.0).alias("wind_speed_mph"), _altitude("nba", F.col("homeTeam.teamTricode"), altitudes).alias("altitude_feet"), playoff.cast("double").alias("is_playoff"))
 
 

@@ -110,3 +110,9 @@ def test_bad_documents_are_kept_apart(spark):
         assert sorted(r.n for r in good.collect()) == [0, 1, 5, 6]
     assert sorted(r.n for r in spark.read.parquet(path).collect()) == [2, 2, 3, 3, 4, 4]
     assert {r.id for r in feeds.odds(good).collect()} == {"a", "b"}
+
+
+def test_a_regular_game_numbered_like_a_playoff_season(spark):
+    doc = lambda i: {"gameId": i, "gameStatus": 3, "gameTimeUTC": "2024-01-20T00:00:00Z", "homeTeam": {"teamTricode": "DEN"}, "awayTeam": {"teamTricode": "LAL"}}
+    got = {r.game_id: r.is_playoff for r in rows(spark, feeds.nba_boxes, doc("0022300424"), doc("00223100425"), doc("0042400101"), doc("0042500101"))}
+    assert got == {"0022300424": 0, "00223100425": 0, "0042400101": 1, "0042500101": 1}
