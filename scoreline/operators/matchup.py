@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import epoch, pair_window, side_window
@@ -16,7 +16,7 @@ def league_average(games: DataFrame, stats: list[str]) -> DataFrame:
 
 def head_to_head(games: DataFrame, least: int = 2) -> DataFrame:
     """Over-rate and mean total of the pair's strictly earlier games; 0.5 and the line with fewer than `least`."""
-    w = pair_window().orderBy(epoch()).rangeBetween(-(1 << 62), -1)
+    w = pair_window().orderBy(epoch()).rangeBetween(Window.unboundedPreceding, -1)
     enough = F.count("*").over(w) >= least
     return games.select(
         "*", F.when(enough, F.avg("result_over").over(w)).otherwise(0.5).alias("h2h_over_rate"),

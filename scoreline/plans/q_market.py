@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import appearances
@@ -50,7 +51,7 @@ def j4(spark, sf):
 def j5(spark, sf):
     from ..functions.keys import epoch, pair_window
 
-    w = pair_window().orderBy(epoch()).rangeBetween(-(1 << 62), -1)
+    w = pair_window().orderBy(epoch()).rangeBetween(Window.unboundedPreceding, -1)
     return adapt.games(spark, sf).select("game_id", F.count("*").over(w).alias("meetings"))
 
 

@@ -100,3 +100,19 @@ def test_exponential_means_without_rows_or_stats(spark):
     df = spark.createDataFrame([], "sport string, game_id string, game_date timestamp, home_team string, home_x double")
     assert rolling.exponential(df, "home", ["x"]).count() == 0
     assert rolling.exponential(df, "home", []).columns == df.columns
+
+
+def test_a_pairs_earlier_games_are_a_running_frame(spark):
+    """A frame that slides is summed anew for each day, however long the pair's history."""
+    from scoreline.operators import matchup
+
+    rows = [(i, "nba", 86_400 * (i % 17), i % 2, 2 + i % 3, i % 7, i % 11) for i in range(300)]
+    g = spark.createDataFrame(rows, "game_id long, sport string, t long, home_team long, away_team long, result_over long, total long")
+    g = g.withColumn("game_date", F.expr("timestampadd(SECOND, t, TIMESTAMP_NTZ'2024-01-01 00:00:00')")).withColumn("total_line", F.lit(5.5))
+    out = matchup.head_to_head(g)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, unboundedpreceding$(), -1" in plan and "-4611686018427387904" not in plan
+    for r in out.collect():
+        past = [x for x in rows if (x[3], x[4]) == (r.home_team, r.away_team) and x[2] < r.t]
+        assert r.h2h_over_rate == pytest.approx(sum(x[5] for x in past) / len(past) if len(past) >= 2 else 0.5)
+        assert r.h2h_avg_total == pytest.approx(sum(x[6] for x in past) / len(past) if len(past) >= 2 else 5.5)
