@@ -105,7 +105,8 @@ NBA_USUAL = {"fieldGoalsAttempted": 85.0, "freeThrowsAttempted": 22.0, "rebounds
 
 
 def _parsed(df: DataFrame, schema: str, column: str = "json") -> DataFrame:
-    return df.select(F.from_json(column, schema).alias("j")).where("j is not null")
+    """j of each document, parsed once: Spark copies a projection into what filters or reads its column, but no generator."""
+    return df.select(F.explode(F.array(F.from_json(column, schema))).alias("j")).where("j is not null")
 
 
 def rescued(df: DataFrame, schema: str, column: str = "json") -> DataFrame:
@@ -245,15 +246,20 @@ def board(df: DataFrame) -> DataFrame:
     kind is game_line for statistics of GAME_LEVEL and events of kind game, else player_prop. A player
     without a name is called by the description, else Unknown; a team's own projection takes its team from it.
     """
-    parsed = _parsed(df, BOARD).withColumn("page", F.monotonically_increasing_id())
-    p = parsed.select("page", F.explode("j.data").alias("d")).where("d.type = 'projection'").select("page", "d.id", "d.attributes.*", F.col("d.relationships").alias("r"))
+    of_kind = lambda kind: F.filter("j.included", lambda i: i["type"] == kind)
+    pages = _parsed(df, BOARD).select("j.data", of_kind("new_player").alias("players"), of_kind("game").alias("games"))
+    of = lambda d, *names: F.coalesce(*(d["relationships"][n]["data"]["id"] for n in names))
+    player_id, game_id = lambda d: of(d, "new_player", "player"), lambda d: F.coalesce(of(d, "game", "new_game"), F.lit(""))
+    # a page holds what its rows refer to, so they meet inside it
+    met = lambda d: F.struct(d.alias("d"), F.filter("players", lambda i: i["id"] == player_id(d))["attributes"].alias("players"), F.filter("games", lambda i: i["id"] == game_id(d))["attributes"].alias("games"))
+    p = pages.select(F.inline(F.transform(F.filter("data", lambda d: d["type"] == "projection"), met)))
+    p = p.select("d.id", "d.attributes.*", game_id(F.col("d")).alias("game_id"), "players", "games")
     p = p.withColumn("line", F.coalesce("line_score", "line", F.lit("0")).try_cast("double")).where("line is not null")
-    p = p.withColumns({"player_id": F.coalesce("r.new_player.data.id", "r.player.data.id"), "game_id": F.coalesce("r.game.data.id", "r.new_game.data.id", F.lit("")), "stat_type": F.coalesce(F.nullif("stat_type", F.lit("")), "stat_display_name", F.lit(""))})
-    i = parsed.select("page", F.explode("j.included").alias("i")).select("page", "i.type", "i.id", "i.attributes")
-    players = i.where("type = 'new_player'").select("page", F.col("id").alias("player_id"), F.coalesce(F.nullif("attributes.display_name", F.lit("")), F.nullif("attributes.name", F.lit(""))).alias("player"), F.nullif("attributes.team", F.lit("")).alias("own_team"), F.col("attributes.position").alias("position"))
-    sides = {f"{s}_team": F.coalesce(F.col(f"attributes.metadata.game_info.teams.{s}.abbreviation"), F.lit("")) for s in ("home", "away")}
-    games = i.where("type = 'game'").select("page", F.col("id").alias("game_id"), *(v.alias(k) for k, v in sides.items()), F.col("attributes.start_time").alias("game_start"))
-    out = p.join(players, ["page", "player_id"], "left").join(games, ["page", "game_id"], "left")
+    p = p.withColumn("stat_type", F.coalesce(F.nullif("stat_type", F.lit("")), "stat_display_name", F.lit("")))
+    p = p.select("*", F.explode_outer("players").alias("of_player")).select("*", F.explode_outer("games").alias("of_game"))
+    sides = {f"{s}_team": F.coalesce(F.col(f"of_game.metadata.game_info.teams.{s}.abbreviation"), F.when(F.col("of_game").isNotNull(), "")) for s in ("home", "away")}
+    named = {"player": F.coalesce(F.nullif("of_player.display_name", F.lit("")), F.nullif("of_player.name", F.lit(""))), "own_team": F.nullif("of_player.team", F.lit("")), "position": F.col("of_player.position"), "game_start": F.col("of_game.start_time")}
+    out = p.withColumns(sides | named)
     event = F.coalesce("event_type", F.lit("player"))
     is_game = F.col("stat_type").isin(*GAME_LEVEL) | (event == "game")
     prop = lambda c: F.when(~is_game, c)

@@ -116,3 +116,17 @@ def test_a_regular_game_numbered_like_a_playoff_season(spark):
     doc = lambda i: {"gameId": i, "gameStatus": 3, "gameTimeUTC": "2024-01-20T00:00:00Z", "homeTeam": {"teamTricode": "DEN"}, "awayTeam": {"teamTricode": "LAL"}}
     got = {r.game_id: r.is_playoff for r in rows(spark, feeds.nba_boxes, doc("0022300424"), doc("00223100425"), doc("0042400101"), doc("0042500101"))}
     assert got == {"0022300424": 0, "00223100425": 0, "0042400101": 1, "0042500101": 1}
+
+
+def test_documents_are_parsed_once(spark):
+    df = spark.createDataFrame([("{}",)], "json string")
+    for make in (feeds.odds, feeds.board, feeds.nfl_events, feeds.nba_boxes, lambda d: feeds.team_logs(d, ["rebounds"])):
+        assert make(df)._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_board_rows_meet_what_their_own_page_holds(spark):
+    row = {"type": "projection", "id": "1", "attributes": {"stat_type": "Points", "line_score": 1}, "relationships": {"player": {"data": {"id": "p"}}, "new_game": {"data": {"id": "g"}}}}
+    player = lambda name, type_="new_player": {"type": type_, "id": "p", "attributes": {"name": name}}
+    page = lambda *included: {"data": [row], "included": list(included)}
+    got = rows(spark, feeds.board, page(player("A")), page(player("B"), player("C")), page(player("D", "game")), {"data": [row]}, {"data": None})
+    assert sorted(r.name for r in got) == ["A", "B", "C", "Unknown", "Unknown"]
