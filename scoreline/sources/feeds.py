@@ -64,6 +64,7 @@ NFL_STATS: dict[str, tuple[str, Callable[[Column], Column]]] = {
     "fourthDownConversion": ("4th down efficiency", fraction),
     "penaltyYards": ("Penalties", second_of),
 }
+NFL_LABELS = [*(label for label, _ in NFL_STATS.values()), "Comp/Att", "Total Plays"]
 # Part and name of each baseball statistic in a box score, and whether it is a whole number.
 MLB_STATS = {
     "runsScored": ("batting", "runs", True),
@@ -150,11 +151,17 @@ def stat_of(stats: Column, label: str) -> Column:
     return F.get(F.filter(stats, lambda s: (s["label"] == label) | (s["name"] == label)), F.lit(0))["displayValue"]
 
 
-def nfl_statistics(stats: Column) -> dict[str, Column]:
-    """A side's statistics from its box score, with those derived of them; missing ones are 0 (possession: 30 minutes)."""
-    out = {name: read(stat_of(stats, label)).cast("double") for name, (label, read) in NFL_STATS.items()}
-    attempts = F.greatest(F.lit(1), safe_int(F.split_part(stat_of(stats, "Comp/Att"), F.lit("/"), F.lit(2)), 1))
-    plays = F.greatest(F.lit(1), safe_int(stat_of(stats, "Total Plays"), 60))
+def nfl_values(stats: Column) -> Column:
+    """A side's values by what NFL_STATS and the rates name, as a struct s0, s1, ...: each is looked up once, however often it is read."""
+    return F.struct(*(stat_of(stats, label).alias(f"s{i}") for i, label in enumerate(NFL_LABELS)))
+
+
+def nfl_statistics(values: str) -> dict[str, Column]:
+    """A side's statistics from its column of nfl_values, with those derived of them; missing ones are 0 (possession: 30 minutes)."""
+    value = lambda label: F.col(f"{values}.s{NFL_LABELS.index(label)}")
+    out = {name: read(value(label)).cast("double") for name, (label, read) in NFL_STATS.items()}
+    attempts = F.greatest(F.lit(1), safe_int(F.split_part(value("Comp/Att"), F.lit("/"), F.lit(2)), 1))
+    plays = F.greatest(F.lit(1), safe_int(value("Total Plays"), 60))
     return out | {"pressureRate": out["sacks"] / attempts, "secondsPerPlay": out["timeOfPossession"] * 60.0 / plays, "redZoneConvRate": out["redZoneEfficiency"]}
 
 
@@ -170,12 +177,12 @@ def nfl_events(df: DataFrame, domes: tuple[str, ...] = NFL_DOMES, altitudes: dic
     rows = rows.select("id", "date", "c.venue", "c.weather", side("home", 0).alias("h"), side("away", 1).alias("a"), "teams")
     name = lambda s: F.coalesce(F.col(f"{s}.team.abbreviation"), F.lit("UNK"))
     stats = lambda s, k: F.coalesce(F.get(F.filter("teams", lambda t: t["team"]["abbreviation"] == name(s)), F.lit(0)), F.get("teams", F.lit(k)))["statistics"]
-    rows = rows.withColumns({"home_team": name("h"), "away_team": name("a"), "home_score": safe_int(F.col("h.score")), "away_score": safe_int(F.col("a.score")), "hs": stats("h", 0), "as": stats("a", 1)})
+    rows = rows.withColumns({"home_team": name("h"), "away_team": name("a"), "home_score": safe_int(F.col("h.score")), "away_score": safe_int(F.col("a.score")), "hs": nfl_values(stats("h", 0)), "as": nfl_values(stats("a", 1))})
     out = [F.col("id").alias("game_id"), iso_time(F.col("date")).alias("game_date"), "home_team", "away_team", "home_score", "away_score", (F.col("home_score") + F.col("away_score")).alias("total"),
            F.coalesce("venue.fullName", F.concat("home_team", F.lit("_stadium"))).alias("venue")]
     hurt = lambda s: F.coalesce(F.size(F.filter(f"{s}.injuries", lambda x: F.upper(F.coalesce(F.nullif(x["status"], F.lit("")), x["type"]["name"])).isin("OUT", "DOUBTFUL"))), F.lit(0))
     for s, c, o in (("home", "h", "away"), ("away", "a", "home")):
-        out += [v.alias(f"{s}_{k}") for k, v in nfl_statistics(F.col(f"{c}s")).items()]
+        out += [v.alias(f"{s}_{k}") for k, v in nfl_statistics(f"{c}s").items()]
         out += [F.col(f"{s}_score").cast("double").alias(f"{s}_pointsScored"), F.col(f"{o}_score").cast("double").alias(f"{s}_pointsAllowed"), hurt(c).cast("double").alias(f"{s}_key_players_out")]
     dome = F.col("home_team").isin(*domes) if domes else F.lit(False)
     given = F.nullif(safe_float(F.col("weather.temperature")), F.lit(0.0))
