@@ -32,15 +32,23 @@ def proxy_line(games: DataFrame, low: float, high: float, scored: float, allowed
 
 def recent_form(games: DataFrame, n: int = 20) -> DataFrame:
     """(sport, team, games, mean_scored, mean_allowed) over each team's last n appearances."""
-    latest = Window.partitionBy("sport", "team").orderBy(F.desc("game_date"), F.desc("game_id"))
-    rows = appearances(games).withColumn("r", F.row_number().over(latest)).where(F.col("r") <= n)
+    rows = last_per_key(appearances(games), ["sport", "team"], n, ["game_date", "game_id"])
     return rows.groupBy("sport", "team").agg(F.count("*").alias("games"), F.avg("scored").alias("mean_scored"), F.avg("allowed").alias("mean_allowed"))
 
 
-def last_per_key(df: DataFrame, keys: list[str], n: int, order: list[Column]) -> DataFrame:
-    """The n last rows of each key by `order`; Spark prunes each task to n rows a key first."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+def last_per_key(df: DataFrame, keys: list[str], n: int, order: list[str]) -> DataFrame:
+    """The n last rows of each key, newest first by the columns of order, nulls last.
+
+    Rows are counted by the first of these columns, which gives each key the value from which on it has n rows; only
+    those from there on are sorted. Keys are few: a row of each goes to all tasks.
+    """
+    first, k = order[0], [F.col(c).alias(f"_{c}") for c in keys]
+    counts = df.groupBy(*keys, first).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.desc(first)))
+    edges = counts.withColumn("_upto", upto).groupBy(*k).agg(F.max(F.when(F.col("_upto") >= n, F.col(first))).alias("_edge"))
+    late = df.join(F.broadcast(edges), same(df, edges, keys)).where(F.col("_edge").isNull() | (F.col(first) >= F.col("_edge"))).select(*df.columns)
+    w = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
+    return late.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
 def form_for(new_games: DataFrame, form: DataFrame, scored: float, allowed: float) -> DataFrame:

@@ -175,7 +175,7 @@ def g9(spark, sf):
 
 @query("s4_last_per_key", f"{G}, {_FORM} SELECT sport, team, game_id FROM r WHERE r <= 20")
 def s4(spark, sf):
-    return lines.last_per_key(appearances(adapt.games(spark, sf)), ["sport", "team"], 20, [F.desc("game_date"), F.desc("game_id")]).select("sport", "team", "game_id")
+    return lines.last_per_key(appearances(adapt.games(spark, sf)), ["sport", "team"], 20, ["game_date", "game_id"]).select("sport", "team", "game_id")
 
 
 @query("s6_union_by_name", f"{G}SELECT game_id, total, CASE WHEN game_id % 2 = 0 THEN season END AS season FROM games")
