@@ -37,15 +37,13 @@ def pair_window() -> WindowSpec:
 
 
 def appearances(games: DataFrame, *more: str) -> DataFrame:
-    """Each game twice: (sport, game_id, game_date, side, team, opponent, scored, allowed, *more)."""
+    """Each game twice: (sport, game_id, game_date, side, team, opponent, scored, allowed, *more). Games are computed once for both sides."""
 
-    def half(side: str) -> DataFrame:
+    def half(side: str) -> Column:
         o = OTHER[side]
-        return games.select(
-            "sport", "game_id", "game_date", F.lit(side).alias("side"), F.col(f"{side}_team").alias("team"), F.col(f"{o}_team").alias("opponent"),
-            F.col(f"{side}_score").alias("scored"), F.col(f"{o}_score").alias("allowed"), *more)
+        return F.struct(F.lit(side).alias("side"), F.col(f"{side}_team").alias("team"), F.col(f"{o}_team").alias("opponent"), F.col(f"{side}_score").alias("scored"), F.col(f"{o}_score").alias("allowed"))
 
-    return half("home").unionByName(half("away"))
+    return games.select("sport", "game_id", "game_date", F.inline(F.array(half("home"), half("away"))), *more)
 
 
 def beside(games: DataFrame, team_rows: DataFrame, values: list[str], default=None) -> DataFrame:

@@ -42,8 +42,7 @@ def travel(games: DataFrame, venues: DataFrame) -> DataFrame:
 
     venues: (team, lat, lon), one row per team.
     """
-    hosts = games.select("sport", "game_id", F.col("home_team").alias("host"))
-    rows = appearances(games).join(hosts, ["sport", "game_id"]).join(venues.withColumnRenamed("team", "host"), "host", "left")
+    rows = appearances(games, "home_team").withColumnRenamed("home_team", "host").join(venues.withColumnRenamed("team", "host"), "host", "left")
     w = team_window()
     km = haversine_km(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
     return beside(games, rows.withColumn("travel_km", F.coalesce(km, F.lit(0.0))), ["travel_km"])

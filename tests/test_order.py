@@ -116,3 +116,24 @@ def test_a_pairs_earlier_games_are_a_running_frame(spark):
         past = [x for x in rows if (x[3], x[4]) == (r.home_team, r.away_team) and x[2] < r.t]
         assert r.h2h_over_rate == pytest.approx(sum(x[5] for x in past) / len(past) if len(past) >= 2 else 0.5)
         assert r.h2h_avg_total == pytest.approx(sum(x[6] for x in past) / len(past) if len(past) >= 2 else 5.5)
+
+
+def test_games_are_computed_once_for_both_sides(spark):
+    from scoreline.functions.keys import appearances
+    from scoreline.operators import schedule
+
+    g = spark.createDataFrame([("nba", 1, 1, "A", "B", 3, 4)], "sport string, game_id long, day int, home_team string, away_team string, home_score long, away_score long")
+    g = g.selectExpr("* except (day)", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(day) AS game_date")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan(appearances(g))
+    assert sorted(map(tuple, appearances(g, "home_team").drop("game_date").collect())) == [("nba", 1, "away", "B", "A", 4, 3, "A"), ("nba", 1, "home", "A", "B", 3, 4, "A")]
+    places = spark.createDataFrame([("A", 0.0, 0.0)], "team string, lat double, lon double")
+    assert plan(schedule.travel(g, places)).count("Join") == 2
+
+
+def test_last_rows_of_a_key_are_told_by_counts(spark):
+    from scoreline.operators import lines
+
+    rows = [("a", 1, 1), ("a", 2, 2), ("a", 2, 3), ("a", 2, 4), ("a", 3, 5), ("b", 1, 6), ("b", None, 7), ("b", None, 8), (None, 5, 9), (None, 4, 10), (None, 3, 11), ("c", 9, 12)]
+    got = lines.last_per_key(spark.createDataFrame(rows, "k string, day int, id int"), ["k"], 2, ["day", "id"])
+    assert got.columns == ["k", "day", "id"] and sorted(r.id for r in got.collect()) == [4, 5, 6, 8, 9, 10, 12]
