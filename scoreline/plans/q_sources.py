@@ -115,8 +115,9 @@ def a5(spark, sf):
 @query("a6_pair_team_logs", f"{G}SELECT game_id, home_team, home_score AS home_points, home_plays AS home_plays, away_team, away_score AS away_points, away_plays AS away_plays FROM games WHERE game_id % 10 <> 0")
 def a6(spark, sf):
     g = adapt.games(spark, sf)
-    half = lambda s, word: g.select("game_id", F.concat(_s(f"{s}_team"), F.lit(word), F.lit("x")).alias("matchup"), F.col(f"{s}_team").alias("team"), F.col(f"{s}_score").alias("points"), F.col(f"{s}_plays").alias("plays"))
-    return feeds.pair_logs(half("home", " vs. ").unionByName(half("away", " @ ").where("game_id % 10 <> 0")))
+    half = lambda s, word: F.struct(F.concat(_s(f"{s}_team"), F.lit(word), F.lit("x")).alias("matchup"), F.col(f"{s}_team").alias("team"), F.col(f"{s}_score").alias("points"), F.col(f"{s}_plays").alias("plays"))
+    home, away = half("home", " vs. "), half("away", " @ ")
+    return feeds.pair_logs(g.select("game_id", F.inline(F.when(F.col("game_id") % 10 != 0, F.array(home, away)).otherwise(F.array(home)))))
 
 
 _NBA_FROM = """SELECT *, CAST(home_plays + 60 AS DOUBLE) AS home_shots, CAST(away_plays + 60 AS DOUBLE) AS away_shots, CAST(home_score AS DOUBLE) AS home_pts, CAST(away_score AS DOUBLE) AS away_pts, greatest(1.0::DOUBLE, home_plays + 60 - 10 + home_plays % 20 + 0.44::DOUBLE * 22) AS home_poss, greatest(1.0::DOUBLE, away_plays + 60 - 10 + away_plays % 20 + 0.44::DOUBLE * 22) AS away_poss FROM games WHERE sport = 'nba' AND game_id % 4 <> 0"""
