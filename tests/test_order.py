@@ -137,3 +137,12 @@ def test_last_rows_of_a_key_are_told_by_counts(spark):
     rows = [("a", 1, 1), ("a", 2, 2), ("a", 2, 3), ("a", 2, 4), ("a", 3, 5), ("b", 1, 6), ("b", None, 7), ("b", None, 8), (None, 5, 9), (None, 4, 10), (None, 3, 11), ("c", 9, 12)]
     got = lines.last_per_key(spark.createDataFrame(rows, "k string, day int, id int"), ["k"], 2, ["day", "id"])
     assert got.columns == ["k", "day", "id"] and sorted(r.id for r in got.collect()) == [4, 5, 6, 8, 9, 10, 12]
+
+
+def test_a_side_is_rolled_without_the_other_columns(spark):
+    g = spark.createDataFrame([("nba", i, T0 + timedelta(days=i), "AB"[i % 2], "BA"[i % 2], float(i * 7 % 11), float(i), "x") for i in range(30)], "sport string, game_id long, game_date timestamp_ntz, home_team string, away_team string, home_p double, away_p double, venue string")
+    whole = rolling.rolling(g, ["p"], (3, 5))
+    for side in ("home", "away"):
+        slim = rolling.rolling_side(g, side, ["p"], (3, 5))
+        assert slim.columns == ["sport", "game_id", *(c for c in whole.columns if c.startswith(f"{side}_p_"))]
+        assert sorted(map(str, slim.collect())) == sorted(map(str, whole.select(*slim.columns).collect()))
