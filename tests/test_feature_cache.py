@@ -86,3 +86,26 @@ def test_feeds_own_ids_go_through_to_features_and_splits(spark):
     split = rolling.time_split(features.build_features(games, "nba", STATS), ["sport"])
     assert {r.part: r["count"] for r in split.groupBy("part").count().collect()} == {"train": 57, "validation": 11, "holdout": 12}
     assert "home_pace_ema3" in split.columns and split.where(F.col("part") == "holdout").agg(F.min("game_date")).first()[0].year == 2023
+
+
+def test_features_are_written_once_and_counted_by_running_frames(spark, monkeypatch):
+    from scoreline.operators import schedule
+
+    rng, folder = random.Random(5), store.shared_path(spark)
+    rows = season(rng, 2022) + [("nba_n1", "nba", 2022, None, "a", "b", 1, 2, 3, None, None, 1.0, 2.0), ("nba_n2", "nba", 2022, None, "a", "c", 1, 2, 3, None, None, 1.0, 2.0)]
+    frame = lambda r: store.stored(spark.createDataFrame(r, SCHEMA))
+    widest, stored = [], store.stored
+    monkeypatch.setattr(feature_cache, "stored", lambda df: widest.append(len(df.columns)) or stored(df))
+    feature_cache.refresh(frame(rows), folder, STATS)
+    feature_cache.refresh(frame(rows + season(rng, 2023, 4)), folder, STATS)
+    # only games are stored on the way, no features
+    assert max(widest) <= len(SCHEMA.split(","))
+    games = frame(rows)
+    for df in (schedule.games_within(games), schedule.density(games)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "RangeFrame, -" not in plan
+    # a row without a date counts those without one, as a range frame does; others count by time
+    for r in schedule.games_within(games).collect():
+        same_team = [x for x in rows if x[4] == r.home_team]
+        want = sum(x[3] is None for x in same_team) if r.game_date is None else sum(x[3] is not None and r.game_date - timedelta(days=7) <= x[3] < r.game_date for x in same_team)
+        assert r.home_games_7d == want
