@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -16,6 +17,7 @@ from ..operators import monitor, rolling
 ALPHAS = rolling.ALPHAS
 VALUES = "roll_mean double, ema3 double, ema5 double, run long"
 FORM = f"key long, id long, ts timestamp, value double, {VALUES}, seen long, late boolean"
+_FORM_ROW = Row(*(c.strip().split(" ")[0] for c in FORM.split(",")))
 #: Transforming state needs the store that Spark brings for it.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -57,43 +59,40 @@ def sketch_stream(log: DataFrame, width: str = "5 minutes", delay: str = "10 min
 
 
 class Form(StatefulProcessor):
-    """State of a key: its last n values in a list, and count, exponential means, run and place in one value.
+    """State of a key, in one value: its last n values, count, exponential means, run and place.
 
-    Both are dropped when a key has been silent for `idle_ms`; rows after that have `seen` 0 again.
+    It is read and written once for each key of a micro-batch, as each call costs more than a row does. It is
+    dropped when a key has been silent for `idle_ms`; rows after that have `seen` 0 again.
     """
 
     def __init__(self, n: int, idle_ms: int):
         self.n, self.idle_ms = n, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.values = handle.getListState("values", "value double", self.idle_ms)
-        self.form = handle.getValueState("form", "seen long, ema3 double, ema5 double, run long, ts timestamp, id long", self.idle_ms)
+        self.form = handle.getValueState("form", "values array<double>, seen long, ema3 double, ema5 double, run long, ts long, id long", self.idle_ms)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        parts = [f for f in rows if len(f)]
-        if not parts:
-            return
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers) -> Iterator[Row]:
         own = int(key[0]) if key[0] else None
-        got = pd.concat(parts).sort_values(["ts", "id"])
-        state = self.form.get() if self.form.exists() else None
-        seen, *emas, run, last, last_id = tuple(state) if state is not None else (0, None, None, 0, None, None)
-        values = [r[0] for r in self.values.get()] if self.values.exists() else []
-        out = []
-        for i, ts, v in zip(got["id"].tolist(), got["ts"].tolist(), got["value"].tolist(), strict=True):
-            v = None if v is None or v != v else v
-            if last is not None and (ts, i) <= (last, last_id):
-                out.append((own, i, ts, v, None, None, None, None, seen, True))
+        # nulls first, as in form_batch
+        place = lambda ts, i: (ts is not None, ts or 0, i is not None, i or 0)
+        got = sorted(((place(r.ts, r.id), r) for r in rows), key=itemgetter(0))
+        if not got:
+            return
+        values, seen, ema3, ema5, run, *last = self.form.get() or ([], 0, None, None, 0, None, None)
+        values, emas, reached = list(values), (ema3, ema5), place(*last) if seen else None
+        for at, r in got:
+            v = None if r.value is None or r.value != r.value else r.value
+            if reached is not None and at <= reached:
+                yield _FORM_ROW(own, r.id, r.ts, v, None, None, None, None, seen, True)
                 continue
             known = [x for x in values if x is not None]
-            out.append((own, i, ts, v, sum(known) / len(known) if known else None, *emas, run, seen, False))
+            yield _FORM_ROW(own, r.id, r.ts, v, sum(known) / len(known) if known else None, *emas, run, seen, False)
             values = [*values, v][-self.n :]
             if v is not None:
-                emas = [v if y is None else a * v + (1 - a) * y for a, y in zip(ALPHAS, emas, strict=True)]
+                emas = tuple(v if y is None else a * v + (1 - a) * y for a, y in zip(ALPHAS, emas, strict=True))
                 run = run if v == 0 else max(run, 0) + 1 if v > 0 else min(run, 0) - 1
-            seen, last, last_id = seen + 1, ts, i
-        self.values.put([(v,) for v in values])
-        self.form.update((seen, *emas, run, last, last_id))
-        yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in FORM.split(",")]).astype({"key": "Int64", "run": "Int64", "roll_mean": "Float64", "ema3": "Float64", "ema5": "Float64", "value": "Float64"})
+            seen, last, reached = seen + 1, (r.ts, r.id), at
+        self.form.update((values, seen, *emas, run, *last))
 
     def close(self) -> None:
         pass
@@ -106,9 +105,10 @@ def form_stream(rows: DataFrame, n: int = 20, idle: pd.Timedelta = pd.Timedelta(
     values and six numbers a key. A row not after its key's last one is late: it gets no values and
     changes no state; keep_form recomputes its key. Start the query inside state_store(spark).
     """
-    # a null key is a key: grouped as text, as null keys don't find each other
-    named = rows.select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("name"), "id", "ts", F.col("value").cast("double").alias("value"))
-    return named.groupBy("name").transformWithStateInPandas(Form(n, int(idle.total_seconds() * 1000)), FORM, "Append", "ProcessingTime")
+    # a null key is a key: grouped as text, as null keys don't find each other; times are whole numbers in the state
+    named = rows.select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("name"), "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("value").cast("double").alias("value"))
+    out = named.groupBy("name").transformWithState(Form(n, int(idle.total_seconds() * 1000)), FORM.replace("ts timestamp", "ts long"), "Append", "ProcessingTime")
+    return out.withColumn("ts", F.timestamp_micros("ts"))
 
 
 def form_batch(rows: DataFrame, n: int = 20) -> DataFrame:

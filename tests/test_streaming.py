@@ -132,3 +132,35 @@ def test_rates_of_a_full_hour_are_exact(spark):
     rows = [(t0 + timedelta(milliseconds=80 * i), float(v)) for i, v in enumerate(values)] + [(t0 + timedelta(hours=3), 0.0)]
     got = jobs.drain(jobs.rate_stream(_stream(spark, rows, "ts timestamp, latency double")), store.shared_path(spark)).collect()
     assert [(r.requests, r.p95) for r in got] == [(40_000, 37_999.0)]
+
+
+def test_form_of_a_key_reads_and_writes_its_state_once():
+    from pyspark.sql import Row
+
+    class Handle:
+        """State that counts its calls."""
+
+        calls, state = [], None
+
+        def getValueState(self, *a):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.state
+
+        def update(self, state):
+            self.calls.append("update")
+            self.state = state
+
+    handle, form, row = Handle(), jobs.Form(5, 1000), Row("id", "ts", "value")
+    form.init(handle)
+    rows = _rows()
+    # a row without a time comes first, as in the batch; one that comes later is late
+    own = [row(1000, None, 2.0)] + [row(i, int(t.timestamp() * 1e6), v) for key, i, t, v in rows if key == 1]
+    got = list(form.handleInputRows(("1",), iter(own[10:0:-1] + own[:1]), None))
+    got += list(form.handleInputRows(("1",), iter([*own[11:], row(1001, None, 1.0)]), None))
+    assert handle.calls == ["get", "update"] * 2
+    assert [r.id for r in got if r.late] == [1001]
+    _check([r for r in got if not r.late], _want([(1, r.id, r.ts, r.value) for r in own], 5))
+    assert list(form.handleInputRows(("1",), iter([]), None)) == []
