@@ -164,3 +164,15 @@ def test_form_of_a_key_reads_and_writes_its_state_once():
     assert [r.id for r in got if r.late] == [1001]
     _check([r for r in got if not r.late], _want([(1, r.id, r.ts, r.value) for r in own], 5))
     assert list(form.handleInputRows(("1",), iter([]), None)) == []
+
+
+def test_kept_form_of_rows_without_a_time(spark):
+    t0, folder = datetime(2024, 1, 1), store.shared_path(spark)
+    rows = [(1, 1, None, 2.0), *((1, i, t0 + timedelta(hours=i), float(i % 5 - 2)) for i in range(2, 12)), (2, 20, None, 1.0), (2, 21, t0, 3.0)]
+    late = [(1, 0, None, -1.0), (1, 12, t0 + timedelta(hours=12), 1.0), (2, 22, t0 + timedelta(hours=1), 0.5)]
+    for part in (rows, late):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        jobs.keep_form(spark.readStream.schema(SCHEMA).parquet(f"{folder}/in"), f"{folder}/kept", n=5)()
+    # nulls first: the row 0 comes before the row 1
+    _check(jobs.current_form(spark, f"{folder}/kept").collect(), _want(late[:1] + rows + late[1:], 5))
+    assert [r.id for r in spark.read.parquet(f"{folder}/kept/late").where("late").collect()] == [0]
