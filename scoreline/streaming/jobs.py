@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from functools import partial
+from itertools import batched, chain
 from operator import itemgetter
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,6 +23,10 @@ ALPHAS = rolling.ALPHAS
 VALUES = "roll_mean double, ema3 double, ema5 double, run long"
 FORM = f"key long, id long, ts timestamp, value double, {VALUES}, seen long, late boolean"
 _FORM_ROW = Row(*(c.strip().split(" ")[0] for c in FORM.split(",")))
+#: Rows of a key that go to the state's worker and back as one.
+PACK = 512
+#: Rows that a task gathers at a time to pack them.
+HELD = 1_000_000
 #: Transforming state needs the store that Spark brings for it.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -58,6 +67,30 @@ def sketch_stream(log: DataFrame, width: str = "5 minutes", delay: str = "10 min
     return monitor.latency_sketches(log.withWatermark("ts", delay), width)
 
 
+class Before:
+    """Values of a key before its next row: of its last n values their mean, of all of them exponential means and signed run."""
+
+    __slots__ = ("n", "values", "ema3", "ema5", "run")
+
+    def __init__(self, n: int, values: Iterable[float | None] = (), ema3: float | None = None, ema5: float | None = None, run: int = 0):
+        self.n, self.values, self.ema3, self.ema5, self.run = n, list(values), ema3, ema5, run
+
+    def get(self) -> tuple:
+        known = [x for x in self.values if x is not None] if None in self.values else self.values
+        return sum(known) / len(known) if known else None, self.ema3, self.ema5, self.run
+
+    def add(self, v: float | None) -> None:
+        self.values.append(v)
+        if len(self.values) > self.n:
+            del self.values[0]
+        if v is not None:
+            a, b = ALPHAS
+            self.ema3 = v if self.ema3 is None else a * v + (1 - a) * self.ema3
+            self.ema5 = v if self.ema5 is None else b * v + (1 - b) * self.ema5
+            if v != 0:
+                self.run = max(self.run, 0) + 1 if v > 0 else min(self.run, 0) - 1
+
+
 class Form(StatefulProcessor):
     """State of a key, in one value: its last n values, count, exponential means, run and place.
 
@@ -71,60 +104,109 @@ class Form(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.form = handle.getValueState("form", "values array<double>, seen long, ema3 double, ema5 double, run long, ts long, id long", self.idle_ms)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers) -> Iterator[Row]:
-        own = int(key[0]) if key[0] else None
+    def folded(self, rows: Iterable[tuple]) -> Iterator[tuple]:
+        """The columns of FORM after the key, for (id, ts, value) of the key."""
         # nulls first, as in form_batch
         place = lambda ts, i: (ts is not None, ts or 0, i is not None, i or 0)
-        got = sorted(((place(r.ts, r.id), r) for r in rows), key=itemgetter(0))
+        got = sorted(((place(ts, i), i, ts, v) for i, ts, v in rows), key=itemgetter(0))
         if not got:
             return
         values, seen, ema3, ema5, run, *last = self.form.get() or ([], 0, None, None, 0, None, None)
-        values, emas, reached = list(values), (ema3, ema5), place(*last) if seen else None
-        for at, r in got:
-            v = None if r.value is None or r.value != r.value else r.value
+        before, reached = Before(self.n, values, ema3, ema5, run), place(*last) if seen else None
+        for at, i, ts, v in got:
+            v = None if v is None or v != v else v
             if reached is not None and at <= reached:
-                yield _FORM_ROW(own, r.id, r.ts, v, None, None, None, None, seen, True)
+                yield i, ts, v, None, None, None, None, seen, True
                 continue
-            known = [x for x in values if x is not None]
-            yield _FORM_ROW(own, r.id, r.ts, v, sum(known) / len(known) if known else None, *emas, run, seen, False)
-            values = [*values, v][-self.n :]
-            if v is not None:
-                emas = tuple(v if y is None else a * v + (1 - a) * y for a, y in zip(ALPHAS, emas, strict=True))
-                run = run if v == 0 else max(run, 0) + 1 if v > 0 else min(run, 0) - 1
-            seen, last, reached = seen + 1, (r.ts, r.id), at
-        self.form.update((values, seen, *emas, run, *last))
+            yield i, ts, v, *before.get(), seen, False
+            before.add(v)
+            seen, last, reached = seen + 1, (ts, i), at
+        self.form.update((before.values, seen, before.ema3, before.ema5, before.run, *last))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers) -> Iterator[Row]:
+        own = int(key[0]) if key[0] else None
+        for r in self.folded((r.id, r.ts, r.value) for r in rows):
+            yield _FORM_ROW(own, *r)
 
     def close(self) -> None:
         pass
 
 
+class PackedForm(Form):
+    """Form of rows that hold arrays of ids, times and values; its rows hold arrays too, as each row on the way costs more than its values."""
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers) -> Iterator[Row]:
+        own = int(key[0]) if key[0] else None
+        flat = chain.from_iterable(zip(r.id, r.ts, r.value, strict=True) for r in rows)
+        for some in batched(self.folded(flat), PACK):
+            yield _FORM_ROW(own, *map(list, zip(*some, strict=True)))
+
+
+def _packed(batches: Iterable[pa.RecordBatch], size: int = PACK, held: int = HELD) -> Iterator[pa.RecordBatch]:
+    """Rows of one name as few rows of arrays, of at most `size` each; up to `held` rows are gathered for that."""
+
+    def packed(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(some).sort_by("name").combine_chunks()
+        name, *rest = (t[c].chunk(0) for c in ("name", "id", "ts", "value"))
+        ends = np.union1d(pc.run_end_encode(name).run_ends.to_numpy(), np.arange(size, t.num_rows, size))
+        offsets = pa.array(np.append(0, ends), pa.int32())
+        return pa.RecordBatch.from_arrays([name.take(offsets[:-1]), *(pa.ListArray.from_arrays(offsets, x) for x in rest)], t.schema.names)
+
+    some, count = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            some.append(batch)
+            count += batch.num_rows
+        if count >= held:
+            yield packed(some)
+            some, count = [], 0
+    if some:
+        yield packed(some)
+
+
 def form_stream(rows: DataFrame, n: int = 20, idle: pd.Timedelta = pd.Timedelta(days=400)) -> DataFrame:
     """(key, id, ts, value) with the mean of the n values before, their exponential means and signed run.
 
     A value of 0 leaves a run as it is; a null counts in none of them but takes a place among the n. State is n
     values and six numbers a key. A row not after its key's last one is late: it gets no values and
     changes no state; keep_form recomputes its key. Start the query inside state_store(spark).
+
+    A micro-batch's rows are brought together by key and packed, some hundreds a row, before they meet the state.
     """
     # a null key is a key: grouped as text, as null keys don't find each other; times are whole numbers in the state
     named = rows.select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("name"), "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("value").cast("double").alias("value"))
-    out = named.groupBy("name").transformWithState(Form(n, int(idle.total_seconds() * 1000)), FORM.replace("ts timestamp", "ts long"), "Append", "ProcessingTime")
-    return out.withColumn("ts", F.timestamp_micros("ts"))
+    together = named.withColumn("id", F.col("id").cast("long")).repartition("name")
+    packed = together.mapInArrow(_packed, "name string, id array<long>, ts array<long>, value array<double>")
+    arrays = FORM.replace("ts timestamp", "ts long").split(", ")
+    arrays = ", ".join([arrays[0], *("{} array<{}>".format(*c.split(" ")) for c in arrays[1:])])
+    out = packed.groupBy("name").transformWithState(PackedForm(n, int(idle.total_seconds() * 1000)), arrays, "Append", "ProcessingTime")
+    return out.select("key", F.inline(F.arrays_zip(*_FORM_ROW[1:]))).withColumn("ts", F.timestamp_micros("ts"))
+
+
+def _form_of_sorted(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (key, ts, id) with what came before; a key may go on in the next batch."""
+    key, before = object(), Before(n)
+    for batch in batches:
+        got = []
+        for k, v in zip(batch.column("key").to_pylist(), batch.column("value").to_pylist(), strict=True):
+            if k != key:
+                key, before = k, Before(n)
+            got.append(before.get())
+            before.add(v)
+        columns = zip(*got, strict=True) if got else [()] * 4
+        kinds = (pa.float64(), pa.float64(), pa.float64(), pa.int64())
+        names = [c.split(" ")[0] for c in VALUES.split(", ")]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [*batch.schema.names, *names])
 
 
 def form_batch(rows: DataFrame, n: int = 20) -> DataFrame:
-    """What form_stream gives when no row is late, of a whole table, without `seen` and `late`."""
-    w = Window.partitionBy("key").orderBy("ts", "id")
-    games = rows.select("key", "id", "ts", "value", F.lit("").alias("sport"), F.col("key").alias("home_team"), F.col("ts").alias("game_date"), F.col("id").alias("game_id"), F.col("value").alias("home_value"))
-    out = rolling.exponential(games, "home", ["value"], ALPHAS).withColumn("roll_mean", F.avg("value").over(w.rowsBetween(-n, -1)))
-    decided = F.when(F.col("value") != 0, F.signum("value").cast("int"))
-    before = F.last(decided, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    # a run goes on while the sign stays; its length so far counts decided rows
-    out = out.withColumn("_sign", decided).withColumn("_new", F.when(F.col("_sign").isNotNull() & ~F.col("_sign").eqNullSafe(before), 1).otherwise(0))
-    out = out.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    length = F.count("_sign").over(Window.partitionBy("key", "_run").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.last("_sign", ignorenulls=True).over(Window.partitionBy("key", "_run").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)) * length
-    run = F.coalesce(F.lag("_after").over(w), F.lit(0)).cast("long")
-    return out.withColumn("_after", after).select("key", "id", "ts", "value", "roll_mean", F.col("home_value_ema3").alias("ema3"), F.col("home_value_ema5").alias("ema5"), run.alias("run"))
+    """What form_stream gives when no row is late, of a whole table, without `seen` and `late`.
+
+    One exchange by key and one sort; rows then pass once, so a task holds a key's last n values and no more of it.
+    """
+    own = rows.select("key", "id", "ts", F.nanvl(F.col("value").cast("double"), F.lit(None).cast("double")).alias("value"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), VALUES])
+    return own.repartition("key").sortWithinPartitions("key", "ts", "id").mapInArrow(partial(_form_of_sorted, n=n), schema)
 
 
 def keep_form(rows: DataFrame, folder: str, n: int = 20, idle: pd.Timedelta = pd.Timedelta(days=400)) -> Callable[[], None]:
@@ -144,10 +226,11 @@ def keep_form(rows: DataFrame, folder: str, n: int = 20, idle: pd.Timedelta = pd
         got = session.read.schema(FORM).parquet(at("form"))
         got.where("late").write.mode("overwrite").parquet(at("late"))
         every = _all(session, folder, "form").where(F.col("batch") <= number)
-        semi = lambda left, right: left.join(right.select(F.col("key").alias("_key")), F.col("key").eqNullSafe(F.col("_key")), "left_semi")
-        wrong = semi(got.where("seen = 0").select("key"), every.where(F.col("batch") < number))
-        wrong = wrong.unionByName(semi(_all(session, folder, "late").where(F.col("batch") <= number).select("key"), got)).distinct()
-        form_batch(semi(every, wrong).select("key", "id", "ts", "value"), n).write.mode("overwrite").parquet(at("rebuilt"))
+        begun = F.max(F.when(F.col("seen") == 0, F.col("batch")))  # a state that begins after the key's first batch has forgotten rows
+        keys = every.groupBy("key").agg(F.max("batch").alias("newest"), F.bool_or("late").alias("late"), (begun > F.min("batch")).alias("forgot"))
+        wrong = keys.where((F.col("newest") == number) & (F.col("late") | F.col("forgot")))
+        rows = every.join(wrong.select(F.col("key").alias("_key")), F.col("key").eqNullSafe(F.col("_key")), "left_semi")
+        form_batch(rows, n).write.mode("overwrite").parquet(at("rebuilt"))
 
     def run() -> None:
         with state_store(spark):
@@ -166,11 +249,15 @@ def _all(spark: SparkSession, folder: str, kind: str) -> DataFrame:
 
 
 def current_form(spark: SparkSession, folder: str) -> DataFrame:
-    """(key, id, ts, value) with its values of the newest batch that computed it; what was rebuilt wins over what was streamed."""
-    values = ["roll_mean", "ema3", "ema5", "run"]
-    version = lambda kind, rank: _all(spark, folder, kind).select("key", "id", "ts", "value", *values, F.struct("batch", F.lit(rank).alias("rank")).alias("v"))
-    both = version("form", 0).unionByName(version("rebuilt", 1))
-    return both.groupBy("key", "id", "ts", "value").agg(F.max_by(F.struct(*values), "v").alias("x")).select("key", "id", "ts", "value", "x.*")
+    """(key, id, ts, value) with its values of the newest batch that computed it: of what a key's last rebuild left, and of what was streamed since."""
+    values = ["key", "id", "ts", "value", "roll_mean", "ema3", "ema5", "run"]
+    # a late row's key was rebuilt with it
+    streamed, rebuilt = _all(spark, folder, "form").where(~F.col("late")), _all(spark, folder, "rebuilt")
+    upto = rebuilt.groupBy(F.col("key").alias("_key")).agg(F.max("batch").alias("_upto"))
+    of_key = F.col("key").eqNullSafe(F.col("_key"))
+    last = rebuilt.join(upto, of_key & (F.col("batch") == F.col("_upto")), "left_semi")
+    since = streamed.join(upto, of_key & (F.col("batch") <= F.col("_upto")), "left_anti")
+    return last.select(*values).unionByName(since.select(*values))
 
 
 @contextmanager

@@ -176,3 +176,47 @@ def test_kept_form_of_rows_without_a_time(spark):
     # nulls first: the row 0 comes before the row 1
     _check(jobs.current_form(spark, f"{folder}/kept").collect(), _want(late[:1] + rows + late[1:], 5))
     assert [r.id for r in spark.read.parquet(f"{folder}/kept/late").where("late").collect()] == [0]
+
+
+def test_forgotten_state_is_never_taken_for_all_rows(spark):
+    # the second run begins a key's state anew, the third goes on from that state
+    rows, folder = [r for r in _rows() if r[0] == 1], store.shared_path(spark)
+    for part, idle in ((rows[:20], pd.Timedelta(milliseconds=1)), (rows[20:23], pd.Timedelta(days=400)), (rows[23:], pd.Timedelta(days=400))):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        jobs.keep_form(spark.readStream.schema(SCHEMA).parquet(f"{folder}/in"), f"{folder}/kept", n=5, idle=idle)()
+    assert spark.read.parquet(f"{folder}/kept/form").where("seen = 0").count() == 2
+    _check(jobs.current_form(spark, f"{folder}/kept").collect(), _want(rows, 5))
+
+
+def test_rows_of_a_key_meet_the_state_packed():
+    import pyarrow as pa
+
+    rows = [(str(i % 3), i, None if i == 7 else 100 - i, float(i)) for i in range(60)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("name", "id", "ts", "value"), r, strict=True)) for r in rows[a : a + 25]]) for a in (0, 25, 50)]
+    batches.insert(1, batches[0].slice(0, 0))
+    for held, most in ((1000, 3 + 60 // 16), (30, 2 * 3 + 60 // 16)):
+        got = [r for b in jobs._packed(batches, 16, held) for r in b.to_pylist()]
+        assert len(got) <= most and all(len(r["id"]) <= 16 for r in got)
+        assert sorted((r["name"], *x) for r in got for x in zip(r["id"], r["ts"], r["value"], strict=True)) == sorted(rows)
+
+
+def test_form_of_a_table_is_one_pass_over_its_rows(spark):
+    df = spark.createDataFrame(_rows(), SCHEMA)
+    plan = jobs.form_batch(df, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1 and "Join" not in plan
+    # a key goes on from one batch of rows to the next
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        _check(jobs.form_batch(df, 5).collect(), _want(_rows(), 5))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_equal_rows_of_a_late_key_are_all_kept(spark):
+    t0, folder = datetime(2024, 1, 1), store.shared_path(spark)
+    row = (1, 5, t0, 1.0)
+    for part in ([row, row], [(1, 6, t0 + timedelta(hours=1), 2.0)]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        jobs.keep_form(spark.readStream.schema(SCHEMA).parquet(f"{folder}/in"), f"{folder}/kept", n=5)()
+    assert sorted((r.id, r.roll_mean) for r in jobs.current_form(spark, f"{folder}/kept").where("roll_mean IS NOT NULL").collect()) == [(5, 1.0), (6, 1.0)]
+    assert jobs.current_form(spark, f"{folder}/kept").count() == 3
