@@ -139,7 +139,8 @@ class PackedForm(Form):
         own = int(key[0]) if key[0] else None
         flat = chain.from_iterable(zip(r.id, r.ts, r.value, strict=True) for r in rows)
         for some in batched(self.folded(flat), PACK):
-            yield _FORM_ROW(own, *map(list, zip(*some, strict=True)))
+            # tuples, as Spark's worker looks through each list's values for rows
+            yield _FORM_ROW(own, *zip(*some, strict=True))
 
 
 def _packed(batches: Iterable[pa.RecordBatch], size: int = PACK, held: int = HELD) -> Iterator[pa.RecordBatch]:
