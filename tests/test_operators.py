@@ -235,3 +235,23 @@ def test_quantiles_in_blocks_equal_those_of_one_sort(spark):
 def test_drift_without_a_current_row_gives_no_statistic(spark):
     rows = spark.createDataFrame([("a", 1.0, False), ("a", 2.0, False)], "feature string, value double, current boolean")
     assert drift.ks(rows).count() == 0 and drift.psi(rows).count() == 0
+
+
+def test_medians_count_only_values_near_them(spark, monkeypatch):
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(k, float(a), int(b), None, float("nan") if i % 3 == 0 else float(a)) for k in ("x", None) for i, (a, b) in enumerate(zip(rng.normal(size=2001).round(4), rng.integers(0, 3, 2001), strict=True))]
+    df = spark.createDataFrame([*rows, ("one", 2.0, None, None, 1.0)], "k string, `a b` double, c int, d double, e double")
+    counted, quantiles = [], monitor.quantiles
+    monkeypatch.setattr(monitor, "quantiles", lambda rows, *a: counted.append(rows) or quantiles(rows, *a))
+    got = {r["k"]: r for r in monitor.medians(df, ["a b", "c", "d", "e"], ["k"]).collect()}
+    for k in ("x", None):
+        part = [r for r in rows if r[0] == k]
+        assert got[k]["a b"] == pytest.approx(np.median([r[1] for r in part]), abs=1e-6) and got[k]["c"] == np.median([r[2] for r in part]) and got[k]["d"] is None
+        assert got[k]["e"] == pytest.approx(sorted(r[4] if i % 3 else math.inf for i, r in enumerate(part))[1000], abs=1e-6)
+    assert (got["one"]["a b"], got["one"]["c"]) == (2.0, None)
+    near = counted[0].where("k = 'x' AND _feature = 0").select("_value").distinct().count()
+    assert 2 <= near < 150  # of some 2,000 values
